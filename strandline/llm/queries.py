@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import mixture, secrets
+from strandline.llm import mixture, quality_ranking, quality_rules, secrets, token_counts
 from strandline.llm.common import table
 
 
@@ -18,8 +19,20 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.in_training_order(mixture.mix_sources(table(spark, sf_dir, "documents"))).drop("occurrences")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op5_mixture)}
+    return {f.__name__: f for f in (op2_secrets, op5_mixture, op6_token_counts, op7_quality, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
