@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 #: Start and end weight of each source's schedule, repeating along the sources like the weights.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 MAX_REPEATS = 3
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 1024
 
 
 def _cycle(values: tuple, rank: Column) -> Column:
