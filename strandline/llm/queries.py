@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, mixture, quality_ranking, quality_rules, secrets, token_counts, warc_zip
+from strandline.llm import decontamination, licenses, mixture, quality_ranking, quality_rules, secrets, simhash, token_counts, warc_zip
 from strandline.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.in_training_order(mixture.mix_sources(table(spark, sf_dir, "documents"))).drop("occurrences")
 
@@ -35,12 +39,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_decontamination, op5_mixture, op6_token_counts, op7_quality, op8_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secrets, op3_decontamination, op4_licenses, op5_mixture, op6_token_counts, op7_quality, op8_warc, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
