@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, licenses, mixture, quality_ranking, quality_rules, secrets, simhash, token_counts, warc_zip
+from strandline.llm import decontamination, licenses, mixture, paragraph_dedup, quality_ranking, quality_rules, secrets, simhash, token_counts, warc_zip
 from strandline.llm.common import table
 
 
+def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
@@ -48,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_decontamination, op4_licenses, op5_mixture, op6_token_counts, op7_quality, op8_warc, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_paragraphs, op2_secrets, op3_decontamination, op4_licenses, op5_mixture, op6_token_counts, op7_quality, op8_warc, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
