@@ -100,3 +100,17 @@ def classify_quality(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELL
     ranking = fit(*training_sample(docs, labels, limit=limit))
     scored = score_documents(docs, ranking)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, ranking: Ranking) -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with all their columns, in one pass."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            x = np.array([statistics(t.encode() if t is not None else None)[1] for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
+            yield batch.filter(pa.array(ranking.score(x) >= THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import checkpoint
+from strandline.llm.candidates import candidate_pairs, similar
+from strandline.llm.common import checkpoint, written
 from strandline.llm.components import components
 
 SEED = 42
@@ -118,3 +119,88 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     names = joined.join(smallest, "component").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity of word shingles ---------------------------------------------------------------------
+
+WIDE_BYTES = 32
+WIDE_KEYS = 64
+KEY_BYTES = 4
+MIN_SHARED = 10
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+
+
+def _key_places(keys: int = WIDE_KEYS) -> np.ndarray:
+    """The byte positions of each key of the wide index: fixed, and spread evenly over all positions."""
+    draw = np.random.default_rng(0)
+    order = np.concatenate([draw.permutation(WIDE_BYTES) for _ in range(-(-keys * KEY_BYTES // WIDE_BYTES))])
+    return order[: keys * KEY_BYTES].reshape(keys, KEY_BYTES)
+
+
+def _text_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with node (digest of the words), wide (256-bit SimHash of the set of words) and keys (positional bytes)."""
+    places = _key_places()
+    number = (np.arange(len(places), dtype=np.int64) << np.int64(32))[None, :]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            known: dict[bytes, bytes] = {}
+            nodes, wides = [], []
+            for text in batch.column("text").to_pylist():
+                words = (text or "").encode().lower().split()
+                for w in (distinct := set(words)):
+                    if w not in known:
+                        known[w] = xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2)
+                nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                wides.append(_majority(b"".join([known[w] for w in distinct]), WIDE_BYTES))
+            table = np.frombuffer(b"".join(wides), dtype=np.uint8).reshape(-1, WIDE_BYTES)
+            keys = number + np.ascontiguousarray(table[:, places]).view("<u4")[:, :, 0].astype(np.int64)
+            added = [pa.array(nodes, pa.binary()), pa.array(wides, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*[f"c{k}" for k in range(batch.num_columns)], "node", "wide", "keys"])
+
+    schema = ", ".join([*[f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)], "node binary, wide binary, keys array<bigint>"])
+    return docs.mapInArrow(run, schema)
+
+
+def _tally(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose wide fingerprints share MIN_SHARED positional bytes at least."""
+    left, right = nodes.select(F.col("node").alias("a"), F.col("wide").alias("of_a")), nodes.select(F.col("node").alias("b"), F.col("wide").alias("of_b"))
+    same = sum((F.substring("of_a", k + 1, 1) == F.substring("of_b", k + 1, 1)).cast("int") for k in range(WIDE_BYTES))
+    return pairs.join(left, "a").join(right, "b").filter(same >= MIN_SHARED).select("a", "b")
+
+
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles((t or b"").lower().split(), size)], dtype=np.uint64)).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "hashes": sets})
+
+    return texts.mapInPandas(run, "node binary, hashes array<long>")
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIMILAR_WORDS) -> DataFrame:
+    """``docs`` with one document of each group of exact and near copies: the smallest doc_id, null ids last.
+
+    Texts with equal words (ignoring ASCII case and spacing) are exact copies. For the others, a 256-bit SimHash of the
+    set of words is indexed by keys of four positional bytes; pairs that meet are tallied by shared bytes and verified by
+    the exact Jaccard similarity of their ``size``-word shingles. Null and empty texts are copies of each other. Of
+    repeated rows one stays. An empty table gives no rows; all columns are kept.
+    """
+    names = {f"c{k}": name for k, name in enumerate(docs.columns)}
+    text, doc_id = (next(k for k, name in names.items() if name == wanted) for wanted in ("text", "doc_id"))
+    rows = written(_text_rows(docs).withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), F.col("row")))
+    nodes = rows.groupBy("node").agg(first.alias("first"), F.first("wide").alias("wide"), F.first("keys").alias("keys"))
+    nodes = written(nodes)
+    pairs = checkpoint(_tally(candidate_pairs(nodes.select("node", "keys")), nodes))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = nodes.join(wanted, "node").select("node", F.col("first.row").alias("row"))
+    texts = rows.select("row", F.col(text).cast("binary").alias("text")).join(chosen, "row").select("node", "text")
+    edges = similar(pairs, checkpoint(_shingle_sets(texts, size)), similarity)
+    groups = components(edges).withColumnRenamed("node", "grouped")
+    named = nodes.join(groups, F.col("node") == F.col("grouped"), "left").select("first", F.coalesce("component", "node").alias("component"))
+    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(stay, "row", "left_semi").select(*[F.col(c).alias(name) for c, name in names.items()])
