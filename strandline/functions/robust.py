@@ -34,7 +34,7 @@ def auto_scale(r: np.ndarray) -> float:
 
 
 def huber_weights(r: np.ndarray, scale: float) -> np.ndarray:
-    return scale / np.maximum(np.abs(r), scale)
+    return np.minimum(1.0, scale / np.maximum(np.abs(r), 1e-300))
 
 
 def huber_loss(r: np.ndarray, scale: float) -> float:

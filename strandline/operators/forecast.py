@@ -326,7 +326,8 @@ def forecast(samples: DataFrame, peaks: DataFrame, keys: list[str], models: list
 
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kinds}, model_id string, next_ts timestamp_ntz, band_low timestamp_ntz, band_high timestamp_ntz, value double, note string"
-    left, right = samples.select(*keys, "ts", "value"), peaks.select(*keys, "ts", "value")
+    # Fresh column identities: both sides may stem from one table.
+    left, right = (f.select(*keys, "ts", "value").toDF(*keys, "ts", "value") for f in (samples, peaks))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
