@@ -179,3 +179,43 @@ def fill_from_archive(merged: DataFrame, archive: DataFrame, series: list[str],
 def winner_counts(merged: DataFrame, series: list[str]) -> DataFrame:
     counts = merged.groupBy(*series, "winner").agg(F.count("*").alias("buckets"))
     return counts.withColumn("share", F.col("buckets") / F.sum("buckets").over(Window.partitionBy(*series)))
+
+
+def anchor_fits(samples: DataFrame, series: list[str], anchor: str = ANCHOR, trim_hours: float = 6.0, least: int = 50, slope_limit: float = 0.03, level_limit: float = 5.0) -> DataFrame:
+    """Robust line anchor = a * source + b over shared hours, the anchor trimmed at both ends: a, b, overlap, residual_std, apply.
+
+    A source with too few shared hours has nulls. ``apply`` is set where the line is far from the identity.
+    """
+    from strandline.functions.robust import huber_line
+
+    hours = bucket_means(samples, [*series, "source"], DEFAULTS.align_bucket)
+    ends = samples.filter(F.col("source") == anchor).groupBy(*series).agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    trim = F.make_dt_interval(F.lit(0), F.lit(int(trim_hours)))
+    truth = hours.filter(F.col("source") == anchor).join(ends, series).filter((F.col("bucket") >= F.col("low") + trim) & (F.col("bucket") <= F.col("high") - trim))
+    both = hours.filter(F.col("source") != anchor).join(truth.select(*series, "bucket", F.col("mean_value").alias("truth")), [*series, "bucket"])
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = {**dict(zip([*series, "source"], key, strict=True)), "overlap": len(rows), "a": None, "b": None, "residual_std": None, "apply": False}
+        if len(rows) >= least:
+            line = huber_line(rows["mean_value"].to_numpy(), rows["truth"].to_numpy(), 1.0)
+            rest = rows["truth"] - line(rows["mean_value"].to_numpy())
+            out |= {"a": line.slope, "b": line.intercept, "residual_std": float(rest.std(ddof=0)), "apply": abs(line.slope - 1) > slope_limit or abs(line.intercept) > level_limit}
+        return pd.DataFrame([out])
+
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in series)
+    return both.groupBy(*series, "source").applyInPandas(fit, f"{kinds}, source string, overlap long, a double, b double, residual_std double, apply boolean")
+
+
+def straight_or_bent(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Residual spread of a straight line and of a parabola of y over x: std_line, std_bent, bent (clearly better).
+
+    The parabola's gain is that of x squared after both y and x squared are freed of their straight lines.
+    """
+    w = Window.partitionBy(*keys)
+    centred = points.withColumn("x", F.col("x") - F.avg("x").over(w)).withColumn("xx", F.col("x") * F.col("x"))
+    free = lambda y: F.col(y) - (F.regr_slope(y, "x").over(w) * F.col("x") + F.regr_intercept(y, "x").over(w))
+    rest = centred.select(*keys, free("y").alias("ry"), free("xx").alias("rx"))
+    sums = rest.groupBy(*keys).agg(F.sum(F.col("ry") ** 2).alias("yy"), F.sum(F.col("rx") * F.col("ry")).alias("xy"), F.sum(F.col("rx") ** 2).alias("xx"), F.count("*").alias("n"))
+    bent = F.greatest(F.col("yy") - F.coalesce(F.col("xy") ** 2 / F.nullif("xx", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    both = sums.select(*keys, F.sqrt(F.col("yy") / F.col("n")).alias("std_line"), F.sqrt(bent / F.col("n")).alias("std_bent"))
+    return both.withColumn("bent", F.col("std_bent") < 0.6 * F.col("std_line"))

@@ -94,7 +94,7 @@ def ransac_line(points: DataFrame, keys: list[str], within: float = 2.0, least:
     """
     a, b = (points.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("label_id", "px", "value")]) for side in ("a", "b"))
     lines = a.join(b, keys).filter((F.col("label_id_a") < F.col("label_id_b")) & (F.col("value_a") != F.col("value_b")))
-    lines = lines.withColumn("m", (F.col("px_b") - F.col("px_a")) / (F.col("value_b") - F.col("value_a"))).withColumn("c", F.col("px_a") - F.col("m") * F.col("value_a"))
+    lines = lines.withColumn("m", F.try_divide(F.col("px_b") - F.col("px_a"), F.col("value_b") - F.col("value_a"))).withColumn("c", F.col("px_a") - F.col("m") * F.col("value_a"))
     near = lines.join(points, keys).filter(F.abs(F.col("px") - F.col("m") * F.col("value") - F.col("c")) <= within)
     counted = near.groupBy(*keys, "label_id_a", "label_id_b", "m", "c").agg(F.count("*").alias("inliers"), F.sum("conf").alias("conf"))
     best = F.max_by(F.struct("m", "c", "inliers", "conf"), F.struct(F.col("inliers"), F.col("conf"), -F.col("label_id_a"), -F.col("label_id_b")))
