@@ -134,8 +134,8 @@ def _link(scanned: DataFrame, scope: int) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; overlapping spans become one mark. Texts without spans stay."""
-    columns = [c for c in docs.columns if c != "doc_id"]
-    found = find_secrets(docs, scope, tuple(columns))
+    carried = {f"carried_{k}": c for k, c in enumerate(docs.columns)}
+    found = find_secrets(docs.select("doc_id", "text", *[F.col(c).alias(k) for k, c in carried.items()]), scope, ("text", *carried))
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
 
     def cut(done: Column, s: Column) -> Column:
@@ -144,4 +144,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
 
     done = F.aggregate("found", empty, cut)
     clean = F.transform(F.array(done), lambda d: F.concat(d["text"], F.substr(F.col("text"), (d["at"] + 1).cast("int"))))
-    return found.withColumn("text", F.when(F.size("found") > 0, F.get(clean, F.lit(0))).otherwise(F.col("text"))).select(docs.columns)
+    text = F.when(F.size("found") > 0, F.get(clean, F.lit(0))).otherwise(F.col("text"))
+    return found.select(*[(text if c == "text" else F.col(k)).alias(c) for k, c in carried.items()])
