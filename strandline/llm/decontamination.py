@@ -194,7 +194,8 @@ def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[In
     def unit_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             units = [u for text in batch["text"] for u in units_of(text)]
-            yield pd.DataFrame({"term": [t for u in units for t in {*u, b""}], "words": [len(u) * (t == b"") for u in units for t in {*u, b""}]})
+            if units:
+                yield pd.DataFrame({"term": [t for u in units for t in {*u, b""}], "words": [len(u) * (t == b"") for u in units for t in {*u, b""}]})
 
     # The empty term counts all units and their words.
     frequency = items.mapInPandas(unit_terms, "term binary, words long").groupBy("term").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
@@ -234,8 +235,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE
                 ids = batch["doc_id"].tolist()
                 hits = shared.value.scan(batch["text"].tolist(), retrieve, overlap)
                 rows = [(ids[d], shared.value.items[i][0], *v) for d, per_item in hits.items() for i, v in per_item.items()]
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+                if rows:
+                    out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         part = texts.mapInPandas(run, SCHEMA)
         found = part if found is None else found.unionByName(part)

@@ -94,7 +94,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, head: int = HEAD, limit: int =
                 if len(seen) > FLUSH:
                     yield pd.DataFrame({"piece": list(seen.keys()), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"piece": list(seen.keys()), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"piece": list(seen.keys()), "n": list(seen.values())})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
