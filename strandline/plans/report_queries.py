@@ -80,7 +80,7 @@ def linear_or_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT a.image, a.label_id AS i, b.label_id AS j, (b.px - a.px) / (b.value - a.value) AS m, a.px - (b.px - a.px) / (b.value - a.value) * a.value AS c FROM p a JOIN p b ON a.image = b.image AND a.label_id < b.label_id AND a.value <> b.value),
 n AS (SELECT l.image, i, j, m, c, count(*) AS inliers, sum(conf) AS conf FROM l JOIN p ON p.image = l.image AND abs(p.px - m * p.value - c) <= 2 GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY inliers DESC, conf DESC, i, j) AS place FROM n)
-SELECT image, round(m, 6) AS m, round(c, 6) AS c, inliers, conf::BIGINT AS conf FROM k WHERE place = 1 AND inliers >= 3""")
+SELECT image, round(m, 10) AS m, round(c, 10) AS c, inliers, conf::BIGINT AS conf FROM k WHERE place = 1 AND inliers >= 3""")
 def ransac_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     at = F.pmod(F.col("event_id") * 37, F.lit(101))
@@ -88,7 +88,7 @@ def ransac_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("event_id") / 8).alias("image"), F.col("event_id").alias("label_id"), (at + F.col("value") / 50).alias("px"),
         (at / 4.0 + F.when(F.pmod("event_id", F.lit(5)) == 0, 9).otherwise(0)).alias("value"), (70 + F.pmod("event_id", F.lit(30))).alias("conf"),
     )
-    return state.ransac_line(points, ["image"]).withColumns({"m": r6("m"), "c": r6("c")})
+    return state.ransac_line(points, ["image"]).withColumns({"m": F.round("m", 10), "c": F.round("c", 10)})
 
 
 @query(f"WITH {S}, ax AS (SELECT series_id, source, median(value) AS slope, max(value) AS max_residual FROM s WHERE event_id % 7 = 0 GROUP BY ALL), h AS (SELECT series_id, source, median(value) AS usual FROM s GROUP BY ALL), d AS (SELECT *, abs(slope - usual) / nullif(abs(usual), 0) > 0.03 AND max_residual / nullif(abs(slope), 0) > 1 AS back FROM ax JOIN h USING (series_id, source)) SELECT series_id, source, coalesce(back, FALSE) AS fallback, round(CASE WHEN coalesce(back, FALSE) THEN usual ELSE slope END, 6) AS used_slope FROM d")
