@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm import decontamination, licenses, mixture, paragraph_dedup, quality_ranking, quality_rules, secrets, simhash, token_counts, warc_zip
 from strandline.llm.common import table
@@ -28,7 +29,8 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.in_training_order(mixture.mix_sources(table(spark, sf_dir, "documents"))).drop("occurrences")
+    mixed = mixture.in_training_order(mixture.mix_sources(table(spark, sf_dir, "documents"))).drop("occurrences")
+    return mixed.withColumn("position", F.round("position", 9))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +57,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_paragraphs, op2_secrets, op3_decontamination, op4_licenses, op5_mixture, op6_token_counts, op7_quality, op8_warc, op9_simhash, op10_quality_rules)}
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS sk, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+b AS (SELECT *, h % greatest(1, ceil((SELECT count(*) FROM documents) / 1024.0)::BIGINT) AS bucket FROM d),
+s AS (SELECT no_source, sk, sum(size)::BIGINT AS source_size FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY no_source, sk) AS place FROM s),
+w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM r),
+l AS (SELECT *, sum(source_size) OVER () AS total,
+  coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight::DOUBLE, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps_before,
+  sum(weight) OVER (ORDER BY cap::DOUBLE / weight::DOUBLE, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights_left FROM w),
+t AS (SELECT no_source, sk, source_size, place, least(cap::DOUBLE, max((total - caps_before)::DOUBLE / weights_left::DOUBLE) OVER () * weight::DOUBLE) AS target FROM l),
+o AS (SELECT b.*, source_size, place, target,
+  coalesce(sum(size) OVER (PARTITION BY no_source, sk ORDER BY bucket, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM b JOIN t USING (no_source, sk)),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS whole FROM o),
+g AS (SELECT *, least(greatest(floor(target + 0.5)::BIGINT - whole * source_size - off, 0), size) AS last_words FROM f),
+p AS (SELECT *, CASE WHEN whole > 0 THEN size ELSE last_words END AS words, CASE (place - 1) % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS from_w,
+  CASE (place - 1) % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS to_w FROM g),
+q AS (SELECT *, least((off::DOUBLE + words::DOUBLE / 2) / nullif(target, 0), 1.0::DOUBLE) AS share FROM p)
+SELECT doc_id, size, source_size, target, (whole * size + last_words)::BIGINT AS taken, (CASE WHEN size > 0 THEN whole ELSE 0 END + CASE WHEN last_words > 0 THEN 1 ELSE 0 END)::INTEGER AS passes,
+  round(CASE WHEN words > 0 THEN CASE WHEN from_w = to_w THEN share ELSE (sqrt(from_w * from_w + 2 * (to_w - from_w) * ((from_w + to_w) / 2) * share) - from_w) / (to_w - from_w) END END, 9) AS position FROM q
+"""
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM p LEFT JOIN f USING (h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn, hash or align in ways beyond SQL; the tests hold them against brute force."""
+    return {"op5_mixture": OP5_SQL, "op8_warc": OP8_SQL}
