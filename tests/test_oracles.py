@@ -26,7 +26,10 @@ def rows(frame: pd.DataFrame) -> list:
     return sorted(out, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+ENGINE = sorted(n for n in entry.oracle_sql() if not n.startswith("op"))
+
+
+@pytest.mark.parametrize("name", ENGINE)
 def test_query_matches_sql(spark, duck, name):
     got = entry.queries()[name](spark, DATA).toPandas()
     wanted = duck.execute(entry.oracle_sql()[name]).df()
