@@ -23,7 +23,9 @@ def nearest(probe: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
     )
     w = Window.partitionBy(*keys).orderBy("us", "side", "event_id")
     before = F.last("hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("hit", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # The same from the far end: a frame to the end of the partition would be walked anew for every row.
+    back = Window.partitionBy(*keys).orderBy(F.desc("us"), F.desc("side"), F.desc("event_id"))
+    after = F.last("hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumns({"b": before, "a": after}).filter("side = 1")
     first = F.col("a").isNull() | (F.col("us") - F.col("b.us") <= F.col("a.us") - F.col("us"))
     hit = F.when(F.col("b").isNotNull() & first, F.col("b")).otherwise(F.col("a"))
@@ -63,6 +65,6 @@ def in_intervals(samples: DataFrame, ends: DataFrame, keys: list[str]) -> DataFr
     us = both.withColumn("us", micros("ts"))
     w = Window.partitionBy(*keys).orderBy("us")
     prev = F.max("end").over(w.rangeBetween(Window.unboundedPreceding, -1))
-    cur = F.min("end").over(w.rangeBetween(0, Window.unboundedFollowing))
+    cur = F.min("end").over(Window.partitionBy(*keys).orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, 0))
     marked = us.withColumns({"prev_ts": prev, "end_ts": cur}).filter("event_id IS NOT NULL AND prev_ts IS NOT NULL AND end_ts IS NOT NULL")
     return marked.select(*keys, "ts", "value", "event_id", "prev_ts", "end_ts")

@@ -22,11 +22,11 @@ def hourly(samples: DataFrame, keys: list[str], width: int = HOUR) -> DataFrame:
     enough = clean.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).filter("n >= 2")
     means = enough.groupBy(*keys, floor_us(F.col("us"), width).alias("us")).agg(F.avg("value").alias("mean"))
     grid = means.groupBy(*keys).agg(F.sequence(F.min("us"), F.max("us"), F.lit(width)).alias("all")).select(*keys, F.explode("all").alias("us"))
-    w = Window.partitionBy(*keys).orderBy("us")
+    w, back = Window.partitionBy(*keys).orderBy("us"), Window.partitionBy(*keys).orderBy(F.desc("us"))
     known = F.when(F.col("mean").isNotNull(), F.struct("us", "mean"))
     full = grid.join(means, [*keys, "us"], "left").withColumns({
         "b": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "a": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        "a": F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
     })
     line = F.col("b.mean") + (F.col("a.mean") - F.col("b.mean")) * ((F.col("us") - F.col("b.us")) / (F.col("a.us") - F.col("b.us")))
     return full.select(*keys, from_micros(F.col("us")).alias("ts"), F.coalesce("mean", line).alias("value"), F.col("mean").isNull().alias("filled"))

@@ -95,10 +95,10 @@ def densify(samples: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFr
     grid = span.select(*keys, F.explode(F.sequence("low", "high", F.lit(p.merge_bucket))).alias("us"))
     hit = "struct<us:bigint,value:double>"
     both = distinct.select(*keys, "us", F.struct("us", "value").alias("hit"), F.lit(0).alias("side")).unionByName(grid.select(*keys, "us", F.lit(None).cast(hit).alias("hit"), F.lit(1).alias("side")))
-    w = Window.partitionBy(*keys).orderBy("us", "side")
+    w, back = Window.partitionBy(*keys).orderBy("us", "side"), Window.partitionBy(*keys).orderBy(F.desc("us"), F.desc("side"))
     filled = both.withColumns({
         "b": F.last("hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "a": F.first("hit", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        "a": F.last("hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
     }).filter("side = 1").join(limits, keys)
     a = F.when(F.col("b.us") == F.col("us"), F.col("b")).otherwise(F.col("a"))
     ahead = filled.withColumn("a", a).filter("a IS NOT NULL AND b IS NOT NULL")
