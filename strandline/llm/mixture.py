@@ -55,7 +55,7 @@ def source_targets(buckets: DataFrame, weights: tuple = WEIGHTS, max_repeats: in
         .withColumn("cap_per_weight", F.col("cap").cast("double") / F.col("weight").cast("double"))
         .withColumn("total", F.sum("source_size").over(everything))
         .withColumn("caps_before", F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weights_left", F.sum("weight").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+        .withColumn("weights_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("level", F.max((F.col("total") - F.col("caps_before")).cast("double") / F.col("weights_left").cast("double")).over(everything))
         .withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight").cast("double")))
         .select("no_source", "source_key", "source_size", "source_rank", "target")

@@ -115,12 +115,13 @@ def _link(scanned: DataFrame, scope: int) -> DataFrame:
     parts = scanned.select(F.col("doc_id").alias("linked_id"), F.col("text_hash").alias("linked_hash"), F.explode(F.concat("base", "weak")).alias("s")).select(
         "linked_id", "linked_hash", "s.*", F.when(F.col("s.kind").isin(1, 3), "id").when(F.col("s.kind").isin(0, 2, 4), "secret").otherwise("endpoint").alias("part")
     )
-    order = Window.partitionBy("linked_id", "linked_hash").orderBy("start", "end", "kind")
+    document = Window.partitionBy("linked_id", "linked_hash")
+    order, reverse = document.orderBy("start", "end", "kind"), document.orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))
 
     def near(part: str) -> Column:
         here = F.col("part") == part
         back = F.max(F.when(here, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        ahead = F.min(F.when(here, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+        ahead = F.min(F.when(here, F.col("start"))).over(reverse.rowsBetween(Window.unboundedPreceding, -1))
         return F.coalesce(F.col("start") - back <= scope, F.lit(False)) | F.coalesce(ahead - F.col("end") <= scope, F.lit(False))
 
     near_parts = parts.select("*", *[near(p).alias(f"near_{p}") for p in ("id", "secret", "endpoint")])
