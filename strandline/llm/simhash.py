@@ -139,46 +139,54 @@ def _key_places(keys: int = WIDE_KEYS) -> np.ndarray:
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with node (digest of the words), wide (256-bit SimHash of the set of words) and keys (positional bytes)."""
-    places = _key_places()
-    number = (np.arange(len(places), dtype=np.int64) << np.int64(32))[None, :]
+    """``docs`` with digest (of the words) and wide (256-bit SimHash of the set of words)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             known: dict[bytes, bytes] = {}
-            nodes, wides = [], []
+            digests, wides = [], []
             for text in batch.column("text").to_pylist():
                 words = (text or "").encode().lower().split()
                 for w in (distinct := set(words)):
                     if w not in known:
                         known[w] = xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2)
-                nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 wides.append(_majority(b"".join([known[w] for w in distinct]), WIDE_BYTES))
-            table = np.frombuffer(b"".join(wides), dtype=np.uint8).reshape(-1, WIDE_BYTES)
-            keys = number + np.ascontiguousarray(table[:, places]).view("<u4")[:, :, 0].astype(np.int64)
-            added = [pa.array(nodes, pa.binary()), pa.array(wides, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*[f"c{k}" for k in range(batch.num_columns)], "node", "wide", "keys"])
+            added = [pa.array(digests, pa.binary()), pa.array(wides, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*[f"c{k}" for k in range(batch.num_columns)], "digest", "wide"])
 
-    schema = ", ".join([*[f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)], "node binary, wide binary, keys array<bigint>"])
+    schema = ", ".join([*[f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)], "digest binary, wide binary"])
     return docs.mapInArrow(run, schema)
 
 
-def _tally(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose wide fingerprints share MIN_SHARED positional bytes at least."""
-    left, right = nodes.select(F.col("node").alias("a"), F.col("wide").alias("of_a")), nodes.select(F.col("node").alias("b"), F.col("wide").alias("of_b"))
-    same = sum((F.substring("of_a", k + 1, 1) == F.substring("of_b", k + 1, 1)).cast("int") for k in range(WIDE_BYTES))
-    return pairs.join(left, "a").join(right, "b").filter(same >= MIN_SHARED).select("a", "b")
+def _with_keys(nodes: DataFrame) -> DataFrame:
+    """node, keys: the number of each key and its four positional bytes of ``wide``, as one long."""
+    places = _key_places()
+    number = (np.arange(len(places), dtype=np.int64) << np.int64(32))[None, :]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            table = np.frombuffer(b"".join(batch["wide"]), dtype=np.uint8).reshape(-1, WIDE_BYTES)
+            keys = number + np.ascontiguousarray(table[:, places]).view("<u4")[:, :, 0].astype(np.int64)
+            yield pd.DataFrame({"node": batch["node"], "keys": list(keys)})
+
+    return nodes.select("node", "wide").mapInPandas(run, "node long, keys array<long>")
+
+
+def _tally(a: Column, b: Column) -> Column:
+    """How many positional bytes two wide fingerprints share."""
+    return sum((F.substring(a, k + 1, 1) == F.substring(b, k + 1, 1)).cast("int") for k in range(WIDE_BYTES))
 
 
 def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles((t or b"").lower().split(), size)], dtype=np.uint64)).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "hashes": sets})
+            yield pd.DataFrame({"node": batch["node"], "wide": batch["wide"], "hashes": sets})
 
-    return texts.mapInPandas(run, "node binary, hashes array<long>")
+    return texts.mapInPandas(run, "node long, wide binary, hashes array<long>")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIMILAR_WORDS) -> DataFrame:
@@ -193,13 +201,13 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int
     text, doc_id = (next(k for k, name in names.items() if name == wanted) for wanted in ("text", "doc_id"))
     rows = written(_text_rows(docs).withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), F.col("row")))
-    nodes = rows.groupBy("node").agg(first.alias("first"), F.first("wide").alias("wide"), F.first("keys").alias("keys"))
-    nodes = written(nodes)
-    pairs = checkpoint(_tally(candidate_pairs(nodes.select("node", "keys")), nodes))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = nodes.join(wanted, "node").select("node", F.col("first.row").alias("row"))
-    texts = rows.select("row", F.col(text).cast("binary").alias("text")).join(chosen, "row").select("node", "text")
-    edges = similar(pairs, checkpoint(_shingle_sets(texts, size)), similarity)
+    nodes = rows.groupBy("digest").agg(first.alias("first"), F.first("wide").alias("wide"))
+    nodes = written(nodes.select(F.col("first.row").alias("node"), "first", "wide"))  # a text's node is named by its first row
+    pairs = checkpoint(candidate_pairs(_with_keys(nodes)))
+    chosen = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    texts = rows.select(F.col("row"), "wide", F.col(text).cast("binary").alias("text")).join(chosen, "row").select(F.col("row").alias("node"), "wide", "text")
+    enough = lambda a, b: _tally(a["wide"], b["wide"]) >= MIN_SHARED
+    edges = similar(pairs, written(_shingle_sets(texts, size)), similarity, enough)
     groups = components(edges).withColumnRenamed("node", "grouped")
     named = nodes.join(groups, F.col("node") == F.col("grouped"), "left").select("first", F.coalesce("component", "node").alias("component"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
