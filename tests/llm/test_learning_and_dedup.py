@@ -58,10 +58,19 @@ def test_bands_reach_the_recall():
     for _ in range(300):
         shared = draw.integers(0, 1 << 62, 80).astype(np.uint64)
         a, b = (np.concatenate([shared, draw.integers(0, 1 << 62, 10).astype(np.uint64)]) for _ in range(2))
-        found += (paragraph_dedup.minhash_bands(a, bands, rows) == paragraph_dedup.minhash_bands(b, bands, rows)).any()
+        keys = paragraph_dedup.minhash_bands(np.concatenate([a, b]), np.array([0, len(a)]), bands, rows)
+        found += (keys[0] == keys[1]).any()
     assert found / 300 > 0.97
 
 
+def test_shingles_of_many_paragraphs_equal_those_of_each():
+    draw = np.random.default_rng(9)
+    for least in (1, 5):
+        parts = [draw.integers(0, 1 << 62, int(n)).astype(np.uint64) for n in draw.integers(least, 40, 30)]
+        hashes, starts = paragraph_dedup._all_shingles(np.concatenate(parts), np.array([len(x) for x in parts]), 5)
+        assert all(np.array_equal(x, paragraph_dedup.shingle_hashes(y, 5)) for x, y in zip(np.split(hashes, starts[1:]), parts, strict=True))
+
+
 def test_repeated_paragraphs_against_brute_force(spark):
     draw = np.random.default_rng(1)
     passage = some_words(draw, 60)
