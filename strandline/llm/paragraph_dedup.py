@@ -4,6 +4,11 @@ A paragraph is a line with enough words. Equal paragraphs (by words, ignoring ca
 has MinHash values over its 5-word shingles, in bands tuned for high recall at the wanted similarity; nodes that
 collide in a band are compared by the exact Jaccard similarity of their shingles, and the similar ones are joined into
 components. The first occurrence of a component stays, the others are removals.
+
+Passages that repeat word by word inside longer lines, or over several lines, are found by their windows of RUN_WORDS
+words. Each window is known by the least hash of the runs of half its words in it, which any other text with the window
+shares; windows whose least hash occurs once are dropped, the others are grouped by the hash of all their words. This
+makes no pairs and misses no repeated window. Neighbouring windows are merged into spans.
 """
 
 from __future__ import annotations
@@ -13,13 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.candidates import candidate_pairs, similar
 from strandline.llm.common import checkpoint, written
 from strandline.llm.components import components
 
+#: A passage of so many words or more that occurs twice is reported wherever it stands.
+RUN_WORDS = 50
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 MIN_WORDS = 25
@@ -96,7 +103,7 @@ def _hash_words(words: list[bytes], known: _WordHashes) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line, start, end (words of the document), node (digest of the words), keys (one per band)."""
+    """doc_id, text_hash, line, start, end (words of the document), node (digest of the words), keys (one per band)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
@@ -104,7 +111,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE_WORDS
 
         def flush() -> pd.DataFrame:
             hashes, starts = _all_shingles(np.concatenate(found), np.array([len(x) for x in found]), size)
-            frame = pd.DataFrame(out, columns=["doc_id", "line", "start", "end", "node"]).astype({"doc_id": "Int64"})
+            frame = pd.DataFrame(out, columns=["doc_id", "text_hash", "line", "start", "end", "node"]).astype({"doc_id": "Int64"})
             frame["keys"] = list(minhash_bands(hashes, starts, bands, rows))
             out.clear()
             found.clear()
@@ -112,12 +119,12 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE_WORDS
 
         for batch in batches:
             known, waiting = _WordHashes(), 0
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+            for doc_id, text_hash, text in zip(batch["doc_id"].tolist(), batch["text_hash"].tolist(), batch["text"], strict=True):
                 at = 0
                 for line, raw in enumerate((text or b"").lower().split(b"\n")):
                     words = raw.split()
                     if len(words) >= max(1, min_words):
-                        out.append((doc_id, line, at, at + len(words), xxhash.xxh3_128_digest(b" ".join(words))))
+                        out.append((doc_id, text_hash, line, at, at + len(words), xxhash.xxh3_128_digest(b" ".join(words))))
                         found.append(_hash_words(words, known))
                         waiting += len(words)
                     at += len(words)
@@ -127,8 +134,159 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE_WORDS
             if found:
                 yield flush()
 
-    schema = "doc_id long, line int, start long, end long, node binary, keys array<long>"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, schema)
+    schema = "doc_id long, text_hash long, line int, start long, end long, node binary, keys array<long>"
+    return _texts(docs).mapInPandas(run, schema)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+
+
+# --- runs of words that repeat anywhere -----------------------------------------------------------------------------
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def window_hashes(words: np.ndarray, size: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``size`` words: the least hash of the runs of half as many words in it, and its own hash."""
+    n, half = len(words), size // 2
+    if n < size:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * np.cumprod(np.full(n, BASE)), dtype=np.uint64)])
+    back = np.cumprod(np.full(n, BASE_INVERSE))
+    runs = lambda k: _mix((sums[k:] - sums[:-k]) * back[: n - k + 1] + np.uint64(k))
+    least, width, wanted = runs(half), 1, size - half + 1
+    while 2 * width <= wanted:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    if width < wanted:
+        least = np.minimum(least[: width - wanted], least[wanted - width :])
+    return least, runs(size)
+
+
+def _windows(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """window_hashes() of many texts at once, with the number of the text and the first word of each window."""
+    lengths = np.array([len(x) for x in texts])
+    ends = np.cumsum(lengths)
+    least, whole = window_hashes(np.concatenate(texts), size)
+    text = np.repeat(np.arange(len(texts)), lengths)[: len(least)]
+    inside = np.flatnonzero(np.arange(len(least)) + size <= ends[text])
+    return text[inside], inside - (ends - lengths)[text[inside]], least[inside], whole[inside]
+
+
+def _run_keys(docs: DataFrame, size: int) -> DataFrame:
+    """row, doc_id, text_hash, digest (of the words), line (of the first word), words, keys (least hashes of the windows), apart (keys of windows that lie apart)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known, rows, found, digests, lines, waiting = _WordHashes(), [], [], [], [], 0
+
+            def flush() -> pd.DataFrame:
+                text, at, least, _ = _windows(found, size)
+                new = np.ones(len(text), dtype=bool)
+                new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
+                text, least, start, last = text[new], least[new], at[new], at[np.roll(new, -1)]
+                order = np.lexsort((start, least, text))
+                text, least, start, last = text[order], least[order], start[order], last[order]
+                begin = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (least[1:] != least[:-1])]))
+                apart = np.maximum.reduceat(last, begin) - start[begin] >= size
+                text, key = text[begin], least[begin].view(np.int64)
+                cuts = np.searchsorted(text, np.arange(1, len(found)))
+                frame = batch.iloc[rows][["row", "doc_id", "text_hash"]].reset_index(drop=True).astype({"doc_id": "Int64"})
+                frame["digest"], frame["line"], frame["words"], frame["keys"] = digests.copy(), lines.copy(), [len(x) for x in found], np.split(key, cuts)
+                frame["apart"] = [k[x] for k, x in zip(np.split(key, cuts), np.split(apart, cuts), strict=True)]
+                for held in (rows, found, digests, lines):
+                    held.clear()
+                return frame
+
+            for k, text in enumerate(batch["text"]):
+                words = (text or b"").lower().split()
+                if len(words) >= size:
+                    rows.append(k)
+                    found.append(_hash_words(words, known))
+                    digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    lines.append(text.count(b"\n", 0, len(text) - len(text.lstrip())))
+                    waiting += len(words)
+                if waiting > FLUSH_WORDS:
+                    yield flush()
+                    waiting = 0
+            if found:
+                yield flush()
+
+    texts = _texts(docs).withColumn("row", F.monotonically_increasing_id())
+    return texts.mapInPandas(run, "row long, doc_id long, text_hash long, digest binary, line int, words long, keys array<long>, apart array<long>")
+
+
+def _run_windows(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
+    """row, doc_id, at (first word), line (of it), hash, for the windows of the texts in ``hits`` with one of their keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known, out = _WordHashes(), []
+            for k, (text, keys) in enumerate(zip(batch["text"], batch["keys"], strict=True)):
+                lines = [line.split() for line in (text or b"").lower().split(b"\n")]
+                line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+                least, whole = window_hashes(_hash_words([w for x in lines for w in x], known), size)
+                at = np.flatnonzero(np.isin(least.view(np.int64), keys))
+                name = batch.iloc[k]
+                ids = pd.array([None if pd.isna(name["doc_id"]) else int(name["doc_id"])] * len(at), dtype="Int64")
+                out.append(pd.DataFrame({"row": int(name["row"]), "doc_id": ids, "at": at, "line": line[at], "hash": whole[at].view(np.int64)}))
+            if out:
+                yield pd.concat(out)
+
+    wanted = hits.select("row", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"), "keys")
+    texts = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash")))
+    return texts.select("row", "doc_id", "text", "keys").mapInPandas(run, "row long, doc_id long, at long, line int, hash long")
+
+
+def repeated_runs(docs: DataFrame, size: int = RUN_WORDS) -> DataFrame:
+    """One row per maximal span of words made of windows of ``size`` words that occur again, exactly, anywhere.
+
+    doc_id, text_hash, line (of the first word), start, end, cluster, first_doc_id, first_line, occurrences, removed.
+    A cluster is a span of first occurrences; occurrences that overlap their own first one do not count. Texts of equal
+    words are spans as a whole, and of these only the first takes part in further spans.
+    """
+    texts = written(_run_keys(docs, size))
+    names = texts.select("row", "doc_id", "text_hash", "digest", "line", "words")
+    copies = names.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "line")).alias("first"), F.count("*").alias("occurrences"))
+    copies = written(copies.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"), "occurrences"))
+    whole = names.join(copies.filter("occurrences > 1"), "digest").select(
+        "doc_id", "text_hash", "line", F.lit(0).cast("long").alias("start"), F.col("words").alias("end"), F.lower(F.hex("digest")).alias("cluster"),
+        "first_doc_id", "first_line", "occurrences", (F.col("row") != F.col("first_row")).alias("removed"),
+    )
+    distinct = texts.join(copies.select(F.col("first_row").alias("row")), "row", "left_semi")
+    keys = distinct.select("row", "doc_id", "text_hash", "apart", F.explode("keys").alias("key")).withColumn("times", F.when(F.array_contains("apart", F.col("key")), 2).otherwise(1)).drop("apart")
+    again = keys.groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
+    hits = keys.join(again, "key").groupBy("row", "doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
+    windows = written(_run_windows(docs, hits, size))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "at", "line")
+    repeated = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max("row").alias("last_row"), F.min("row").alias("least_row"), F.max("at").alias("last_at"))
+    repeated = repeated.filter((F.col("least_row") != F.col("last_row")) | (F.col("last_at") - F.col("first.at") >= size))
+    firsts = repeated.select("hash", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("line_there"))
+    # Neighbouring first occurrences are one cluster, named by its first window.
+    order = Window.partitionBy("first_row").orderBy("first_at")
+    begins = F.coalesce(F.col("first_at") - F.lag("first_at").over(order) != 1, F.lit(True))
+    here = F.struct("hash", F.col("line_there").alias("line"))
+    clusters = firsts.withColumn("cluster", F.last(F.when(begins, here), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    clusters = clusters.select("hash", "first_row", "first_at", "first_doc_id", F.col("cluster.hash").alias("cluster"), F.col("cluster.line").alias("first_line"))
+    found = windows.drop("doc_id").join(clusters, "hash").withColumn("removed", (F.col("row") != F.col("first_row")) | (F.col("at") != F.col("first_at")))
+    found = found.filter(~F.col("removed") | (F.col("row") != F.col("first_row")) | (F.col("at") - F.col("first_at") >= size))
+    order = Window.partitionBy("row").orderBy("at")
+    same = (F.col("at") - F.lag("at").over(order) <= 1) & (F.col("cluster") == F.lag("cluster").over(order)) & (F.col("first_row") == F.lag("first_row").over(order)) & (F.col("removed") == F.lag("removed").over(order))
+    found = found.withColumn("same", same).withColumn("span", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = found.groupBy("row", "span", "first_doc_id", "first_line", "cluster", "removed").agg(F.min("line").alias("line"), F.min("at").alias("start"), (F.max("at") + size).alias("end"))
+    spans = written(spans.withColumn("cluster", F.lower(F.lpad(F.hex("cluster"), 16, "0"))))
+    spans = spans.join(spans.groupBy("cluster").agg(F.count("*").alias("occurrences")), "cluster").join(names.select("row", "doc_id", "text_hash"), "row")
+    return written(whole.unionByName(spans.select(whole.columns)))
+
+
+def _not_in_lines(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The ``runs`` of clusters of which some span has words in no row of ``lines``."""
+    of_text = lines.groupBy(F.col("doc_id").alias("lines_id"), F.col("text_hash").alias("lines_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("lines"))
+    both = runs.join(of_text, F.col("doc_id").eqNullSafe(F.col("lines_id")) & (F.col("text_hash") == F.col("lines_hash")), "left")
+    reach = lambda at, line: F.when((line["start"] <= at) & (line["end"] > at), line["end"]).otherwise(at)
+    bare = F.coalesce(F.aggregate("lines", F.col("start"), reach), F.col("start")) < F.col("end")
+    return runs.join(both.filter(bare).select("cluster").distinct(), "cluster", "left_semi")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -158,7 +316,8 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, size: i
 
     doc_id, line, start, end (words of the document), cluster (hexadecimal digest of the cluster), first_doc_id and
     first_line (the occurrence that stays: smallest doc_id, then line; null ids last), occurrences, removed (false for
-    that one). Shorter lines, null and empty texts make no rows. Repeated rows of ``docs`` count as occurrences of
+    that one). Further rows are the spans of RUN_WORDS words or more that occur again word by word and of which some
+    occurrence is not made of such lines; their line is that of their first word. Null and empty texts make no rows. Repeated rows of ``docs`` count as occurrences of
     their own, of which one is not removed. An empty table gives no rows; further columns are ignored.
     """
     bands, rows = tune_bands(similarity)
@@ -173,11 +332,12 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, size: i
     named = nodes.join(groups.withColumnRenamed("node", "grouped"), F.col("node") == F.col("grouped"), "left").withColumn("component", F.coalesce("component", "node"))
     clusters = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("times").alias("occurrences")).filter("occurrences > 1")
     members = named.select("node", "component").join(clusters, "component")
-    kept = places.select("doc_id", "line", "start", "end", "node").withColumn("row", F.monotonically_increasing_id()).join(members, "node")
+    kept = places.select("doc_id", "text_hash", "line", "start", "end", "node").withColumn("row", F.monotonically_increasing_id()).join(members, "node")
     # Of repeated rows at the first place, one stays: the one with the smallest row number of the written table.
     stay = kept.filter(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("line")) == F.col("first")).groupBy("component").agg(F.min("row").alias("row"))
-    return kept.join(stay.withColumn("stays", F.lit(True)), ["component", "row"], "left").select(
+    lines = kept.join(stay.withColumn("stays", F.lit(True)), ["component", "row"], "left").select(
         "doc_id",
+        "text_hash",
         "line",
         "start",
         "end",
@@ -187,3 +347,6 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, size: i
         "occurrences",
         F.col("stays").isNull().alias("removed"),
     )
+    lines = written(lines)
+    runs = _not_in_lines(repeated_runs(docs), lines).select(lines.columns)
+    return lines.unionByName(runs).drop("text_hash")

@@ -95,6 +95,36 @@ def test_repeated_paragraphs_against_brute_force(spark):
     assert paragraph_dedup.repeated_paragraphs(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_passages_inside_and_across_lines_are_found(spark):
+    draw = np.random.default_rng(12)
+    passage, short, less = (some_words(draw, n, 10**6) for n in (50, 60, 49))
+    short_lines = some_words(draw, 56, 10**6)
+    line = lambda *parts: " ".join(w for p in parts for w in p)
+    fresh = lambda n: some_words(draw, n, 10**6)
+    texts = [
+        line(fresh(70), passage, fresh(12)) + "\n" + line(fresh(5), less),
+        line(fresh(200), passage, fresh(30)).upper(),
+        line(short[:20]) + "\n" + line(short[20:41]) + "\n" + line(short[41:]) + "\n" + line(fresh(30), less),
+        line(fresh(3)) + "\n" + line(fresh(9), short, fresh(60)),
+        " ".join(["na", "no"] * 100),
+        line(fresh(90)),
+        "\n" + "\n".join(line(x) for x in np.array_split(short_lines, 4)),
+        "\n".join(line(x) for x in np.array_split(short_lines, 4)),
+    ]
+    got = paragraph_dedup.repeated_paragraphs(docs(spark, texts)).orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.line, r.start, r.end, r.first_doc_id, r.first_line, r.occurrences, r.removed) for r in got] == [
+        (0, 0, 70, 120, 0, 0, 2, False),
+        (1, 0, 200, 250, 0, 0, 2, True),
+        (2, 0, 0, 60, 2, 0, 2, False),
+        (3, 1, 12, 72, 2, 0, 2, True),
+        (4, 0, 0, 51, 4, 0, 2, False),
+        (4, 0, 50, 200, 4, 0, 2, True),
+        (6, 1, 0, 56, 6, 1, 2, False),
+        (7, 0, 0, 56, 6, 1, 2, True),
+    ]
+    assert len({r.cluster for r in got}) == 4
+
+
 def test_long_lists_lose_no_group(spark):
     nodes = spark.createDataFrame([(k, [1, 100 + k % 3, 1000 + k // 2]) for k in range(60)], "node long, keys array<long>")
     pairs = {tuple(r) for r in candidates.candidate_pairs(nodes, 8).collect()}
