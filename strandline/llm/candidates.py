@@ -1,4 +1,8 @@
-"""Candidate pairs of nodes that share a key, without pairing up long lists."""
+"""Candidate pairs of nodes that share a key, without pairing up long lists, and the similar ones among them.
+
+Members of long lists that the pairs leave in different components meet again by prefix filtering, which is exact: sets
+of similarity s share one of their first n - ceil(s n) + 1 elements in any fixed order, here the rarest first.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import checkpoint
+from strandline.llm.common import checkpoint, written
+from strandline.llm.components import components
 
 LIST_LIMIT = 8
+#: Longer lists of the exact round are dealt into blocks of about so many nodes.
+BLOCK = 256
 
 
 def candidate_pairs(nodes: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
@@ -19,8 +26,15 @@ def candidate_pairs(nodes: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame
     again under two neighbouring keys at once, where lists are shorter; what is still long there is paired with the
     smallest node only. The number of pairs thus grows with the number of nodes, whatever a list's length.
     """
+    return _pairs(nodes, _met(nodes), list_limit)
+
+
+def _met(nodes: DataFrame) -> DataFrame:
     postings = nodes.select("node", F.posexplode("keys").alias("place", "key")).select("node", "key", "place")
-    met = checkpoint(_with_length(postings, "key").select("node", "key", "place", "n", "least"))
+    return checkpoint(_with_length(postings, "key").select("node", "key", "place", "n", "least"))
+
+
+def _pairs(nodes: DataFrame, met: DataFrame, list_limit: int) -> DataFrame:
     short = met.filter(F.col("n") <= list_limit)
     crowded = met.filter(F.col("n") > list_limit)
     both = crowded.select("node", "place").join(nodes, "node")
@@ -56,3 +70,47 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float, first: Callabl
     a, b = F.col("of_a.hashes"), F.col("of_b.hashes")
     shared = F.size(F.array_intersect(a, b))
     return both.filter(shared >= similarity * (F.size(a) + F.size(b) - shared) - 1e-9).select("a", "b")
+
+
+def similar_edges(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """Edges (a, b) that connect every two ``nodes`` (node, keys) that share a key and reach the Jaccard similarity.
+
+    ``sets_of`` gives the sets (node, hashes), without repeated hashes, of a table of nodes. Members of a list of any
+    length are connected if they are similar, by the edges of one pair or of several.
+    """
+    met = _met(nodes)
+    pairs = checkpoint(_pairs(nodes, met, list_limit))
+    sets = written(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    groups = checkpoint(components(similar(pairs, sets, similarity)))
+    rest = checkpoint(_crowded_pairs(met.filter(F.col("n") > list_limit), groups, sets, similarity))
+    return groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(similar(rest, sets, similarity))
+
+
+def _crowded_pairs(crowded: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of members of the ``crowded`` lists (node, key) that may be similar and are in different ``groups``."""
+    named = crowded.select("node", "key").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = named.join(_mixed(named, "key"), "key").select("node", "component").distinct()
+    tokens = members.join(sets.select("node", "hashes"), "node").select("node", "component", F.size("hashes").alias("size"), F.explode("hashes").alias("token"))
+    times = tokens.groupBy("token").agg(F.count("*").alias("times"))
+    ranked = tokens.join(times, "token").groupBy("node", "component", "size").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("tokens"))
+    ranked = ranked.withColumn("tokens", F.slice("tokens", F.lit(1), prefix_length(F.col("size"), similarity)))
+    postings = ranked.select("node", "component", "size", F.posexplode("tokens").alias("place", "t")).select("node", "component", "size", "place", "t.token")
+    postings = checkpoint(postings.join(_mixed(postings, "token"), "token").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    side = lambda name: F.struct("node", "component", "size", "place").alias(name)
+    left = postings.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), side("x"))
+    right = postings.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), side("y"))
+    x, y = F.col("x"), F.col("y")
+    most = F.least(x["size"] - x["place"], y["size"] - y["place"])
+    both = left.join(right, ["token", "block"]).filter((x["node"] < y["node"]) & (x["component"] != y["component"]))
+    both = both.filter((x["size"] >= similarity * y["size"] - 1e-9) & (y["size"] >= similarity * x["size"] - 1e-9))
+    both = both.filter(most >= similarity / (1 + similarity) * (x["size"] + y["size"]) - 1e-9)
+    return both.select(x["node"].alias("a"), y["node"].alias("b")).distinct()
+
+
+def prefix_length(size: Column, similarity: float) -> Column:
+    return (size - F.ceil(size * similarity - 1e-9) + 1).cast("int")
+
+
+def _mixed(lists: DataFrame, key: str) -> DataFrame:
+    """The lists, with their lengths, whose members are in several components."""
+    return lists.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select(key, "n")

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.candidates import candidate_pairs, similar
-from strandline.llm.common import checkpoint, written
+from strandline.llm.candidates import similar_edges
+from strandline.llm.common import written
 from strandline.llm.components import components
 
 #: A passage of so many words or more that occurs twice is reported wherever it stands.
@@ -324,10 +324,11 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, size: i
     places = written(paragraphs(docs, bands, rows, size, min_words))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("line"))
     nodes = places.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("times"))
-    pairs = checkpoint(candidate_pairs(nodes.select("node", "keys")))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    at = nodes.join(wanted, "node").select("node", "first.doc_id", "first.line")
-    edges = similar(pairs, checkpoint(_shingle_sets(docs, at, size)), similarity)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _shingle_sets(docs, nodes.join(wanted, "node").select("node", "first.doc_id", "first.line"), size)
+
+    edges = similar_edges(nodes.select("node", "keys"), sets_of, similarity)
     groups = components(edges)
     named = nodes.join(groups.withColumnRenamed("node", "grouped"), F.col("node") == F.col("grouped"), "left").withColumn("component", F.coalesce("component", "node"))
     clusters = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("times").alias("occurrences")).filter("occurrences > 1")

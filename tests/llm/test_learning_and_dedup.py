@@ -131,6 +131,17 @@ def test_long_lists_lose_no_group(spark):
     assert {(k, k + 1) for k in range(0, 60, 2)} <= pairs and {(0, k) for k in range(1, 60)} <= pairs and len(pairs) < 60 * 10
 
 
+def test_similar_members_of_a_long_list_are_connected(spark):
+    draw = np.random.default_rng(13)
+    sets = [set(map(int, draw.integers(0, 1 << 40, 50))) | set(range(20)) for _ in range(60)]
+    sets[41] = set(list(sets[40])[3:]) | {-1}
+    nodes = spark.createDataFrame([(k, [1, 2, 3]) for k in range(60)], "node long, keys array<long>")
+    held = spark.createDataFrame([(k, sorted(x)) for k, x in enumerate(sets)], "node long, hashes array<long>")
+    assert (40, 41) not in {tuple(r) for r in candidates.candidate_pairs(nodes, 8).collect()}
+    edges = candidates.similar_edges(nodes, lambda wanted: held.join(wanted, "node"), 0.8, 8)
+    assert {tuple(r) for r in edges.filter("a <> b").collect()} == {(40, 41)}
+
+
 # --- SimHash ------------------------------------------------------------------------------------------------------------
 
 
