@@ -19,9 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.candidates import candidate_pairs, similar
+from strandline.llm.candidates import similar_edges
 from strandline.llm.common import checkpoint, written
 from strandline.llm.components import components
+from strandline.llm.paragraph_dedup import _hash_words, _WordHashes, shingle_hashes
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -123,91 +124,71 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int
 
 # --- near copies by similarity of word shingles ---------------------------------------------------------------------
 
-WIDE_BYTES = 32
-WIDE_KEYS = 64
-KEY_BYTES = 4
-MIN_SHARED = 10
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 
 
-def _key_places(keys: int = WIDE_KEYS) -> np.ndarray:
-    """The byte positions of each key of the wide index: fixed, and spread evenly over all positions."""
-    draw = np.random.default_rng(0)
-    order = np.concatenate([draw.permutation(WIDE_BYTES) for _ in range(-(-keys * KEY_BYTES // WIDE_BYTES))])
-    return order[: keys * KEY_BYTES].reshape(keys, KEY_BYTES)
+def _shingle_set(words: list[bytes], known: _WordHashes, size: int) -> np.ndarray:
+    """The sorted hashes of the word shingles; none without words."""
+    return np.unique(shingle_hashes(_hash_words(words, known), size)) if words else np.empty(0, dtype=np.uint64)
 
 
-def _text_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with digest (of the words) and wide (256-bit SimHash of the set of words)."""
+def _text_rows(docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """``docs`` with digest (of the words) and keys (the least shingle hashes, of which similar sets share one).
+
+    Sets of n and m hashes with Jaccard similarity s share at least s n and s m of them, so the n - ceil(s n) + 1 least
+    of one and the m - ceil(s m) + 1 least of the other have one in common, whatever the lengths.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            known: dict[bytes, bytes] = {}
-            digests, wides = [], []
+            known = _WordHashes()
+            digests, keys = [], []
             for text in batch.column("text").to_pylist():
                 words = (text or "").encode().lower().split()
-                for w in (distinct := set(words)):
-                    if w not in known:
-                        known[w] = xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2)
+                least = _shingle_set(words, known, size)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                wides.append(_majority(b"".join([known[w] for w in distinct]), WIDE_BYTES))
-            added = [pa.array(digests, pa.binary()), pa.array(wides, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*[f"c{k}" for k in range(batch.num_columns)], "digest", "wide"])
+                keys.append(least[: len(least) - int(np.ceil(similarity * len(least) - 1e-9)) + 1].view(np.int64))
+            added = [pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*[f"c{k}" for k in range(batch.num_columns)], "digest", "keys"])
 
-    schema = ", ".join([*[f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)], "digest binary, wide binary"])
+    schema = ", ".join([*[f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)], "digest binary, keys array<long>"])
     return docs.mapInArrow(run, schema)
 
 
-def _with_keys(nodes: DataFrame) -> DataFrame:
-    """node, keys: the number of each key and its four positional bytes of ``wide``, as one long."""
-    places = _key_places()
-    number = (np.arange(len(places), dtype=np.int64) << np.int64(32))[None, :]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            table = np.frombuffer(b"".join(batch["wide"]), dtype=np.uint8).reshape(-1, WIDE_BYTES)
-            keys = number + np.ascontiguousarray(table[:, places]).view("<u4")[:, :, 0].astype(np.int64)
-            yield pd.DataFrame({"node": batch["node"], "keys": list(keys)})
-
-    return nodes.select("node", "wide").mapInPandas(run, "node long, keys array<long>")
-
-
-def _tally(a: Column, b: Column) -> Column:
-    """How many positional bytes two wide fingerprints share."""
-    return sum((F.substring(a, k + 1, 1) == F.substring(b, k + 1, 1)).cast("int") for k in range(WIDE_BYTES))
-
-
 def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles((t or b"").lower().split(), size)], dtype=np.uint64)).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "wide": batch["wide"], "hashes": sets})
+            known = _WordHashes()
+            sets = [_shingle_set((t or b"").lower().split(), known, size).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "hashes": sets})
 
-    return texts.mapInPandas(run, "node long, wide binary, hashes array<long>")
+    return texts.mapInPandas(run, "node long, hashes array<long>")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIMILAR_WORDS) -> DataFrame:
     """``docs`` with one document of each group of exact and near copies: the smallest doc_id, null ids last.
 
-    Texts with equal words (ignoring ASCII case and spacing) are exact copies. For the others, a 256-bit SimHash of the
-    set of words is indexed by keys of four positional bytes; pairs that meet are tallied by shared bytes and verified by
-    the exact Jaccard similarity of their ``size``-word shingles. Null and empty texts are copies of each other. Of
+    Texts with equal words (ignoring ASCII case and spacing) are exact copies. For the others, the sets of hashes of
+    their ``size``-word shingles are indexed by as many of the least as any set of that Jaccard similarity must share one
+    of; pairs that meet are verified exactly. No similar pair is missed. Null and empty texts are copies of each other. Of
     repeated rows one stays. An empty table gives no rows; all columns are kept.
     """
     names = {f"c{k}": name for k, name in enumerate(docs.columns)}
     text, doc_id = (next(k for k, name in names.items() if name == wanted) for wanted in ("text", "doc_id"))
-    rows = written(_text_rows(docs).withColumn("row", F.monotonically_increasing_id()))
+    rows = written(_text_rows(docs, similarity, size).withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), F.col("row")))
-    nodes = rows.groupBy("digest").agg(first.alias("first"), F.first("wide").alias("wide"))
-    nodes = written(nodes.select(F.col("first.row").alias("node"), "first", "wide"))  # a text's node is named by its first row
-    pairs = checkpoint(candidate_pairs(_with_keys(nodes)))
-    chosen = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    texts = rows.select(F.col("row"), "wide", F.col(text).cast("binary").alias("text")).join(chosen, "row").select(F.col("row").alias("node"), "wide", "text")
-    enough = lambda a, b: _tally(a["wide"], b["wide"]) >= MIN_SHARED
-    edges = similar(pairs, written(_shingle_sets(texts, size)), similarity, enough)
+    nodes = rows.groupBy("digest").agg(first.alias("first"))
+    nodes = written(nodes.select(F.col("first.row").alias("node"), "first"))  # a text's node is named by its first row
+    keyed = written(rows.select(F.col("row").alias("node"), "keys").join(nodes.select("node"), "node", "left_semi"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = rows.select(F.col("row").alias("node"), F.col(text).cast("binary").alias("text"))
+        return _shingle_sets(texts.join(wanted, "node"), size)
+
+    edges = similar_edges(keyed, sets_of, similarity)
     groups = components(edges).withColumnRenamed("node", "grouped")
     named = nodes.join(groups, F.col("node") == F.col("grouped"), "left").select("first", F.coalesce("component", "node").alias("component"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))

@@ -213,6 +213,20 @@ def test_one_document_of_each_near_copy_group_stays(spark):
     assert simhash.drop_near_copies(d.limit(0)).count() == 0
 
 
+def test_truncated_extended_and_short_copies_all_go(spark):
+    draw = np.random.default_rng(14)
+    texts = []
+    for _ in range(25):
+        for whole, part in ((100, 81), (220, 177), (100, 90)):
+            words = some_words(draw, whole, 10**7)
+            texts += [" ".join(words), " ".join(words[:part])]
+        for n in (14, 20):
+            words = some_words(draw, n, 10**7)
+            texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(docs(spark, texts)).collect())
+    assert kept == list(range(0, len(texts), 2))
+
+
 # --- token counts -------------------------------------------------------------------------------------------------------
 
 
