@@ -92,3 +92,29 @@ def test_empty_series_give_empty_forecasts(spark):
     assert none.count() == 0
     out = forecast.forecast(rows, none, ["series_id"]).toPandas()
     assert out.next_ts.isna().all() and (out.note != "").all()
+
+
+def test_best_model_scores_all_default_segments(spark, monkeypatch):
+    from strandline.operators import forecast, peaks
+    from strandline.params import DEFAULTS
+    from strandline.plans import queries
+
+    seen = []
+    segments, backtest = peaks.backtest_segments, forecast.backtest
+    monkeypatch.setattr(peaks, "backtest_segments", lambda s, t, k, p=DEFAULTS: seen.append(p) or segments(s, t, k, p))
+    monkeypatch.setattr(forecast, "backtest", lambda *a, p=DEFAULTS: seen.append(p) or backtest(*a, p=p))
+    queries.queries()["best_model_per_quartile"](spark, "/root/testdata/sf0.001")
+    assert [p.backtest_segments for p in seen] == [DEFAULTS.backtest_segments] * 2
+
+
+def test_point_forecasts_do_not_depend_on_draws():
+    import numpy as np
+
+    from strandline.operators import forecast
+    from strandline.params import Params
+
+    day = np.arange(0, 208, 0.25)
+    value = 5 + 0.02 * day + (day % 30) * 0.4 + np.random.default_rng(0).normal(0, 0.1, len(day))
+    tops = [int(np.argmax(np.where((day >= k) & (day < k + 30), value, -1))) for k in range(0, 180, 30)]
+    made = [[forecast.get_model(m)(forecast.Series(day, value, day[tops], value[tops], Params(draws=n))) for m in forecast.list_models()] for n in (0, 20)]
+    assert [(f.day, f.value) for f in made[0]] == [(f.day, f.value) for f in made[1]] and any(f.low is not None for f in made[1])
