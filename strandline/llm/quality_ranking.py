@@ -7,15 +7,13 @@ feature differences. A document's score is then cut at the quantile of training
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import fold
+from strandline.llm.common import fold, ids_and_bytes, keep_rows, map_texts
 from strandline.llm.labelled import MAX_LABELLED, training_sample
 from strandline.llm.textstats import FEATURES, statistics
 
@@ -79,16 +77,18 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Rank
     return Ranking(centre, scale, weights, cut, steepness)
 
 
+def _scores(texts: list, ranking: Ranking) -> np.ndarray:
+    return ranking.score(np.array([statistics(t)[1] for t in texts], dtype=float).reshape(len(texts), len(FEATURES)))
+
+
 def score_documents(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """One row per document: doc_id, score, predicted. Null and empty texts are scored like any other (all statistics 0)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([statistics(t)[1] for t in batch["text"]], dtype=float).reshape(len(batch), len(FEATURES))
-            score = ranking.score(x)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score, "predicted": (score >= THRESHOLD).astype("int32")})
+    def compute(texts: list) -> list:
+        score = _scores(texts, ranking)
+        return [score, (score >= THRESHOLD).astype(np.int32)]
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, "doc_id bigint, score double, predicted int")
+    return map_texts(ids_and_bytes(docs), "score double, predicted int", compute)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
@@ -104,13 +104,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELL
 
 def keep_good(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """The rows of ``docs`` that are predicted good, with all their columns, in one pass."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            x = np.array([statistics(t.encode() if t is not None else None)[1] for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
-            yield batch.filter(pa.array(ranking.score(x) >= THRESHOLD, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, lambda texts: _scores([None if t is None else t.encode() for t in texts], ranking) >= THRESHOLD)

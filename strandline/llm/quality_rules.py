@@ -7,14 +7,12 @@ arrays, and a whole batch of documents walks through all of them at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from strandline.llm.common import ids_and_bytes, map_texts
 from strandline.llm.labelled import MAX_LABELLED, training_sample
 from strandline.llm.textstats import FEATURES, statistics
 
@@ -31,7 +29,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, rule_score double, kept boolean"
+SCHEMA = ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, rule_score double, kept boolean"
 
 
 @dataclass(frozen=True)
@@ -119,17 +117,15 @@ def apply_rules(docs: DataFrame, forest: Forest, keep_at: float = KEEP_AT) -> Da
     Null texts count as empty; fewer than MIN_WORDS words fail the base rules, so empty texts are not kept.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            both = [statistics(t) for t in batch["text"]]
-            out = pd.DataFrame([c for c, _ in both], columns=list(COUNTS)).astype("int64")
-            x = np.array([v for _, v in both], dtype=float).reshape(len(batch), len(FEATURES))
-            failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-            score = forest.score(x)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.assign(base_failed=failed, rule_score=score, kept=~failed & (score >= keep_at))
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, SCHEMA)
+    def compute(texts: list) -> list:
+        both = [statistics(t) for t in texts]
+        counts = [np.array([c[name] for c, _ in both], dtype=np.int64) for name in COUNTS]
+        of = dict(zip(COUNTS, counts, strict=True))
+        failed = (of["n_words"] < MIN_WORDS) | (100 * of["n_repeat_words"] > MAX_REPEAT_PERCENT * of["n_words"])
+        score = forest.score(np.array([v for _, v in both], dtype=float).reshape(len(texts), len(FEATURES)))
+        return [*counts, failed, score, ~failed & (score >= keep_at)]
+
+    return map_texts(ids_and_bytes(docs), SCHEMA, compute)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 
 #: UTF-8 bytes of the characters that count as symbols.
 SYMBOLS = np.frombuffer(b"#*$%&|<>", dtype=np.uint8)
@@ -104,8 +101,3 @@ def statistics(text: bytes | None) -> tuple[dict, np.ndarray]:
     ], dtype=float)
     return counts, features
 
-
-def feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: (label, text) to (label, features)."""
-    for batch in batches:
-        yield pd.DataFrame({"label": batch["label"], "features": [statistics(t)[1] for t in batch["text"]]})
