@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.common import written
+
 # Fixed values of the base scan.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_MIN = 6
@@ -21,7 +23,8 @@ HEX_MIN = 24
 
 #: Weak candidates: shown only when linked.
 ACCOUNT = r"""(?i)\b(?:client|access|account|key|user)[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*+[0-9])(?=[A-Z0-9+/]*+[a-z])(?=[a-z0-9+/]*+[A-Z])[A-Za-z0-9+/]{32,64}+(?![A-Za-z0-9+/_-])"
+#: A run of the base64 alphabets, standard or URL-safe, of 32 characters or more of any length, with its padding.
+RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}+={0,2}"
 ENDPOINT = r"(?i)\b(?:https?|s?ftp|ssh|jdbc:[a-z0-9]+|amqps?|rediss?|mongodb|postgres(?:ql)?|mysql)://[^\s\x22'<>|]+"
 
 KINDS = ("assign", "access", "hex", "account", "random", "endpoint")
@@ -75,18 +78,11 @@ def _shown(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def find_secrets(docs: DataFrame, scope: int = SCOPE, keep: tuple = ()) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, n_linked, base_sha256, spans, found.
-
-    ``found`` is the sorted array of struct(start, kind, end); ``spans`` is the same as kind:start:end text. A weak
-    account needs a secret within ``scope`` code points, a random string an account, access key or endpoint, an
-    endpoint both an account or access key and a secret. Null and empty texts have no spans. Equal rows each get the
-    same result. ``keep`` names further columns of ``docs`` to carry along.
-    """
+def scan_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, base, weak for every row: sorted spans that are secrets, and those that need complements."""
     text = F.coalesce(F.col("text"), F.lit(""))
     scanned = docs.select(
-        F.col("doc_id"),
-        *[F.col(c).alias(f"kept_{c}") for c in keep],
+        "doc_id",
         F.xxhash64(text).alias("text_hash"),
         _spans(text, ASSIGN, 0, ASSIGN_MIN, 2).alias("assign"),
         _spans(text, rf"AKIA[A-Z0-9]{{{ACCESS_MIN - 4},}}", 1).alias("access"),
@@ -95,14 +91,27 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, keep: tuple = ()) -> DataF
         _spans(text, RANDOM, 4).alias("random"),
         _spans(text, ENDPOINT, 5).alias("endpoint"),
     )
-    scanned = scanned.withColumn("base", F.array_sort(F.concat("assign", "access", "hex"))).withColumn("weak", F.concat("account", "random", "endpoint"))
-    linked = _link(scanned.filter((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)), scope)
+    return scanned.select("doc_id", "text_hash", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), F.array_sort(F.concat("account", "random", "endpoint")).alias("weak"))
+
+
+def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_assign, n_access, n_hex, n_linked, base_sha256, spans, found.
+
+    ``found`` is the sorted array of struct(start, kind, end); ``spans`` is the same as kind:start:end text. A weak
+    account needs a secret within ``scope`` code points, a random string an account, access key or endpoint that it is
+    no part of, an endpoint both an account or access key and a secret. Null and empty texts have no spans. Equal rows each get the
+    same result, null ids are no different from others, an empty table gives no rows, further columns are ignored.
+    Texts are scanned once; the spans are written, and linked from there.
+    """
+    scanned = written(scan_spans(docs))
+    linked = _link(scanned.filter((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).dropDuplicates(["doc_id", "text_hash"]), scope)
     joined = scanned.join(linked, scanned["doc_id"].eqNullSafe(linked["linked_id"]) & (scanned["text_hash"] == linked["linked_hash"]), "left")
     found = F.array_sort(F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked")))
+    counted = [F.size(F.filter("base", lambda s: s["kind"] == F.lit(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     return joined.withColumn("found", found).select(
         scanned["doc_id"],
-        *[F.col(f"kept_{c}").alias(c) for c in keep],
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
+        "text_hash",
+        *counted,
         F.coalesce(F.size("linked"), F.lit(0)).cast("long").alias("n_linked"),
         F.sha2(_shown(F.col("base")), 256).alias("base_sha256"),
         _shown(F.col("found")).alias("spans"),
@@ -124,26 +133,35 @@ def _link(scanned: DataFrame, scope: int) -> DataFrame:
         ahead = F.min(F.when(here, F.col("start"))).over(reverse.rowsBetween(Window.unboundedPreceding, -1))
         return F.coalesce(F.col("start") - back <= scope, F.lit(False)) | F.coalesce(ahead - F.col("end") <= scope, F.lit(False))
 
-    near_parts = parts.select("*", *[near(p).alias(f"near_{p}") for p in ("id", "secret", "endpoint")])
+    # A random string in the middle of an address is a part of the address.
+    inside = F.coalesce(F.max(F.when(F.col("part") == "endpoint", F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start"), F.lit(False))
+    near_parts = parts.select("*", inside.alias("inside"), *[near(p).alias(f"near_{p}") for p in ("id", "secret", "endpoint")])
     complete = (
         F.when(F.col("kind") == 3, F.col("near_secret"))
-        .when(F.col("kind") == 4, F.col("near_id") | F.col("near_endpoint"))
+        .when(F.col("kind") == 4, (F.col("near_id") | F.col("near_endpoint")) & ~F.col("inside"))
         .when(F.col("kind") == 5, F.col("near_id") & F.col("near_secret"))
     )
     return near_parts.filter(complete).groupBy("linked_id", "linked_hash").agg(F.collect_set(F.struct("start", "kind", "end")).alias("linked"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every reported span replaced by ``mark``; overlapping spans become one mark. Texts without spans stay."""
+    """``docs`` with every reported span replaced by ``mark``; overlapping spans become one mark. Texts without spans stay.
+
+    Only the spans of texts that have some meet their texts again.
+    """
     carried = {f"carried_{k}": c for k, c in enumerate(docs.columns)}
-    found = find_secrets(docs.select("doc_id", "text", *[F.col(c).alias(k) for k, c in carried.items()]), scope, ("text", *carried))
+    text_key, id_key = (next(k for k, c in carried.items() if c == wanted) for wanted in ("text", "doc_id"))
+    spans = find_secrets(docs.select("doc_id", "text"), scope).filter(F.size("found") > 0)
+    spans = spans.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), "found")
+    rows = docs.toDF(*carried).withColumn("row_hash", F.xxhash64(F.coalesce(F.col(text_key), F.lit(""))))
+    both = rows.join(spans, F.col(id_key).eqNullSafe(F.col("span_id")) & (F.col("row_hash") == F.col("span_hash")), "left")
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
 
     def cut(done: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= done["at"], F.concat(F.substr(F.col("text"), (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int")), F.lit(mark))).otherwise("")
+        gap = F.when(s["start"] >= done["at"], F.concat(F.substr(F.col(text_key), (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int")), F.lit(mark))).otherwise("")
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["text"], gap).alias("text"))
 
     done = F.aggregate("found", empty, cut)
-    clean = F.transform(F.array(done), lambda d: F.concat(d["text"], F.substr(F.col("text"), (d["at"] + 1).cast("int"))))
-    text = F.when(F.size("found") > 0, F.get(clean, F.lit(0))).otherwise(F.col("text"))
-    return found.select(*[(text if c == "text" else F.col(k)).alias(c) for k, c in carried.items()])
+    clean = F.transform(F.array(done), lambda d: F.concat(d["text"], F.substr(F.col(text_key), (d["at"] + 1).cast("int"))))
+    text = F.when(F.col("found").isNotNull(), F.get(clean, F.lit(0))).otherwise(F.col(text_key))
+    return both.select(*[(text if c == "text" else F.col(k)).alias(c) for k, c in carried.items()])
