@@ -5,9 +5,9 @@ up to t, scaled to the source's target, is the cumulative demand for its words.
 demand; inverting the demand at the interval's middle gives the document's training position, and sorting all documents
 by position gives the training order. A source that is wanted more than once over is read in several passes.
 
-All of it is DataFrame code. Documents of one source are dealt to buckets by a hash of their ids, sizes are summed per
-bucket, and only those sums are accumulated over a whole source, so that a source with a third of all rows is spread
-over many tasks.
+All of it is DataFrame code. Documents of one source follow a hash of id and text, which is cut into small buckets;
+sizes are summed per bucket, per group of buckets and per group of groups, and running totals are taken level by level,
+so that a source with a third of all rows is spread over many tasks and no task holds more than a group's rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ WEIGHTS = (5, 2, 1)
 #: Start and end weight of each source's schedule, repeating along the sources like the weights.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 MAX_REPEATS = 3
-BUCKET_DOCS = 1024
+#: Documents of all sources in a bucket, on average, and the children of a group at the levels above.
+BUCKET_DOCS = 64
+FAN_OUT = 1024
 
 
 def _cycle(values: tuple, rank: Column) -> Column:
@@ -62,6 +64,22 @@ def source_targets(buckets: DataFrame, weights: tuple = WEIGHTS, max_repeats: in
     )
 
 
+def _offsets(buckets: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """``buckets`` (no_source, source_key, bucket, bucket_size) with bucket_offset: the sizes before it in its source.
+
+    Two levels of groups stand above the buckets, so a window holds ``fan_out`` rows, and the last one as many as
+    there are groups of groups.
+    """
+    source = ["no_source", "source_key"]
+    levels = [buckets.withColumnsRenamed({"bucket": "g0", "bucket_size": "s0"}).withColumns({"g1": F.floor(F.col("g0") / fan_out), "g2": F.floor(F.col("g0") / fan_out**2)})]
+    levels.append(levels[0].groupBy(*source, "g1", "g2").agg(F.sum("s0").alias("s1")))
+    levels.append(levels[1].groupBy(*source, "g2").agg(F.sum("s1").alias("s2")))
+    before = lambda k, inside: F.coalesce(F.sum(f"s{k}").over(Window.partitionBy(*source, *inside).orderBy(f"g{k}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    low, middle, top = (levels[k].withColumn(f"o{k}", before(k, inside)) for k, inside in ((0, ["g1"]), (1, ["g2"]), (2, [])))
+    joined = low.join(middle.select(*source, "g1", "o1"), [*source, "g1"]).join(top.select(*source, "g2", "o2"), [*source, "g2"])
+    return joined.select(*source, F.col("g0").alias("bucket"), (F.col("o0") + F.col("o1") + F.col("o2")).alias("bucket_offset"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple = WEIGHTS,
@@ -73,31 +91,30 @@ def mix_sources(
     """One row per document: doc_id, size, source_size, target, taken, passes, position, occurrences.
 
     Sources are ordered by code point, null last; ``weights`` and ``schedules`` repeat along them. Within a source
-    documents follow a hash of their id; each full pass takes all of them, and the last pass stops at the demand's end,
-    in the middle of a document if need be. ``occurrences`` has a struct (pass, words, position) for every time the
-    document is read. Null text has size 0 and is taken 0 times; position is then null. Repeated rows are mixed like
-    different documents; equal rows get equal hashes and may swap places. An empty table gives no rows. ``keep`` names
-    further columns of ``docs`` to carry along.
+    documents follow a hash of their id and text; each full pass takes all of them, and the last pass stops at the
+    demand's end, in the middle of a document if need be. ``occurrences`` has a struct (pass, words, position) for every
+    time the document is read. Null text has size 0 and is taken 0 times; position is then null. Repeated rows are mixed
+    like different documents; equal rows get equal hashes and may swap places. Rows with a null or shared id are dealt
+    by their texts. An empty table gives no rows. ``keep`` names further columns of ``docs`` to carry along; others are
+    ignored, whatever their names.
     """
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     sized = docs.select(
         "doc_id",
         *[F.col(c).alias(f"kept_{c}") for c in keep],
         F.col("source").isNull().alias("no_source"),
         F.coalesce("source", F.lit("")).alias("source_key"),
         word_count(F.col("text")).alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("mix_hash"),
+        F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("mix_hash"),
     )
     n_buckets = max(1, math.ceil(docs.count() / bucket_docs))
-    sized = sized.withColumn("bucket", F.pmod("mix_hash", F.lit(n_buckets)))
+    sized = sized.withColumn("bucket", F.floor(F.col("mix_hash") / math.ceil(16**15 / n_buckets)))
     place = ["no_source", "source_key", "bucket"]
     buckets = sized.groupBy(*place).agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("no_source", "source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = buckets.withColumn("bucket_offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).join(
-        source_targets(buckets, weights, max_repeats), ["no_source", "source_key"]
-    )
+    plan = _offsets(buckets).join(source_targets(buckets, weights, max_repeats), ["no_source", "source_key"])
     inside = Window.partitionBy(*place).orderBy("mix_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        sized.join(plan.drop("bucket_size"), place)
+        sized.join(plan, place)
         .withColumn("offset", F.col("bucket_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size").cast("double"))).otherwise(0).cast("long"))
         .withColumn("rest", F.floor(F.col("target") + 0.5).cast("long") - F.col("full") * F.col("source_size"))

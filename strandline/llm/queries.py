@@ -17,7 +17,7 @@ def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("found")
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("found", "text_hash")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,17 +59,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS sk, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
-b AS (SELECT *, h % greatest(1, ceil((SELECT count(*) FROM documents) / 1024.0)::BIGINT) AS bucket FROM d),
-s AS (SELECT no_source, sk, sum(size)::BIGINT AS source_size FROM b GROUP BY ALL),
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT no_source, sk, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (ORDER BY no_source, sk) AS place FROM s),
 w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM r),
 l AS (SELECT *, sum(source_size) OVER () AS total,
   coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight::DOUBLE, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps_before,
   sum(weight) OVER (ORDER BY cap::DOUBLE / weight::DOUBLE, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights_left FROM w),
 t AS (SELECT no_source, sk, source_size, place, least(cap::DOUBLE, max((total - caps_before)::DOUBLE / weights_left::DOUBLE) OVER () * weight::DOUBLE) AS target FROM l),
-o AS (SELECT b.*, source_size, place, target,
-  coalesce(sum(size) OVER (PARTITION BY no_source, sk ORDER BY bucket, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM b JOIN t USING (no_source, sk)),
+o AS (SELECT d.*, source_size, place, target,
+  coalesce(sum(size) OVER (PARTITION BY no_source, sk ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM d JOIN t USING (no_source, sk)),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS whole FROM o),
 g AS (SELECT *, least(greatest(floor(target + 0.5)::BIGINT - whole * source_size - off, 0), size) AS last_words FROM f),
 p AS (SELECT *, CASE WHEN whole > 0 THEN size ELSE last_words END AS words, CASE (place - 1) % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS from_w,
