@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import checkpoint
+from strandline.llm.common import map_texts, written
 
 HEAD = 1 << 18
 FLUSH = 400_000
@@ -34,17 +34,18 @@ SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^
 class Pieces:
     """Splitting and counting with one tokenizer file: .json by tokenizers, .model by sentencepiece.
 
-    A .json whose pre-tokenizer is not the plain byte-level one, and any .model, is not split: the text is one pre-token.
+    A .model, and a .json without a pre-tokenizer or with special strings that take in their surroundings, has no
+    pre-tokens that are independent of each other: ``splits`` is false, and texts are counted whole.
     """
 
     def __init__(self, path: str) -> None:
         self.special: list[str] = []
-        self.byte_level = False
+        self.byte_level = self.splits = False
         if path.endswith(".model"):
             import sentencepiece
 
             processor = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.count = lambda texts: [len(ids) for ids in processor.encode(texts, num_threads=1)]
+            self.whole = lambda texts: [len(ids) for ids in processor.encode(texts, num_threads=1)]
             return
         import json
 
@@ -56,18 +57,24 @@ class Pieces:
         config = json.loads(tokenizer.to_str())
         before = config["pre_tokenizer"] or {}
         self.byte_level = config["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.byte_level = self.byte_level and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in config["added_tokens"])
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] and config["normalizer"] for t in config["added_tokens"])
+        self.byte_level, self.splits = self.byte_level and plain, bool(before) and plain
         self.special = [t["content"] for t in config["added_tokens"]]
+        self.normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
         self.library_split = tokenizer.pre_tokenizer.pre_tokenize_str if tokenizer.pre_tokenizer else None
         self.count = lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.whole = self.count
+        if self.splits and not self.byte_level:
+            named = set(self.special)
+            self.count = lambda pieces: [1 if p in named else len(tokenizer.model.tokenize(p)) for p in pieces]
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens; a special token's string is one of its own."""
-        if not self.byte_level:
-            return [text] if text else []
         if any(s in text for s in self.special):
             parts = re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text)
             return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self.split(part))]
+        if not self.byte_level:
+            return [piece for piece, _ in self.library_split(self.normal(text))]
         if PLAIN.match(text):
             return SPLIT.findall(text)
         return [text[a:b] for _, (a, b) in self.library_split(text)]
@@ -97,8 +104,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, head: int = HEAD, limit: int =
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens above ``limit``).
 
     ``tokenizer`` is the path of a tokenizer file that every executor has. Null counts as empty: 0 bytes, 0 tokens.
-    Repeated rows each get their row, an empty table gives no rows, further columns are ignored. At most ``head``
-    pre-tokens are held by a task, the rest is joined, with the same result for any ``head``.
+    Repeated rows each get their row, ids of any kind and nulls pass as they are, an empty table gives no rows, further
+    columns are ignored. At most ``head`` pre-tokens are held by a task, the rest is joined, with the same result for
+    any ``head``. A tokenizer without independent pre-tokens counts whole texts, without a shuffle.
     """
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,24 +125,25 @@ def count_tokens(docs: DataFrame, tokenizer: str, head: int = HEAD, limit: int =
             yield batch.assign(tokens=pieces(tokenizer).count(batch["piece"].tolist()))
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if not pieces(tokenizer).splits:
+        counts = map_texts(texts, "n_bytes long, n_tokens long", lambda values: [[len(t.encode()) for t in values], pieces(tokenizer).whole(values)])
+        return counts.withColumn("over_limit", F.col("n_tokens") > limit)
     counted = texts.select("text").mapInPandas(distinct, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    vocabulary = checkpoint(counted.mapInPandas(encode, "piece string, n long, tokens long"))
+    vocabulary = written(counted.mapInPandas(encode, "piece string, n long, tokens long"))
     top = _most_frequent(vocabulary, head)
     known = docs.sparkSession.sparkContext.broadcast({r.piece: r.tokens for r in top.select("piece", "tokens").collect()})
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(values: list) -> list:
         cost = known.value
-        for batch in batches:
-            n_bytes, n_tokens, rest = [], [], []
-            for text in batch["text"]:
-                frequency = Counter(pieces(tokenizer).split(text))
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(sum(n * cost.get(p, 0) for p, n in frequency.items()))
-                rest.append([{"piece": p, "n": n} for p, n in frequency.items() if p not in cost])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": n_bytes, "head_tokens": n_tokens, "rest": rest})
-
-    summed = texts.mapInPandas(sums, "doc_id long, n_bytes long, head_tokens long, rest array<struct<piece:string,n:long>>")
-    summed = checkpoint(summed.withColumn("row", F.monotonically_increasing_id()))
+        n_tokens, rest = [], []
+        for text in values:
+            frequency = Counter(pieces(tokenizer).split(text))
+            n_tokens.append(sum(n * cost.get(p, 0) for p, n in frequency.items()))
+            rest.append([{"piece": p, "n": n} for p, n in frequency.items() if p not in cost])
+        return [[len(t.encode()) for t in values], n_tokens, rest]
+
+    summed = map_texts(texts, "n_bytes long, head_tokens long, rest array<struct<piece:string,n:long>>", sums)
+    summed = written(summed.withColumn("row", F.monotonically_increasing_id()))
     rest = summed.select("row", F.explode("rest").alias("p")).select("row", "p.piece", F.col("p.n").alias("times"))
     rest_tokens = rest.join(vocabulary.select("piece", "tokens"), "piece").groupBy("row").agg(F.sum(F.col("times") * F.col("tokens")).alias("rest_tokens"))
     n_tokens = F.col("head_tokens") + F.coalesce("rest_tokens", F.lit(0))
