@@ -19,11 +19,10 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import checkpoint, shared_dir
+from strandline.llm.common import shared_dir, written
 
 RECORDS, INDEX = "archive/records.warc.gz", "indexes/records.idx"
 ARCHIVE_BYTES = 16 << 20
@@ -102,24 +101,26 @@ def page_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``records`` and return the manifest: path, n_records. A task holds one archive of about ``archive_bytes``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         body, index = bytearray(), []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             fs, base = _file_system(folder)
             name = f"{base}/{uuid.uuid4().hex}.zip"
             with fs.open_output_stream(f"{name}.part") as out:
                 out.write(zip_bytes([(RECORDS, bytes(body)), (INDEX, "\n".join(index).encode())]))
             fs.move(f"{name}.part", name)
-            row = pd.DataFrame({"path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "n_records": [len(index)]})
+            row = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rsplit('/', 1)[1]}"]), pa.array([len(index)], pa.int64())], ["path", "n_records"])
             body.clear()
             index.clear()
             return row
 
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                page_id, refers_to = (None if pd.isna(v) else int(v) for v in (r.page_id, r.refers_to))
-                record = warc_record(page_id, r.url, r.payload or b"", int(r.n_bytes), r.digest, refers_to)
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "n_bytes", "digest", "refers_to")]
+            for page_id, url, payload, n_bytes, digest, refers_to in zip(*columns, strict=True):
+                record = warc_record(page_id, url, payload or b"", n_bytes, digest, refers_to)
                 index.append(f"{len(body)} {len(record)}")
                 body += record
                 if len(body) >= archive_bytes:
@@ -129,7 +130,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 
     fs, base = _file_system(folder)
     fs.create_dir(base, recursive=True)
-    return records.mapInPandas(run, "path string, n_records long")
+    return records.mapInArrow(run, "path string, n_records long")
 
 
 # --- reading ---------------------------------------------------------------------------------------------------------
@@ -199,10 +200,14 @@ def parse_record(data: bytes) -> dict:
 
 def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
     """One row per record of the archives at ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for."""
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payload]
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for path in (p for batch in batches for p in batch["path"]):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        number, text = pa.int64(), pa.string()
+        kinds = {"page_id": number, "payload_bytes": number, "payload_digest": text, "record_type": text, "refers_to": number} | ({"payload": pa.binary()} if payload else {})
+        for path in (p for batch in batches for p in batch.column("path").to_pylist()):
             fs, name = _file_system(path)
             with fs.open_input_file(name) as file:
                 read = lambda at, n, f=file: f.read_at(n, at)
@@ -210,12 +215,10 @@ def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
                 start = member_start(read, by_name[RECORDS])
                 index = read(member_start(read, by_name[INDEX]), by_name[INDEX].size).decode().split("\n")
                 for k in range(0, len(index), 500):
-                    places = [tuple(map(int, line.split())) for line in index[k : k + 500]]
-                    out = pd.DataFrame([parse_record(read(start + at, n)) for at, n in places])
-                    yield out.astype({"page_id": "Int64", "refers_to": "Int64"})[columns]
+                    found = [parse_record(read(start + at, n)) for at, n in (map(int, line.split()) for line in index[k : k + 500])]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], kind) for c, kind in kinds.items()], list(kinds))
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return manifest.select("path").mapInPandas(run, schema)
+    return manifest.select("path").mapInArrow(run, schema)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
@@ -226,4 +229,4 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     the record. An empty table writes no archive and gives no rows; further columns are ignored.
     """
     folder = f"{shared_dir(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
-    return read_archives(checkpoint(write_archives(page_records(pages), folder)))
+    return read_archives(written(write_archives(page_records(pages), folder)))
