@@ -51,3 +51,8 @@ def epoch_days(ts: Column | str) -> Column:
 
 def from_epoch_days(days: Column) -> Column:
     return from_micros(F.round(days * float(DAY)).cast("long"))
+
+
+def local_time(ts: Column | str, zone: str = "Pacific/Honolulu") -> Column:
+    """A UTC time as a clock in ``zone`` shows it."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts) if isinstance(ts, str) else ts)

@@ -37,7 +37,7 @@ def mode_offset(deltas: DataFrame, keys: list[str]) -> DataFrame:
 
 def frame_offsets(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """How far a delivery lies above what is stored, from nearest pairs in time."""
-    pairs = nearest_within(new, known, keys).join(new.select("event_id", "value"), "event_id")
+    pairs = nearest_within(new, known, keys).join(new.select(*keys, "event_id", "value"), [*keys, "event_id"])
     return mode_offset(pairs.select(*keys, (F.col("value") - F.col("near_value")).alias("delta")), keys)
 
 
@@ -64,12 +64,29 @@ def append_counts(known: DataFrame, new: DataFrame, keys: list[str], p: Params =
     return seen.groupBy(*keys).agg(F.count(F.when(F.col("old").isNull(), 1)).alias("added"), F.count("old").alias("updated"))
 
 
+def append_report(known: DataFrame, new: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
+    """What a delivery does, per key: added, updated, conflicts, offset, n_pairs, warnings.
+
+    Conflicts are counted after alignment. Warnings name what an operator should look at: no overlap with what is
+    stored, fewer pairs than ``p.sure_pairs``, an offset of ``p.warn_offset`` or more.
+    """
+    offsets = frame_offsets(known, new, keys)
+    aligned = new.join(offsets.select(*keys, "offset"), keys, "left").withColumn("value", F.col("value") - F.coalesce("offset", F.lit(0.0)))
+    conflicts = append_conflicts(known, aligned, keys, p).groupBy(*keys).agg(F.count("*").alias("conflicts"))
+    counted = append_counts(known, new, keys, p).join(conflicts, keys, "left").join(offsets, keys, "left")
+    n, offset = F.coalesce("n_pairs", F.lit(0)), F.coalesce("offset", F.lit(0.0))
+    warnings = F.array_compact(F.array(
+        F.when(n == 0, "no overlap: appended as it is"), F.when(n.between(1, p.sure_pairs - 1), "few overlapping rows"), F.when(F.abs(offset) >= p.warn_offset, "large offset"),
+    ))
+    return counted.select(*keys, "added", "updated", F.coalesce("conflicts", F.lit(0)).alias("conflicts"), offset.alias("offset"), n.alias("n_pairs"), warnings.alias("warnings"))
+
+
 def quorum(candidates: DataFrame, live: DataFrame, archive: DataFrame, series: list[str], p: Params = DEFAULTS) -> DataFrame:
     """Candidates that two sources agree on in their bucket, or that continue the archive closely."""
     sources = bucketed(live, p).groupBy(*series, "bucket").agg(F.countDistinct("source").alias("n_sources"))
     counted = bucketed(candidates, p).join(sources, [*series, "bucket"], "left")
-    close = close_neighbours(candidates, archive, series, p).select("event_id", F.lit(True).alias("continues"))
-    marked = counted.join(close, "event_id", "left").withColumns({"n_sources": F.coalesce("n_sources", F.lit(0)), "continues": F.coalesce("continues", F.lit(False))})
+    close = close_neighbours(candidates, archive, series, p).select(*series, "event_id", F.lit(True).alias("continues"))
+    marked = counted.join(close, [*series, "event_id"], "left").withColumns({"n_sources": F.coalesce("n_sources", F.lit(0)), "continues": F.coalesce("continues", F.lit(False))})
     return marked.filter((F.col("n_sources") >= p.quorum) | F.col("continues"))
 
 
@@ -81,6 +98,18 @@ def promote(candidates: DataFrame, live: DataFrame, archive: DataFrame, series:
     return quorum(fresh, live, archive, series, p)
 
 
+def promotion_report(candidates: DataFrame, live: DataFrame, archive: DataFrame, series: list[str], p: Params = DEFAULTS) -> DataFrame:
+    """Per series: rows_before, rows_promoted, rows_archived_already, rows_deferred, rows_after."""
+    buckets = bucketed(candidates, p).select(*series, "bucket").distinct()
+    held = bucketed(archive, p).select(*series, "bucket").distinct().withColumn("held", F.lit(1))
+    offered = buckets.join(held, [*series, "bucket"], "left").groupBy(*series).agg(F.count("*").alias("offered"), F.count("held").alias("rows_archived_already"))
+    promoted = promote(candidates, live, archive, series, p).groupBy(*series).agg(F.count("*").alias("rows_promoted"))
+    before = archive.groupBy(*series).agg(F.count("*").alias("rows_before"))
+    both = offered.join(promoted, series, "left").join(before, series, "left").na.fill(0)
+    deferred = F.col("offered") - F.col("rows_archived_already") - F.col("rows_promoted")
+    return both.select(*series, "rows_before", "rows_promoted", "rows_archived_already", deferred.alias("rows_deferred"), (F.col("rows_before") + F.col("rows_promoted")).alias("rows_after"))
+
+
 def contamination_rounds(archive: DataFrame, merged: DataFrame, series: list[str], limit: float = 3.0, near_limit: float = 2.5, rounds: int = 2) -> DataFrame:
     """Archive rows that disagree with the merged series of their bucket or with their archived neighbourhood.
 

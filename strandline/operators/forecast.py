@@ -8,12 +8,12 @@ the reason.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.robust import curve_crossing, huber_line, line_crossing, power_law, saturation
@@ -29,6 +29,8 @@ class Forecast:
     value: float | None = None
     note: str = ""
     numbers: dict[str, float] = field(default_factory=dict)
+    #: Lines to draw: (kind, days, values, low, high); low and high are null without draws.
+    curves: list[tuple] = field(default_factory=list)
 
 
 @dataclass
@@ -106,22 +108,40 @@ def get_model(model_id: str) -> Model:
     return _MODELS[model_id]
 
 
-def _band(s: Series, draw_curve: Callable[[np.random.Generator], Callable | None], cross: Callable) -> tuple[float | None, float | None]:
-    """10 % and 90 % of the crossing days over joint draws of curve and trend; none below ten crossings."""
+GRID_POINTS = 200
+
+
+def _outcome(s: Series, hit: tuple | None, curve: Callable, draw_curve: Callable[[np.random.Generator], Callable | None], cross: Callable, since: float, numbers: dict, trend: Callable | None = None) -> Forecast:
+    """A forecast with its band and curves from joint draws of the curve and the trend through the peaks.
+
+    The band has 10 % and 90 % of the crossing days, none below ten crossings; the ribbons have the same shares of the
+    drawn values at every point of a grid, the curve's from ``since`` and the trend's from the first peak to the
+    crossing, or to the horizon without one.
+    """
     draw, days = np.random.default_rng(0), []
+    end = hit[0] if hit else max(float(s.day[-1]), float(s.peak_day[-1])) + s.p.horizon_days
+    grids = [np.linspace(start, max(end, start), GRID_POINTS) for start in (since, float(s.peak_day[0]))]
+    drawn: tuple[list, list] = [], []
     for _ in range(s.p.draws):
-        curve = draw_curve(draw)
+        sample = draw_curve(draw)
         at = draw.integers(0, len(s.peak_day), len(s.peak_day))
-        if curve is None or len(np.unique(s.peak_day[at])) < 2:
+        if sample is None or len(np.unique(s.peak_day[at])) < 2:
             continue
         slope, level = np.polyfit(s.peak_day[at] - s.peak_day[0], s.peak_value[at], 1)
-        hit = cross(curve, lambda x, m=slope, b=level: m * (np.asarray(x) - s.peak_day[0]) + b)
-        if hit is not None:
-            days.append(hit[0])
-    if len(days) < 10:
-        return None, None
+        through = lambda x, m=slope, b=level: m * (np.asarray(x) - s.peak_day[0]) + b
+        for lines, f, grid in zip(drawn, (sample, through), grids, strict=True):
+            lines.append(np.asarray(f(grid), dtype=float))
+        crossing = cross(sample, through)
+        if crossing is not None:
+            days.append(crossing[0])
     days.sort()
-    return days[int(0.1 * len(days))], days[min(int(0.9 * len(days)), len(days) - 1)]
+    low, high = (days[int(0.1 * len(days))], days[min(int(0.9 * len(days)), len(days) - 1)]) if len(days) >= 10 else (None, None)
+    curves = []
+    for kind, f, grid, lines in (("curve", curve, grids[0], drawn[0]), ("trend", trend or s.trend, grids[1], drawn[1])):
+        ribbon = np.quantile(np.array(lines), (0.1, 0.9), axis=0) if lines else (None, None)
+        curves.append((kind, grid, np.asarray(f(grid), dtype=float), *ribbon))
+    day, value = hit if hit else (None, None)
+    return Forecast(day, low, high, value, "" if hit else "no crossing", numbers, curves)
 
 
 def _straight(f: Callable, origin: float) -> tuple[float, float]:
@@ -157,15 +177,14 @@ def _linear(s: Series, late: bool) -> Forecast:
     def draw_curve(draw: np.random.Generator):
         return huber_line(day, fit(day) + draw.choice(noise, len(noise)), fit.scale)
 
-    low, high = _band(s, draw_curve, cross)
-    return Forecast(*((hit[0], low, high, hit[1]) if hit else (None, low, high, None)), "" if hit else "no crossing", {"slope": fit.slope, "rmse": fit.rmse})
+    return _outcome(s, hit, fit, draw_curve, cross, float(day[0]), {"slope": fit.slope, "rmse": fit.rmse, "downweighted": fit.downweighted, "rows": float(fit.n)})
 
 
 @register("auto")
 def auto(s: Series) -> Forecast:
     late = s.phase is not None and s.phase >= s.p.phase_switch
     out = _linear(s, late=not late)
-    return Forecast(out.day, out.low, out.high, out.value, out.note, out.numbers | {"phase": np.nan if s.phase is None else s.phase, "naive": float(late)})
+    return replace(out, numbers=out.numbers | ({} if s.phase is None else {"phase": s.phase}) | {"naive": float(late)})
 
 
 @register("linear")
@@ -185,8 +204,8 @@ def _anchored(s: Series, slopes: np.ndarray, slope: float) -> Forecast:
     cross = _cross_lines(earliest, earliest + s.p.horizon_days, s.p.value_limit)
     line = lambda m: lambda x: at + m * (np.asarray(x) - s.trough)
     hit = cross(line(slope), s.trend)
-    low, high = _band(s, lambda draw: line(float(np.median(draw.choice(slopes, len(slopes))))), cross)
-    return Forecast(*((hit[0], low, high, hit[1]) if hit else (None, low, high, None)), "" if hit else "no crossing", {"slope": slope})
+    draw_curve = lambda draw: line(float(np.median(draw.choice(slopes, len(slopes)))))
+    return _outcome(s, hit, line(slope), draw_curve, cross, float(s.trough), {"slope": slope, "episodes": float(len(slopes))})
 
 
 @register("linear_hist")
@@ -222,8 +241,7 @@ def _power(s: Series, exponent: float | None) -> Forecast:
         a2, q2, c2 = power_law(hours, curve(day) + draw.choice(noise, len(noise)), q)
         return lambda x: a2 * np.maximum((np.asarray(x) - day[0]) * 24, 1e-3) ** q2 + c2
 
-    low, high = _band(s, draw_curve, cross)
-    return Forecast(*((hit[0], low, high, hit[1]) if hit else (None, low, high, None)), "" if hit else "no crossing", {"a": a, "p": q, "c": c})
+    return _outcome(s, hit, curve, draw_curve, cross, float(day[0]), {"a": a, "p": q, "c": c, "rmse": float(np.sqrt(np.mean(noise**2)))})
 
 
 @register("power_law")
@@ -259,8 +277,7 @@ def trendline_exp(s: Series) -> Forecast:
         a2, k2, c2 = draw.multivariate_normal([a, k, c], spread, check_valid="ignore")
         return None if a2 <= 0 or k2 <= 0 else lambda t: a2 * (1 - np.exp(-k2 * (np.asarray(t) - day[0]))) + c2
 
-    low, high = _band(s, draw_curve, cross)
-    return Forecast(*((hit[0], low, high, hit[1]) if hit else (None, low, high, None)), "" if hit else "no crossing", {"A": a, "k": k, "C": c})
+    return _outcome(s, hit, curve, draw_curve, cross, float(day[0]), {"A": a, "k": k, "C": c, "trend_slope": float(slope)}, trend)
 
 
 @register("ffm_voight")
@@ -292,7 +309,7 @@ def interval_median(s: Series) -> Forecast:
         return Forecast(note="too few peaks")
     gaps, last = np.diff(s.peak_day), float(s.peak_day[-1])
     low, high = (last + float(np.quantile(gaps, q)) for q in (0.25, 0.75)) if len(gaps) >= 3 else (None, None)
-    return Forecast(last + float(np.median(gaps)), low, high)
+    return Forecast(last + float(np.median(gaps)), low, high, numbers={"median_days": float(np.median(gaps)), "mean_days": float(np.mean(gaps)), "intervals": float(len(gaps))})
 
 
 def _days(ts: pd.Series) -> np.ndarray:
@@ -303,13 +320,20 @@ def _stamp(day: float | None) -> pd.Timestamp:
     return pd.NaT if day is None or not np.isfinite(day) else pd.Timestamp(round(day * DAY), unit="us")
 
 
-def forecast(samples: DataFrame, peaks: DataFrame, keys: list[str], models: list[str] | None = None, recent_peaks: int | None = None, p: Params = DEFAULTS) -> DataFrame:
-    """One row per series and model: keys, model_id, next_ts, band_low, band_high, value, note.
+#: Models that look at the peaks only.
+PEAKS_ONLY = ("interval_median",)
 
-    Series run in parallel; one series' samples are held by one task, so long histories are cut to the episodes in use
-    beforehand. ``recent_peaks`` keeps only the last peaks.
-    """
-    wanted = models or list_models()
+
+def _in_use(samples: DataFrame, peaks: DataFrame, keys: list[str], p: Params) -> DataFrame:
+    """The samples that any model reads: from the peak before the first episode in use on; all of them without peaks."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts")))
+    # Episodes with too few rows are passed over, so as many more peaks are kept in reserve.
+    begins = peaks.withColumn("place", place).filter(F.col("place") <= 2 * p.episodes + 2).groupBy(*keys).agg(F.min("ts").alias("begins"))
+    return samples.join(begins, keys, "left").filter(F.col("begins").isNull() | (F.col("ts") >= F.col("begins"))).drop("begins")
+
+
+def _runs(samples: DataFrame, peaks: DataFrame, keys: list[str], wanted: list[str], recent_peaks: int | None, p: Params, rows_of: Callable, schema: str) -> DataFrame:
+    """``rows_of`` (key, model, forecast) for every model on every series; one series' samples in use are held by one task."""
 
     def run(key: tuple, rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
         rows, tops = rows.sort_values("ts"), tops.sort_values("ts")
@@ -318,32 +342,80 @@ def forecast(samples: DataFrame, peaks: DataFrame, keys: list[str], models: list
         out = []
         for model_id in wanted:
             try:
-                f = get_model(model_id)(s) if len(rows) else Forecast(note="no rows")
+                f = get_model(model_id)(s) if len(rows) or model_id in PEAKS_ONLY else Forecast(note="no rows")
             except (ValueError, np.linalg.LinAlgError, IndexError) as error:
                 f = Forecast(note=f"failed: {error}")
-            out.append((*key, model_id, _stamp(f.day), _stamp(f.low), _stamp(f.high), f.value, f.note))
-        return pd.DataFrame(out, columns=[*keys, "model_id", "next_ts", "band_low", "band_high", "value", "note"])
+            out += rows_of(key, model_id, f)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, model_id string, next_ts timestamp_ntz, band_low timestamp_ntz, band_high timestamp_ntz, value double, note string"
     # Fresh column identities: both sides may stem from one table.
     left, right = (f.select(*keys, "ts", "value").toDF(*keys, "ts", "value") for f in (samples, peaks))
+    if not set(wanted) <= set(PEAKS_ONLY):
+        left = _in_use(left, right.toDF(*right.columns), keys, p).select(*keys, "ts", "value")
+    else:
+        left = left.groupBy(*keys).agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
+def _kinds(samples: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def forecast(samples: DataFrame, peaks: DataFrame, keys: list[str], models: list[str] | None = None, recent_peaks: int | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """One row per series and model: keys, model_id, next_ts, band_low, band_high, value, note, diagnostics.
+
+    Every model gives a row, with a note where it has no forecast. Series run in parallel; only samples since the first
+    episode in use are read. ``recent_peaks`` keeps only the last peaks.
+    """
+    row = lambda key, model_id, f: [(*key, model_id, _stamp(f.day), _stamp(f.low), _stamp(f.high), f.value, f.note, {k: float(v) for k, v in f.numbers.items()})]
+    schema = f"{_kinds(samples, keys)}, model_id string, next_ts timestamp_ntz, band_low timestamp_ntz, band_high timestamp_ntz, value double, note string, diagnostics map<string,double>"
+    return _runs(samples, peaks, keys, models or list_models(), recent_peaks, p, row, schema)
+
+
+def forecast_curves(samples: DataFrame, peaks: DataFrame, keys: list[str], models: list[str] | None = None, recent_peaks: int | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """What is drawn of the models: keys, model_id, kind (curve or trend), ts, value, low and high (10 % and 90 % of the draws)."""
+
+    def rows(key: tuple, model_id: str, f: Forecast) -> list:
+        out = []
+        for kind, days, values, low, high in f.curves:
+            bands = (low, high) if low is not None else ([None] * len(days),) * 2
+            out += [(*key, model_id, kind, _stamp(d), float(v), a if a is None else float(a), b if b is None else float(b)) for d, v, a, b in zip(days, values, *bands, strict=True)]
+        return out
+
+    schema = f"{_kinds(samples, keys)}, model_id string, kind string, ts timestamp_ntz, value double, low double, high double"
+    return _runs(samples, peaks, keys, models or list_models(), recent_peaks, p, rows, schema)
+
+
+def both_forecasts(forecasts: DataFrame, keys: list[str], model: str = "trendline_exp", plain: str = "interval_median") -> DataFrame:
+    """One row per series with a curve model's forecast beside that of the plain intervals, and the diagnostics of both."""
+    of = lambda name: forecasts.filter(F.col("model_id") == name)
+    curve = of(model).select(*keys, "next_ts", "band_low", "band_high", "value", "note", F.col("diagnostics").alias("d1"))
+    intervals = of(plain).select(*keys, *[F.col(c).alias(f"interval_{c}") for c in ("next_ts", "band_low", "band_high")], F.col("diagnostics").alias("d2"))
+    joined = curve.join(intervals, keys, "full").withColumn("median_days", F.try_element_at("d2", F.lit("median_days")))
+    empty = F.create_map().cast("map<string,double>")
+    return joined.withColumn("diagnostics", F.map_concat(F.coalesce("d1", empty), F.coalesce("d2", empty))).drop("d1", "d2")
+
+
 def backtest(samples: DataFrame, peaks: DataFrame, segments: DataFrame, keys: list[str], models: list[str] | None = None, p: Params = DEFAULTS) -> DataFrame:
     """Error in hours of every model at every stage of every past segment: keys, end_ts, fraction, model_id, error_h.
 
     ``segments`` has keys, end_ts, trough_ts. Each (segment, fraction) is a task of its own that sees samples up to its
-    cutoff and the prominent peaks before its target.
+    cutoff and the prominent peaks before its target. Samples from before the episodes in use are not copied.
     """
     tasks = segments.select(*keys, "end_ts", "trough_ts", F.explode(F.array(*[F.lit(f) for f in p.fractions])).alias("fraction"))
     length = F.timestamp_diff("MICROSECOND", "trough_ts", "end_ts")
     tasks = tasks.withColumn("cutoff", F.timestamp_add("MICROSECOND", F.round(length * F.col("fraction")).cast("long"), F.col("trough_ts"))).drop("trough_ts")
-    seen = samples.select(*keys, "ts", "value").join(tasks, keys).filter("ts <= cutoff")
     known = peaks.filter(F.col("prominence") > p.backtest_prominence).select(*keys, "ts", "value").join(tasks, keys).filter("ts < end_ts")
-    by = [*keys, "end_ts", "fraction"]
-    predicted = forecast(seen, known, by, models, p=p)
+    by, wanted = [*keys, "end_ts", "fraction"], models or list_models()
+    # The lower bound of what a task reads comes first, so that a sample is copied only to tasks that read it.
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts")))
+    begins = known.select(*by, "ts").withColumn("place", place).filter(F.col("place") <= 2 * p.episodes + 2).groupBy(*by).agg(F.min("ts").alias("begins"))
+    if set(wanted) <= set(PEAKS_ONLY):
+        seen = tasks.select(*by, F.col("cutoff").alias("ts"), F.lit(0.0).alias("value"))
+    else:
+        bounded = tasks.join(begins, by, "left")
+        seen = samples.select(*keys, "ts", "value").join(bounded, keys).filter((F.col("ts") <= F.col("cutoff")) & (F.col("begins").isNull() | (F.col("ts") >= F.col("begins"))))
+    predicted = forecast(seen, known, by, wanted, p=p)
     return predicted.select(*by, "model_id", (F.timestamp_diff("MICROSECOND", "end_ts", "next_ts") / 3.6e9).alias("error_h"))
 
 
@@ -358,8 +430,6 @@ def backtest_stats(errors: DataFrame) -> DataFrame:
 
 def best_models(stats: DataFrame, order: list[str] | None = None, p: Params = DEFAULTS) -> DataFrame:
     """The model with the least median error per fraction, among those that cover enough; ties go to the first registered."""
-    from pyspark.sql import Window
-
     names = order or list_models()
     place = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col("model_id")), F.lit(len(names) + 1))
     w = Window.partitionBy("fraction").orderBy("median_abs", place, "model_id")

@@ -49,7 +49,7 @@ def nearest_within(probe: DataFrame, base: DataFrame, keys: list[str]) -> DataFr
 
 def close_neighbours(probe: DataFrame, base: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
     """event_id of probe rows whose nearest base row is close in time and value."""
-    near = nearest(probe, base, keys).join(probe.select("event_id", "value"), "event_id")
+    near = nearest(probe, base, keys).join(probe.select(*keys, "event_id", "value"), [*keys, "event_id"])
     close = (F.abs(F.col("us") - F.col("near_us")) <= p.neighbour) & (F.abs(F.col("value") - F.col("near_value")) <= p.neighbour_value)
     return near.filter(close).select(*keys, "event_id")
 

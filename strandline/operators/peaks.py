@@ -44,6 +44,22 @@ def local_maxima(grid: DataFrame, keys: list[str]) -> DataFrame:
     return runs.join(middle, [*keys, "at"]).select(*keys, "ts", "value")
 
 
+def _lowest_since_higher(v: np.ndarray) -> np.ndarray:
+    """For each place the least value since the last strictly higher one, by a stack of falling values: linear in time."""
+    lowest = np.empty(len(v))
+    heights: list[float] = []
+    lows: list[float] = []
+    for k, x in enumerate(v.tolist()):
+        low = x
+        while heights and heights[-1] <= x:
+            heights.pop()
+            low = min(low, lows.pop())
+        heights.append(x)
+        lows.append(low)
+        lowest[k] = low
+    return lowest
+
+
 def _peaks(v: np.ndarray, distance: int, least: float, height: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and prominences of local maxima at least ``distance`` apart, the highest first."""
     runs = np.flatnonzero(np.diff(v, prepend=np.nan) != 0)
@@ -52,23 +68,26 @@ def _peaks(v: np.ndarray, distance: int, least: float, height: float | None) ->
     keep = np.ones(len(at), dtype=bool)
     for k in np.argsort(v[at], kind="stable")[::-1]:
         if keep[k]:
-            close = np.abs(at - at[k]) < distance
-            close[k] = False
-            keep[close] = False
+            for step in (-1, 1):
+                j = k + step
+                while 0 <= j < len(at) and abs(at[j] - at[k]) < distance:
+                    keep[j] = False
+                    j += step
     at = at[keep]
-    prominence = np.empty(len(at))
-    for k, t in enumerate(at):
-        left, right = np.flatnonzero(v[:t] > v[t]), np.flatnonzero(v[t + 1 :] > v[t])
-        low_left = v[(left[-1] if len(left) else 0) : t + 1].min()
-        low_right = v[t : (t + 1 + right[0] if len(right) else len(v))].min()
-        prominence[k] = v[t] - max(low_left, low_right)
+    if not len(at):
+        return at, np.empty(0)
+    prominence = v[at] - np.maximum(_lowest_since_higher(v)[at], _lowest_since_higher(v[::-1])[::-1][at])
     good = prominence >= least
     return at[good], prominence[good]
 
 
 def detect_peaks(samples: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None) -> DataFrame:
-    """keys, ts, value, prominence of every peak of the hourly grid. Each series is scanned by one task."""
-    grid = hourly(samples, keys)
+    """keys, ts, value, prominence of every peak of the hourly grid. Each series is scanned by one task, in linear time."""
+    return prominent(hourly(samples, keys), keys, p, height)
+
+
+def prominent(grid: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None) -> DataFrame:
+    """Peaks of a regular grid (keys, ts, value) of hours; of one of another width the distance counts its steps as hours."""
     distance = max(1, round(p.distance_days * 24))
 
     def scan(frame: pd.DataFrame) -> pd.DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -13,14 +14,36 @@ from strandline.functions.timebuckets import floor_us, from_micros, micros, roun
 from strandline.operators.windows import strides
 from strandline.params import DEFAULTS, Params
 
-#: Smaller is better; sources that are not named get 1.0, the archive ranks last.
-RESOLUTION = {"purchase": 0.001, "view": 0.027, "click": 0.09, "signup": 0.13, "error": 1000.0}
-ANCHOR, ARCHIVE = "purchase", "error"
+@dataclass(frozen=True)
+class Sources:
+    """What is known of a signal's sources, which are few: their resolution (smaller is better), the anchor, the archive.
 
+    Sources that are not named get ``other``; the archive ranks last. Without an anchor the first name by order serves.
+    """
+
+    resolution: Mapping[str, float] = field(default_factory=dict)
+    anchor: str | None = None
+    archive: str | None = None
+    other: float = 1.0
+
+    @classmethod
+    def from_table(cls, table: DataFrame, most: int = 10_000) -> Sources:
+        """From a small table (source, resolution, is_anchor, is_archive); more than ``most`` rows are an error."""
+        rows = table.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} sources")
+        marked = lambda name: min((r.source for r in rows if r[name]), default=None)
+        return cls({r.source: r.resolution for r in rows if r.resolution is not None}, marked("is_anchor"), marked("is_archive"))
 
-def resolution_of(source: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in RESOLUTION.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, source), F.lit(1.0))
+    def resolution_of(self, source: Column) -> Column:
+        named = {**self.resolution, **({self.archive: float("inf")} if self.archive else {})}
+        if not named:
+            return F.lit(self.other)
+        known = F.create_map(*[F.lit(x) for name, value in named.items() for x in (name, float(value))])
+        return F.coalesce(F.try_element_at(known, source), F.lit(self.other))
+
+
+ANY = Sources()
 
 
 def bucket_means(samples: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -37,7 +60,15 @@ def pairwise_offsets(samples: DataFrame, series: list[str], p: Params = DEFAULTS
     return fits.filter(F.col("overlap") >= p.pair_overlap)
 
 
-def solve_offsets(samples: DataFrame, fits: DataFrame, series: list[str], anchor: str = ANCHOR) -> DataFrame:
+def median_offset(samples: DataFrame, series: list[str], source_i: str, source_j: str, p: Params = DEFAULTS, least: int = 3) -> DataFrame:
+    """How far one source lies above another: the median difference of their bucket medians, and the buckets both have."""
+    mid = samples.groupBy(*series, "source", floor_us(micros("ts"), p.merge_bucket).alias("bucket_us")).agg(F.median("value").alias("v"))
+    left, right = (mid.filter(F.col("source") == name).select(*series, "bucket_us", F.col("v").alias(side)) for name, side in ((source_i, "i"), (source_j, "j")))
+    both = left.join(right, [*series, "bucket_us"]).groupBy(*series).agg(F.median(F.col("i") - F.col("j")).alias("offset"), F.count("*").alias("n_common"))
+    return both.filter(F.col("n_common") >= least)
+
+
+def solve_offsets(samples: DataFrame, fits: DataFrame, series: list[str], known_sources: Sources = ANY) -> DataFrame:
     """Per series and source the offset b: least squares of b_i - b_j = beta with the anchor (else the first name) at 0.
 
     A source that no chain of pairs ties to the anchor gets 0 and ``reachable`` false. The system of a series has as
@@ -51,7 +82,7 @@ def solve_offsets(samples: DataFrame, fits: DataFrame, series: list[str], anchor
             rows = []
             for r in batch.to_dict("records"):
                 names = sorted(r["sources"])
-                pin = anchor if anchor in names else names[0]
+                pin = known_sources.anchor if known_sources.anchor in names else names[0]
                 edges = [(e["source_i"], e["source_j"], e["beta"]) for e in (r["pairs"] if r["pairs"] is not None else [])]
                 known, grown = {pin}, True
                 while grown:
@@ -81,6 +112,18 @@ def apply_offsets(samples: DataFrame, offsets: DataFrame, series: list[str]) ->
     return joined.withColumn("value", F.col("value") - F.coalesce("b", F.lit(0.0))).drop("b")
 
 
+def apply_anchor(samples: DataFrame, fits: DataFrame, series: list[str]) -> DataFrame:
+    """``samples`` mapped to the anchor's frame, a * value + b, for the sources whose fit asks for it (``apply``)."""
+    wanted = fits.filter("apply").select(*series, "source", F.col("a").alias("map_a"), F.col("b").alias("map_b"))
+    mapped = samples.join(wanted, [*series, "source"], "left")
+    return mapped.withColumn("value", F.coalesce(F.col("map_a") * F.col("value") + F.col("map_b"), F.col("value"))).drop("map_a", "map_b")
+
+
+def overlay(samples: DataFrame, fits: DataFrame, offsets: DataFrame, series: list[str]) -> DataFrame:
+    """Every source as it enters the merge: mapped to the anchor where needed, then freed of its offset."""
+    return apply_offsets(apply_anchor(samples, fits, series), offsets, series)
+
+
 def densify(samples: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
     """Time-linear values on the merge grid, where a sample is near enough: keys, bucket_us, value.
 
@@ -116,13 +159,13 @@ def tagged(samples: DataFrame, series: list[str], p: Params = DEFAULTS) -> DataF
     return last.unionByName(grid.select(*keys, F.col("bucket_us").alias("us"), "value", F.lit(False).alias("actual")))
 
 
-def merge(samples: DataFrame, series: list[str], p: Params = DEFAULTS) -> DataFrame:
+def merge(samples: DataFrame, series: list[str], sources: Sources = ANY, p: Params = DEFAULTS) -> DataFrame:
     """One row per (series, bucket): the finest source wins.
 
     With an actual sample of the winner that sample is emitted; else the winner's grid value at the time of the
     bucket's first actual sample, or at the bucket itself. ``n_sources`` counts the sources present.
     """
-    rows = tagged(samples, series, p).withColumn("resolution", resolution_of(F.col("source")))
+    rows = tagged(samples, series, p).withColumn("resolution", sources.resolution_of(F.col("source")))
     picked = rows.groupBy(*series, "bucket_us").agg(
         F.min_by(F.struct("source", "us", "value", "actual"), F.struct("resolution", "us", "source")).alias("w"),
         F.min(F.when(F.col("actual"), F.col("us"))).alias("first_us"),
@@ -181,7 +224,7 @@ def winner_counts(merged: DataFrame, series: list[str]) -> DataFrame:
     return counts.withColumn("share", F.col("buckets") / F.sum("buckets").over(Window.partitionBy(*series)))
 
 
-def anchor_fits(samples: DataFrame, series: list[str], anchor: str = ANCHOR, trim_hours: float = 6.0, least: int = 50, slope_limit: float = 0.03, level_limit: float = 5.0) -> DataFrame:
+def anchor_fits(samples: DataFrame, series: list[str], anchor: str, trim_hours: float = 6.0, least: int = 50, slope_limit: float = 0.03, level_limit: float = 5.0) -> DataFrame:
     """Robust line anchor = a * source + b over shared hours, the anchor trimmed at both ends: a, b, overlap, residual_std, apply.
 
     A source with too few shared hours has nulls. ``apply`` is set where the line is far from the identity.

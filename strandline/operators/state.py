@@ -78,13 +78,53 @@ def weighted_axis(labels: DataFrame, keys: list[str]) -> DataFrame:
     return fitted.groupBy(*keys, "slope", "intercept", "n_labels").agg(F.max(residual).alias("max_residual")).withColumn("rejected", F.col("max_residual") > 0.5)
 
 
-def drift_guard(axes: DataFrame, history: DataFrame, keys: list[str], share: float = 0.03, most_px: float = 1.0) -> DataFrame:
-    """Fall back to the median of past slopes where the slope drifts and the residual exceeds a pixel."""
+def drift_guard(axes: DataFrame, history: DataFrame, keys: list[str], share: float = 0.03, most_px: float = 1.0, labels: DataFrame | None = None) -> DataFrame:
+    """Fall back to the median of past slopes where the slope drifts and the residual exceeds a pixel.
+
+    With ``labels`` (keys, px, value, conf) and an ``intercept`` in ``axes``, ``used_intercept`` is fitted anew for a
+    slope that was replaced: the weighted mean of what the labels leave.
+    """
     past = history.groupBy(*keys).agg(F.median("slope").alias("usual"))
     both = axes.join(past, keys, "left")
     drift = F.abs(F.col("slope") - F.col("usual")) / F.nullif(F.abs(F.col("usual")), F.lit(0.0))
     back = F.coalesce((drift > share) & (F.col("max_residual") / F.nullif(F.abs(F.col("slope")), F.lit(0.0)) > most_px), F.lit(False))
-    return both.withColumn("fallback", back).withColumn("used_slope", F.when(back, F.col("usual")).otherwise(F.col("slope")))
+    used = both.withColumn("fallback", back).withColumn("used_slope", F.when(back, F.col("usual")).otherwise(F.col("slope")))
+    if labels is None:
+        return used
+    w = F.pow(F.col("conf") / 100.0, 4)
+    left = labels.join(used.select(*keys, "used_slope"), keys).groupBy(*keys).agg((F.sum(w * (F.col("value") - F.col("used_slope") * F.col("px"))) / F.sum(w)).alias("refitted"))
+    return used.join(left, keys, "left").withColumn("used_intercept", F.when(F.col("fallback"), F.col("refitted")).otherwise(F.col("intercept"))).drop("refitted")
+
+
+def window_faults(windows: DataFrame, expected: dict[str, float], growing: tuple = (), now: Column | None = None, tolerance_h: float = 2.0, most_age_h: float = 72.0) -> DataFrame:
+    """``windows`` (source, start_ts, end_ts) with ``fault``: null, or why a window cannot be right.
+
+    A source with an ``expected`` span in hours keeps to it; a ``growing`` one has 30 days to 5 years; and no window ends
+    farther from ``now`` than ``most_age_h``.
+    """
+    hours = F.timestamp_diff("MICROSECOND", "start_ts", "end_ts") / float(HOUR)
+    spans = F.create_map(*[F.lit(x) for pair in (expected or {"": 0.0}).items() for x in pair])
+    wanted = F.try_element_at(spans, F.col("source"))
+    age = F.abs(F.timestamp_diff("MICROSECOND", F.col("end_ts"), now)) / float(HOUR) if now is not None else F.lit(0.0)
+    fault = (
+        F.when(F.abs(hours - wanted) > tolerance_h, "span")
+        .when(F.col("source").isin(*growing) & ~hours.between(30.0 * 24, 5.0 * 365 * 24), "growing span")
+        .when(age > most_age_h, "end")
+    )
+    return windows.withColumn("fault", fault)
+
+
+def pixels_to_data(points: DataFrame, axes: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` (keys, px, py) with ts and value by the axes of their image, and the value of one pixel.
+
+    axes: keys, slope, intercept (value over py), x0, y0, x1, y1 (the plot's box), start_ts, end_ts.
+    """
+    both = points.join(axes, keys)
+    share = (F.col("px") - F.col("x0")) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0))
+    ts = from_micros(F.round(micros("start_ts") + share * F.timestamp_diff("MICROSECOND", "start_ts", "end_ts")).cast("long"))
+    height = F.col("y1") - F.col("y0")
+    per_pixel = F.abs(F.col("slope") * height) / F.greatest(height, F.lit(1))
+    return both.select(*points.columns, ts.alias("ts"), (F.col("slope") * F.col("py") + F.col("intercept")).alias("value"), per_pixel.alias("per_pixel"))
 
 
 def ransac_line(points: DataFrame, keys: list[str], within: float = 2.0, least: int = 3) -> DataFrame:
@@ -101,9 +141,15 @@ def ransac_line(points: DataFrame, keys: list[str], within: float = 2.0, least:
     return counted.groupBy(*keys).agg(best.alias("l")).select(*keys, "l.*").filter(F.col("inliers") >= least)
 
 
-def days(us: Column) -> Column:
-    return us / float(DAY)
+def nearest_of(x: Column, values: tuple) -> Column:
+    """The one of ``values`` nearest to ``x``, the smaller of two as near."""
+    tries = F.transform(F.array(*[F.lit(v) for v in values]), lambda v: F.struct(F.abs(v - x).alias("off"), v.alias("v")))
+    return F.array_min(tries)["v"]
 
 
-def stamp(us: Column) -> Column:
-    return from_micros(us)
+def shown_range(samples: DataFrame, peaks: DataFrame, keys: list[str], back_days: int = 90, before_days: int = 7, ahead_days: int = 14) -> DataFrame:
+    """What a chart shows: from ``back_days`` before the end, or a week before the first peak if that is earlier, to two weeks ahead; and where its marker stands."""
+    first = peaks.groupBy(*keys).agg(F.min(micros("ts")).alias("first_us"))
+    x = samples.groupBy(*keys).agg(F.max(micros("ts")).alias("hi"), F.max("value").alias("most"), F.min("value").alias("least")).join(first, keys)
+    low = F.least(F.col("hi") - back_days * DAY, F.col("first_us") - before_days * DAY)
+    return x.select(*keys, from_micros(low).alias("zoom_from"), from_micros(F.col("hi") + ahead_days * DAY).alias("zoom_to"), (F.col("most") + 0.1 * (F.col("most") - F.col("least"))).alias("marker"))

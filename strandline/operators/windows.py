@@ -86,6 +86,12 @@ def trailing(samples: DataFrame, keys: list[str], span: int) -> DataFrame:
     return samples.withColumn("newest_us", F.max(us).over(whole(keys))).filter(us >= F.col("newest_us") - span).drop("newest_us")
 
 
+def recent_slice(samples: DataFrame, keys: list[str], days: int = 30, least: int = 2) -> DataFrame:
+    """The trailing ``days`` of each key, or nothing where they hold fewer than ``least`` rows."""
+    recent = trailing(samples, keys, days * 24 * HOUR).withColumn("n_recent", F.count("*").over(whole(keys)))
+    return recent.filter(F.col("n_recent") >= least).drop("n_recent")
+
+
 def trailing_slope(samples: DataFrame, keys: list[str], span: int) -> DataFrame:
     """Least-squares slope per hour of the trailing rows; null below three rows or two distinct times."""
     hours = (micros("ts") - F.col("newest_us")) / float(HOUR)

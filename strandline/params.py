@@ -17,6 +17,8 @@ class Params:
     blend_hours: float = 6.0
     step: float = 4.0
     large_offset: float = 30.0
+    warn_offset: float = 5.0
+    sure_pairs: int = 3
     gap_strides: int = 3
     gap_floor: int = QUARTER
     conflict: float = 1.0

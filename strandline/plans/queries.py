@@ -1,18 +1,20 @@
 """The engine's queries over the driver tables, each beside the SQL that gives the same rows.
 
-Events are the samples: event_type is the source, purchase the anchor, error the archive; users are dealt to a few
-series. Deliveries for the append queries are the even and odd event ids.
+Events are the samples: event_type is the source, purchase the anchor, error the archive; users are dealt to series of
+a few thousand events. Deliveries for the append queries are the even and odd event ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import DAY, HOUR, from_micros, micros
 from strandline.operators import archive, forecast, joins, peaks, reconcile, state, text, windows
+from strandline.params import Params
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -40,9 +42,16 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: The events' sources as a signal's: purchases are finest and anchor the rest, errors are the archive.
+SOURCES = reconcile.Sources({"purchase": 0.01, "view": 0.05, "click": 0.2, "signup": 0.5}, anchor="purchase", archive="error")
+#: Users are dealt to so many events a series, so that series grow in number and not in length.
+SERIES_EVENTS = 2500
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select("event_id", F.pmod("user_id", F.lit(4)).cast("int").alias("series_id"), F.col("event_type").alias("source"), "ts", "value")
+    n_series = max(4, events.count() // SERIES_EVENTS)
+    return events.select("event_id", F.pmod("user_id", F.lit(n_series)).cast("int").alias("series_id"), F.col("event_type").alias("source"), "ts", "value")
 
 
 def r6(c: Column | str) -> Column:
@@ -56,7 +65,7 @@ def r9(c: Column | str) -> Column:
 
 # SQL building blocks ---------------------------------------------------------------------------------------------------
 
-S = "s AS (SELECT event_id, CAST(user_id % 4 AS INTEGER) AS series_id, event_type AS source, ts, value, epoch_us(ts) AS us FROM events)"
+S = "s AS (SELECT event_id, CAST(user_id % (SELECT greatest(4, count(*) // 2500) FROM events) AS INTEGER) AS series_id, event_type AS source, ts, value, epoch_us(ts) AS us FROM events)"
 Q = 900000000
 
 
@@ -82,7 +91,7 @@ dense AS (SELECT series_id, source, g, b_v + (a_v - b_v) * (CASE WHEN a_us > b_u
 TAGGED = f"""{S}, {B}, {LAST}, {DENSE},
 tag AS (SELECT series_id, b_us, source, us, value, TRUE AS actual FROM last
   UNION ALL SELECT series_id, g, source, g, value, FALSE FROM dense WHERE NOT EXISTS (SELECT 1 FROM last WHERE last.series_id = dense.series_id AND last.source = dense.source AND last.b_us = dense.g)),
-res AS (SELECT *, CASE source WHEN 'purchase' THEN 0.001 WHEN 'view' THEN 0.027 WHEN 'click' THEN 0.09 WHEN 'signup' THEN 0.13 WHEN 'error' THEN 1000.0 ELSE 1.0 END AS r FROM tag),
+res AS (SELECT *, CASE source WHEN 'purchase' THEN 0.01 WHEN 'view' THEN 0.05 WHEN 'click' THEN 0.2 WHEN 'signup' THEN 0.5 WHEN 'error' THEN 'infinity'::DOUBLE ELSE 1.0 END AS r FROM tag),
 win AS (SELECT series_id, b_us, arg_min({{'source': source, 'us': us, 'value': value, 'actual': actual}}, (r, us, source)) AS w, min(us) FILTER (actual) AS first_us, count(*) AS k FROM res GROUP BY ALL),
 merged AS (SELECT series_id, b_us, CASE WHEN w.actual THEN w.us ELSE coalesce(first_us, b_us) END AS us, w.value AS value, w.source AS winner, k FROM win)"""
 
@@ -122,7 +131,7 @@ def known_and_new(s: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def live_and_archive(s: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return s.filter(F.col("source") != reconcile.ARCHIVE), s.filter(F.col("source") == reconcile.ARCHIVE)
+    return s.filter(F.col("source") != SOURCES.archive), s.filter(F.col("source") == SOURCES.archive)
 
 
 # Aggregations --------------------------------------------------------------------------------------------------------------
@@ -157,13 +166,23 @@ SELECT x.series_id, x.source, reach.source IS NOT NULL AS reachable FROM (SELECT
 )
 def pair_graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    return reconcile.solve_offsets(s, reconcile.pairwise_offsets(s, SERIES), SERIES).select("series_id", "source", "reachable")
+    return reconcile.solve_offsets(s, reconcile.pairwise_offsets(s, SERIES), SERIES, SOURCES).select("series_id", "source", "reachable")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PAIRS}, links AS (SELECT series_id, source_i AS a, source_j AS b, beta AS d FROM fit UNION ALL SELECT series_id, source_j, source_i, -beta FROM fit),
+pin AS (SELECT series_id, CASE WHEN bool_or(source = 'purchase') THEN 'purchase' ELSE min(source) END AS source FROM s GROUP BY ALL),
+reach AS (SELECT series_id, source FROM pin UNION SELECT r.series_id, l.b FROM reach r JOIN links l ON l.series_id = r.series_id AND l.a = r.source),
+free AS (SELECT r.series_id, r.source FROM reach r JOIN pin USING (series_id) WHERE r.source <> pin.source),
+sweep(k, series_id, source, b) AS (SELECT 0, series_id, source, 0.0::DOUBLE FROM reach
+  UNION ALL SELECT * FROM (SELECT w.k + 1, w.series_id, l.a, CASE WHEN any_value(f.source) IS NULL THEN 0.0 ELSE avg(w.b + l.d) END FROM sweep w JOIN links l ON l.series_id = w.series_id AND l.b = w.source LEFT JOIN free f ON f.series_id = l.series_id AND f.source = l.a WHERE w.k < 400 GROUP BY w.k, w.series_id, l.a)),
+done AS (SELECT series_id, source, b FROM sweep WHERE k = 400)
+SELECT x.series_id, x.source, round(coalesce(done.b, 0.0), 4) AS b, reach.source IS NOT NULL AS reachable, (SELECT count(*) FROM links l WHERE l.series_id = x.series_id AND l.a = x.source AND reach.source IS NOT NULL)::INTEGER AS pairs_used
+FROM (SELECT DISTINCT series_id, source FROM s) x LEFT JOIN reach USING (series_id, source) LEFT JOIN done USING (series_id, source)"""
+)
 def solved_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    return reconcile.solve_offsets(s, reconcile.pairwise_offsets(s, SERIES), SERIES).withColumn("b", F.round("b", 4))
+    return reconcile.solve_offsets(s, reconcile.pairwise_offsets(s, SERIES), SERIES, SOURCES).withColumn("b", F.round("b", 4))
 
 
 @query(f"WITH {S}, {B} SELECT series_id, make_timestamp(b_us) AS bucket, count(DISTINCT source) AS n_sources FROM b GROUP BY ALL")
@@ -292,11 +311,34 @@ def append_added_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.append_counts(*known_and_new(samples(spark, sf_dir)), KEYS)
 
 
-@query()
+MODE = f"""{S}, {KN}, {NEAR}, {TOL},
+dl AS (SELECT nr.series_id, nr.source, s.value - nv AS delta FROM nr JOIN tol USING (series_id, source) JOIN s USING (event_id) WHERE abs(nr.us - nu) <= t AND nr.us >= lo - coalesce(med / 2, t) AND nr.us <= hi + coalesce(med / 2, t)),
+sp AS (SELECT series_id, source, count(*) AS n_pairs, min(delta) AS lo, max(delta) AS hi, median(delta) AS mid FROM dl GROUP BY ALL),
+bins AS (SELECT dl.series_id, dl.source, delta, n_pairs, lo, hi, mid, floor((delta - lo + 0.2) / 0.2) AS bin FROM dl JOIN sp USING (series_id, source)),
+top AS (SELECT series_id, source, arg_max(bin, (n, -bin)) AS top FROM (SELECT series_id, source, bin, count(*) AS n FROM bins GROUP BY ALL) GROUP BY ALL),
+ce AS (SELECT *, lo - 0.2 + (top + 0.5) * 0.2 AS centre FROM bins JOIN top USING (series_id, source)),
+md AS (SELECT series_id, source, n_pairs, lo, hi, mid, centre, median(CASE WHEN abs(delta - centre) <= 0.2 THEN delta END) AS nm, count(CASE WHEN abs(delta - centre) <= 0.2 THEN delta END) AS nn FROM ce GROUP BY ALL),
+off AS (SELECT series_id, source, n_pairs, CASE WHEN n_pairs < 5 OR hi - lo < 0.5 THEN mid WHEN nn >= 3 THEN nm ELSE centre END AS shift FROM md),
+al AS (SELECT n.series_id, n.source, n.event_id, n.us, n.value - coalesce(shift, 0) AS value FROM n LEFT JOIN off USING (series_id, source)),
+ub AS (SELECT *, {sql_round('us')} AS b_us FROM (SELECT series_id, source, event_id, us, value, 0 AS is_new FROM s WHERE event_id % 2 = 0 UNION ALL SELECT series_id, source, event_id, us, value, 1 FROM al))"""
+
+
+@query(f"WITH {MODE} SELECT series_id, source, make_timestamp(b_us) AS bucket, make_timestamp(arg_max(us, (us, is_new, event_id))) AS ts, round(arg_max(value, (us, is_new, event_id)), 6) AS value, arg_max(is_new, (us, is_new, event_id)) AS is_new FROM ub GROUP BY series_id, source, b_us")
 def append_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.append(*known_and_new(samples(spark, sf_dir)), KEYS).withColumn("value", r6("value"))
 
 
+@query(
+    f"""WITH {MODE}, o AS (SELECT series_id, source, b_us, arg_max(value, (us, event_id)) AS kv FROM ub WHERE is_new = 0 GROUP BY ALL), w AS (SELECT series_id, source, b_us, arg_max(value, (us, event_id)) AS nv FROM ub WHERE is_new = 1 GROUP BY ALL),
+r AS (SELECT series_id, source, count(*) FILTER (kv IS NULL) AS added, count(kv) AS updated, count(*) FILTER (abs(nv - kv) > 1.0) AS conflicts FROM w LEFT JOIN o USING (series_id, source, b_us) GROUP BY ALL)
+SELECT series_id, source, added, updated, conflicts, round(coalesce(shift, 0), 6) AS "offset", coalesce(n_pairs, 0) AS n_pairs,
+  concat_ws('; ', CASE WHEN n_pairs IS NULL THEN 'no overlap: appended as it is' END, CASE WHEN n_pairs < 3 THEN 'few overlapping rows' END, CASE WHEN abs(shift) >= 5.0 THEN 'large offset' END) AS warnings FROM r LEFT JOIN off USING (series_id, source)"""
+)
+def append_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = archive.append_report(*known_and_new(samples(spark, sf_dir)), KEYS)
+    return report.withColumns({"offset": r6("offset"), "warnings": F.array_join("warnings", "; ")})
+
+
 @query(f"WITH {S}, {B}, a AS (SELECT series_id, b_us, arg_max(ts, (us, event_id)) AS ts, arg_max(value, (us, event_id)) AS value FROM b WHERE source = 'error' GROUP BY ALL) SELECT series_id, make_timestamp(b_us) AS bucket, ts, value FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source <> 'error' AND b.series_id = a.series_id AND b.b_us = a.b_us)")
 def archive_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, old = live_and_archive(samples(spark, sf_dir))
@@ -320,12 +362,12 @@ def densify_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TAGGED} SELECT series_id, make_timestamp(b_us) AS bucket, make_timestamp(us) AS ts, round(value, 6) AS value, winner, k AS n_sources FROM merged")
 def merge_best_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.merge(samples(spark, sf_dir), SERIES).withColumn("value", r6("value"))
+    return reconcile.merge(samples(spark, sf_dir), SERIES, SOURCES).withColumn("value", r6("value"))
 
 
 @query(f"WITH {TAGGED} SELECT series_id, winner, count(*) AS buckets, round(count(*) / sum(count(*)) OVER (PARTITION BY series_id), 6) AS share FROM merged GROUP BY series_id, winner")
 def winner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.winner_counts(reconcile.merge(samples(spark, sf_dir), SERIES), SERIES).withColumn("share", r6("share"))
+    return reconcile.winner_counts(reconcile.merge(samples(spark, sf_dir), SERIES, SOURCES), SERIES).withColumn("share", r6("share"))
 
 
 @query(f"WITH {TAGGED}, t AS (SELECT *, lag(k >= 2) OVER (PARTITION BY series_id ORDER BY us, b_us) AS was FROM merged) SELECT series_id, make_timestamp(b_us) AS bucket, k >= 2 AS several FROM t WHERE was <> (k >= 2)")
@@ -334,21 +376,21 @@ def handoff_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     several = F.col("n_sources") >= 2
     w = Window.partitionBy("series_id").orderBy("ts", "bucket")
-    marked = reconcile.merge(samples(spark, sf_dir), SERIES).withColumns({"several": several, "was": F.lag(several).over(w)})
+    marked = reconcile.merge(samples(spark, sf_dir), SERIES, SOURCES).withColumns({"several": several, "was": F.lag(several).over(w)})
     return marked.filter(F.col("was") != F.col("several")).select("series_id", "bucket", "several")
 
 
 @query()
 def blended_handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.blend_handoffs(reconcile.merge(samples(spark, sf_dir), SERIES), SERIES).withColumn("value", F.round("value", 4))
+    return reconcile.blend_handoffs(reconcile.merge(samples(spark, sf_dir), SERIES, SOURCES), SERIES).withColumn("value", F.round("value", 4))
 
 
 @query()
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole merge: offsets, correction, grid, winners, softened handoffs, archive gaps."""
     live, old = live_and_archive(samples(spark, sf_dir))
-    offsets = reconcile.solve_offsets(live, reconcile.pairwise_offsets(live, SERIES), SERIES)
-    merged = reconcile.blend_handoffs(reconcile.merge(reconcile.apply_offsets(live, offsets, SERIES), SERIES), SERIES)
+    offsets = reconcile.solve_offsets(live, reconcile.pairwise_offsets(live, SERIES), SERIES, SOURCES)
+    merged = reconcile.blend_handoffs(reconcile.merge(reconcile.apply_offsets(live, offsets, SERIES), SERIES, SOURCES), SERIES)
     return reconcile.fill_from_archive(merged, old, SERIES).withColumn("value", F.round("value", 4))
 
 
@@ -384,8 +426,6 @@ walls AS (SELECT p.series_id, p.us, any_value(p.value) AS value, coalesce(max(h.
 pr AS (SELECT w.series_id, w.us, any_value(w.value) AS value, any_value(w.value) - greatest(min(h.value) FILTER (h.us <= w.us), min(h.value) FILTER (h.us >= w.us)) AS prominence FROM walls w JOIN h ON h.series_id = w.series_id AND h.us BETWEEN w.lw AND w.rw GROUP BY w.series_id, w.us)
 SELECT series_id, make_timestamp(us) AS ts, round(value, 9) AS value, round(prominence, 9) AS prominence FROM pr WHERE prominence >= 4.0""")
 def peak_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandline.params import Params
-
     found = peaks.detect_peaks(samples(spark, sf_dir), SERIES, Params(distance_days=0.0))
     return found.withColumns({"value": r9("value"), "prominence": r9("prominence")})
 
@@ -456,29 +496,54 @@ def all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.forecast(s, half_day_peaks(s), SERIES, recent_peaks=6).withColumn("value", F.round("value", 3))
 
 
-BACK = f"""{BETWEEN},
+@query()
+def model_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves and trends of the recent peaks' models with their ribbons."""
+    s = samples(spark, sf_dir)
+    return forecast.forecast_curves(s, half_day_peaks(s), SERIES, ["linear", "trendline_exp"], recent_peaks=6).withColumns({c: F.round(c, 3) for c in ("value", "low", "high")})
+
+
+@query()
+def curve_and_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = samples(spark, sf_dir)
+    return forecast.both_forecasts(forecast.forecast(s, half_day_peaks(s), SERIES, ["trendline_exp", "interval_median"], recent_peaks=6), SERIES).withColumn("value", F.round("value", 3))
+
+
+#: Half-day means are tame, so that a lower step is prominent here.
+BACK_PARAMS = Params(backtest_prominence=1.0)
+
+
+def prominent_half_days(s: DataFrame) -> DataFrame:
+    """Peaks of the half-day grid with their prominence, however small and near."""
+    return peaks.prominent(peaks.hourly(s, SERIES, HALF_DAY), SERIES, Params(distance_days=0.0, prominence=0.0))
+
+
+BACK = f"""{TOPS},
+walls AS (SELECT p.series_id, p.us, any_value(p.value) AS value, coalesce(max(h.us) FILTER (h.us < p.us), 0) AS lw, coalesce(min(h.us) FILTER (h.us > p.us), 9e18::BIGINT) AS rw FROM tops p LEFT JOIN h ON h.series_id = p.series_id AND h.value > p.value GROUP BY ALL),
+ptops AS (SELECT w.series_id, w.us, any_value(w.value) AS value FROM walls w JOIN h ON h.series_id = w.series_id AND h.us BETWEEN w.lw AND w.rw GROUP BY w.series_id, w.us
+  HAVING any_value(w.value) - greatest(min(h.value) FILTER (h.us <= w.us), min(h.value) FILTER (h.us >= w.us)) > 1.0),
+e AS (SELECT series_id, lag(us) OVER (PARTITION BY series_id ORDER BY us) AS prev, us AS cur FROM ptops),
+rows_in AS (SELECT e.series_id, prev, cur, s.us, s.value, s.event_id FROM e JOIN s ON s.series_id = e.series_id AND s.us > prev AND s.us <= cur WHERE prev IS NOT NULL),
 seg AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cur DESC) AS place FROM (SELECT series_id, cur, arg_min(us, (value, us, event_id)) AS t_us FROM rows_in GROUP BY series_id, prev, cur HAVING count(*) >= 50)),
 task AS (SELECT series_id, cur, f AS fraction FROM seg, (VALUES (0.25), (0.5), (0.75), (1.0)) v(f) WHERE place <= 7),
-gaps AS (SELECT t.series_id, t.cur, t.fraction, p.us, p.us - lag(p.us) OVER (PARTITION BY t.series_id, t.cur, t.fraction ORDER BY p.us) AS g FROM task t JOIN tops p ON p.series_id = t.series_id AND p.us < t.cur),
+gaps AS (SELECT t.series_id, t.cur, t.fraction, p.us, p.us - lag(p.us) OVER (PARTITION BY t.series_id, t.cur, t.fraction ORDER BY p.us) AS g FROM task t JOIN ptops p ON p.series_id = t.series_id AND p.us < t.cur),
 err AS (SELECT t.series_id, t.cur, t.fraction, (floor(max(us) + median(g) + 0.5) - t.cur) / 3.6e9 AS error_h FROM task t LEFT JOIN gaps USING (series_id, cur, fraction) GROUP BY t.series_id, t.cur, t.fraction)"""
 
 
 @query(f"WITH {BACK} SELECT CAST(fraction AS DOUBLE) AS fraction, count(error_h) AS n_scored, count(*) AS n_tasks, round(median(abs(error_h)), 4) AS median_abs, round(avg(error_h), 4) AS mean_signed FROM err GROUP BY fraction")
 def backtest_interval_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    tops = half_day_peaks(s).withColumn("prominence", F.lit(99.0))
-    errors = forecast.backtest(s, tops, peaks.backtest_segments(s, tops, SERIES), SERIES, ["interval_median"])
+    tops = prominent_half_days(s)
+    errors = forecast.backtest(s, tops, peaks.backtest_segments(s, tops, SERIES, BACK_PARAMS), SERIES, ["interval_median"], BACK_PARAMS)
     return forecast.backtest_stats(errors).select("fraction", "n_scored", "n_tasks", F.round("median_abs", 4).alias("median_abs"), F.round("mean_signed", 4).alias("mean_signed"))
 
 
 @query()
 def best_model_per_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandline.params import Params
-
     s = samples(spark, sf_dir)
-    tops = half_day_peaks(s).withColumn("prominence", F.lit(99.0))
+    tops = prominent_half_days(s)
     # Errors read point forecasts only, which no model takes from the draws of its band.
-    no_bands = Params(draws=0)
+    no_bands = replace(BACK_PARAMS, draws=0)
     errors = forecast.backtest(s, tops, peaks.backtest_segments(s, tops, SERIES, no_bands), SERIES, p=no_bands)
     return forecast.best_models(forecast.backtest_stats(errors)).select("fraction", "model_id", "n_scored", F.round("median_abs", 3).alias("median_abs"))
 
@@ -488,9 +553,9 @@ def best_model_per_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(json_extract(props, '$.k') AS INTEGER) % 10 AS k, count(*) AS n, upper(event_type) AS kind FROM events GROUP BY ALL")
 def json_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by a number in their JSON; the normalisers of alerts and states are in source_queries."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.from_json("props", "k int")["k"]
-    return events.groupBy(F.pmod(k, F.lit(10)).alias("k"), F.upper("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return events.groupBy(F.pmod(text.json_number(F.col("props"), "$.k").cast("int"), F.lit(10)).alias("k"), F.upper("event_type").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'token') THEN 1 WHEN contains(lower(text), 'quell') AND lang IN ('es', 'fr') THEN 2 WHEN source IN ('src1', 'src2') AND lang IN ('es', 'fr') THEN 3 END AS tier FROM documents")
@@ -512,7 +577,7 @@ def diagnostic_tints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.tint(F.col("value"), 3.0, 10.0).alias("tint"))
 
 
-@query("SELECT series_id, round(slope, 6) AS slope, round(intercept, 4) AS intercept, n_labels FROM (SELECT CAST(user_id % 4 AS INTEGER) AS series_id, (sum(w) * sum(w * px * value) - sum(w * px) * sum(w * value)) / (sum(w) * sum(w * px * px) - sum(w * px) ** 2) AS slope, (sum(w * value) - slope * sum(w * px)) / sum(w) AS intercept, count(*) AS n_labels FROM (SELECT user_id, value, event_id % 500 AS px, pow((50 + event_id % 50) / 100.0, 4) AS w FROM events) GROUP BY 1)")
+@query("SELECT series_id, round(slope, 6) AS slope, round(intercept, 4) AS intercept, n_labels FROM (SELECT CAST(user_id % (SELECT greatest(4, count(*) // 2500) FROM events) AS INTEGER) AS series_id, (sum(w) * sum(w * px * value) - sum(w * px) * sum(w * value)) / (sum(w) * sum(w * px * px) - sum(w * px) ** 2) AS slope, (sum(w * value) - slope * sum(w * px)) / sum(w) AS intercept, count(*) AS n_labels FROM (SELECT user_id, value, event_id % 500 AS px, pow((50 + event_id % 50) / 100.0, 4) AS w FROM events) GROUP BY 1)")
 def weighted_axis_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = samples(spark, sf_dir).withColumns({"px": F.pmod("event_id", F.lit(500)).cast("double"), "conf": 50.0 + F.pmod("event_id", F.lit(50))})
     return state.weighted_axis(labels, SERIES).select("series_id", r6("slope").alias("slope"), F.round("intercept", 4).alias("intercept"), "n_labels")

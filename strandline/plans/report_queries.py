@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.timebuckets import DAY, HOUR, epoch_days, from_micros, micros
+from strandline.functions.timebuckets import DAY, HOUR, epoch_days, from_micros, local_time, micros
 from strandline.operators import archive, forecast, joins, peaks, reconcile, state, text, windows
-from strandline.plans.queries import BACK, BETWEEN, KEYS, SERIES, TAGGED, TOPS, B, S, half_day_peaks, live_and_archive, r6, samples, sql_floor
+from strandline.plans.queries import BACK, BACK_PARAMS, BETWEEN, KEYS, SERIES, SOURCES, TAGGED, TOPS, B, S, half_day_peaks, live_and_archive, prominent_half_days, r6, samples, sql_floor
+from strandline.params import DEFAULTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -48,8 +49,7 @@ def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S} SELECT event_id, round(us / 8.64e10, 8) AS day, ts - INTERVAL 10 HOUR AS local_ts FROM s")
 def display_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    local = F.convert_timezone(F.lit("UTC"), F.lit("Pacific/Honolulu"), F.col("ts"))
-    return samples(spark, sf_dir).select("event_id", F.round(epoch_days("ts"), 8).alias("day"), local.alias("local_ts"))
+    return samples(spark, sf_dir).select("event_id", F.round(epoch_days("ts"), 8).alias("day"), local_time("ts").alias("local_ts"))
 
 
 @query(f"WITH {S} SELECT source, round((1706745600000000 - max(us)) / 1e6, 3) AS age_seconds FROM s GROUP BY ALL")
@@ -66,7 +66,7 @@ def history_of_twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def anchor_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = reconcile.anchor_fits(samples(spark, sf_dir), SERIES)
+    fits = reconcile.anchor_fits(samples(spark, sf_dir), SERIES, SOURCES.anchor)
     return fits.withColumns({c: F.round(c, 4) for c in ("a", "b", "residual_std")})
 
 
@@ -114,8 +114,7 @@ def samples_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BACK} SELECT series_id, make_timestamp(cur) AS end_ts, make_timestamp(t_us) AS trough_ts, CAST(place AS INTEGER) AS place FROM seg WHERE place <= 7")
 def backtest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    tops = half_day_peaks(s).withColumn("prominence", F.lit(99.0))
-    return peaks.backtest_segments(s, tops, SERIES).select("series_id", "end_ts", "trough_ts", "place")
+    return peaks.backtest_segments(s, prominent_half_days(s), SERIES, BACK_PARAMS).select("series_id", "end_ts", "trough_ts", "place")
 
 
 @query(f"WITH {TOPS} SELECT series_id, make_timestamp(us) AS start_ts, make_timestamp(nx) AS end_ts FROM (SELECT *, lead(us) OVER w AS nx, row_number() OVER w AS k FROM tops WINDOW w AS (PARTITION BY series_id ORDER BY us)) WHERE k % 2 = 1 AND nx IS NOT NULL")
@@ -134,7 +133,7 @@ def peaks_used(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TAGGED}, a AS (SELECT series_id, b_us, event_id, value FROM b WHERE source = 'error') SELECT event_id, round(a.value - m.value, 6) AS delta FROM a JOIN merged m USING (series_id, b_us) WHERE abs(a.value - m.value) > 3.0")
 def archive_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    truth = reconcile.merge(s, SERIES).select("series_id", "bucket", F.col("value").alias("truth"))
+    truth = reconcile.merge(s, SERIES, SOURCES).select("series_id", "bucket", F.col("value").alias("truth"))
     _, old = live_and_archive(s)
     delta = F.col("value") - F.col("truth")
     return archive.bucketed(old).join(truth, ["series_id", "bucket"]).filter(F.abs(delta) > 3.0).select("event_id", r6(delta).alias("delta"))
@@ -143,7 +142,7 @@ def archive_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, old = live_and_archive(samples(spark, sf_dir))
-    return archive.contamination_rounds(old, reconcile.merge(live, SERIES), SERIES)
+    return archive.contamination_rounds(old, reconcile.merge(live, SERIES, SOURCES), SERIES)
 
 
 @query(f"WITH {S}, w AS (SELECT *, median(value) OVER f AS med, count(*) OVER f AS k, count(*) OVER (PARTITION BY series_id, source) AS n FROM s WINDOW f AS (PARTITION BY series_id, source ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT series_id, source, count(*) AS n_before, count(*) FILTER (NOT (n >= 10 AND k >= 3 AND abs(value - med) > 4.0)) AS n_after FROM w GROUP BY ALL")
@@ -154,19 +153,13 @@ def source_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S}, m AS (SELECT series_id, source, {sql_floor('us', Q)} AS q, median(value) AS v FROM s GROUP BY ALL) SELECT a.series_id, round(median(a.v - b.v), 6) AS \"offset\", count(*) AS n_common FROM m a JOIN m b ON a.series_id = b.series_id AND a.q = b.q AND a.source = 'view' AND b.source = 'purchase' GROUP BY a.series_id HAVING count(*) >= 3")
 def inspector_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = micros("ts") - F.pmod(micros("ts"), F.lit(Q))
-    mid = samples(spark, sf_dir).groupBy(*KEYS, q.alias("q")).agg(F.median("value").alias("v"))
-    pair = mid.filter("source = 'view'").select("series_id", "q", "v").join(mid.filter("source = 'purchase'").select("series_id", "q", F.col("v").alias("u")), ["series_id", "q"])
-    return pair.groupBy("series_id").agg(r6(F.median(F.col("v") - F.col("u"))).alias("offset"), F.count("*").alias("n_common")).filter("n_common >= 3")
+    return reconcile.median_offset(samples(spark, sf_dir), SERIES, "view", "purchase").withColumn("offset", r6("offset"))
 
 
 @query(f"WITH {TOPS}, x AS (SELECT series_id, max(us) AS hi, max(value) AS mv, min(value) AS nv FROM s GROUP BY ALL), p AS (SELECT series_id, min(us) AS first_us FROM tops GROUP BY ALL) SELECT series_id, make_timestamp(least(hi - {90 * DAY}, first_us - {7 * DAY})) AS zoom_from, make_timestamp(hi + {14 * DAY}) AS zoom_to, round(mv + 0.1 * (mv - nv), 6) AS marker FROM x JOIN p USING (series_id)")
 def zoom_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    first = half_day_peaks(s).groupBy("series_id").agg(F.min(micros("ts")).alias("first_us"))
-    x = s.groupBy("series_id").agg(F.max(micros("ts")).alias("hi"), F.max("value").alias("mv"), F.min("value").alias("nv")).join(first, "series_id")
-    low = F.least(F.col("hi") - 90 * DAY, F.col("first_us") - 7 * DAY)
-    return x.select("series_id", from_micros(low).alias("zoom_from"), from_micros(F.col("hi") + 14 * DAY).alias("zoom_to"), r6(F.col("mv") + 0.1 * (F.col("mv") - F.col("nv"))).alias("marker"))
+    return state.shown_range(s, half_day_peaks(s), SERIES).withColumn("marker", r6("marker"))
 
 
 @query("SELECT event_id, CASE WHEN n = 0 THEN 'today' WHEN n = 1 THEN 'tomorrow' WHEN n = -1 THEN 'yesterday' WHEN n > 1 THEN 'in ' || n || ' days' ELSE (-n) || ' days ago' END AS phrase FROM (SELECT event_id, CAST(round_even((epoch_us(ts) - 1705276800000000) / 8.64e10, 0) AS INTEGER) AS n FROM events)")
@@ -207,8 +200,8 @@ def report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BACK}, st AS (SELECT fraction, round(median(abs(error_h)), 4) AS m FROM err GROUP BY fraction) SELECT 'interval_median' AS model_id, max(m) FILTER (fraction = 0.25) AS at_25, max(m) FILTER (fraction = 0.5) AS at_50, max(m) FILTER (fraction = 0.75) AS at_75, max(m) FILTER (fraction = 1.0) AS at_100 FROM st")
 def backtest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    tops = half_day_peaks(s).withColumn("prominence", F.lit(99.0))
-    errors = forecast.backtest(s, tops, peaks.backtest_segments(s, tops, SERIES), SERIES, ["interval_median"])
+    tops = prominent_half_days(s)
+    errors = forecast.backtest(s, tops, peaks.backtest_segments(s, tops, SERIES, BACK_PARAMS), SERIES, ["interval_median"], BACK_PARAMS)
     wide = forecast.backtest_stats(errors).groupBy("model_id").pivot("fraction", [0.25, 0.5, 0.75, 1.0]).agg(F.round(F.max("median_abs"), 4))
     return wide.toDF("model_id", "at_25", "at_50", "at_75", "at_100")
 
@@ -216,5 +209,4 @@ def backtest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S}, f AS (SELECT event_id, (us % {DAY}) / {float(DAY)} AS x FROM s) SELECT event_id, CASE WHEN x <= 0.375 THEN 0.25 WHEN x <= 0.625 THEN 0.5 WHEN x <= 0.875 THEN 0.75 ELSE 1.0 END::DOUBLE AS fraction FROM f")
 def nearest_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.pmod(micros("ts"), F.lit(DAY)) / float(DAY)
-    tries = F.transform(F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75, 1.0)]), lambda v: F.struct(F.abs(v - x).alias("off"), v.alias("v")))
-    return samples(spark, sf_dir).select("event_id", F.array_min(tries)["v"].alias("fraction"))
+    return samples(spark, sf_dir).select("event_id", state.nearest_of(x, DEFAULTS.fractions).alias("fraction"))

@@ -15,6 +15,7 @@ from strandline.streaming import pipelines
 
 SCHEMA = "event_id long, series_id int, source string, ts timestamp_ntz, value double"
 S, K = ["series_id"], ["series_id", "source"]
+SOURCES = reconcile.Sources({"purchase": 0.1, "view": 0.2, "click": 0.3}, anchor="purchase", archive="error")
 
 
 def frame(spark, rows):
@@ -37,15 +38,15 @@ def test_offsets_are_recovered_and_move_with_a_source(spark):
     s = frame(spark, rows)
 
     def solve(d):
-        return {r.source: (r.b, r.reachable) for r in reconcile.solve_offsets(d, reconcile.pairwise_offsets(d, S), S).collect()}
+        return {r.source: (r.b, r.reachable) for r in reconcile.solve_offsets(d, reconcile.pairwise_offsets(d, S), S, SOURCES).collect()}
 
     got = solve(s)
     assert abs(got["view"][0] - 3) < 1e-6 and abs(got["click"][0] + 2) < 1e-6 and got["purchase"] == (0.0, True)
     assert got["signup"] == (0.0, False)
     moved = solve(s.withColumn("value", F.col("value") + F.when(F.col("source") == "click", 7.0).otherwise(0.0)).repartition(5))
     assert abs(moved["click"][0] - got["click"][0] - 7) < 1e-6 and abs(moved["view"][0] - 3) < 1e-6
-    corrected = reconcile.apply_offsets(s.filter("source <> 'signup'"), reconcile.solve_offsets(s, reconcile.pairwise_offsets(s, S), S), S)
-    merged = reconcile.merge(corrected, S).toPandas()
+    corrected = reconcile.apply_offsets(s.filter("source <> 'signup'"), reconcile.solve_offsets(s, reconcile.pairwise_offsets(s, S), S, SOURCES), S)
+    merged = reconcile.merge(corrected, S, SOURCES).toPandas()
     assert merged.ts.is_unique and set(merged.winner) == {"purchase", "view", "click"} or set(merged.winner) == {"purchase", "view"}
 
 
@@ -136,11 +137,14 @@ def test_text_parsers(spark):
     assert show(text.lenient_timestamp(F.lit("2026-04-14 23:60:09"))) == "2026-04-15 10:00:09"
     assert show(text.lenient_timestamp(F.lit("no time"))) == "None"
     assert show(text.tick_time(F.lit("12/30"), ref)) == "2025-12-30 10:00:00"
-    assert show(text.tick_time(F.lit("Dec-2025"), ref)) == "2025-12-01 10:00:00"
+    assert show(text.tick_time(F.lit("Dec-2025"), ref)) == "2025-12-01 00:00:00"  # a month begins at its own midnight
+    assert show(text.tick_time(F.lit("dec 2025"), ref)) == "2025-12-01 00:00:00" and show(text.tick_time(F.lit("Dec-1999"), ref)) == "None"
+    assert show(text.tick_time(F.lit("12-30"), ref)) == "2025-12-30 10:00:00" and show(text.tick_time(F.lit("23.30"), ref)) == "2026-01-05 09:30:00"
     assert show(text.tick_time(F.lit("23:30"), ref)) == "2026-01-05 09:30:00"
     assert show(text.tick_time(F.lit("??"), ref)) == "None"
-    raw = spark.createDataFrame([('{"features":[{"properties":{"event":" ","severity":"severe","sent":"2026-01-01T00:00:00Z","geocode":{"UGC":["A"]}}},{"properties":{"event":"Ash","headline":"h"}}]}',), ("broken",)], "body string")
+    raw = spark.createDataFrame([('{"features":[{"properties":{"event":" ","severity":"severe","sent":"2026-01-01T00:00:00Z","geocode":{"UGC":["A"]},"instruction":"stay in"}},{"properties":{"event":"Ash","headline":"h"}}]}',), ("broken",)], "body string")
     rows = text.alert_records(raw).collect()
+    assert [r.instruction for r in rows] == ["stay in", ""]
     assert [(r.event, r.headline, r.severity, r.zones) for r in rows] == [("Alert", "Alert", "SEVERE", ["A"]), ("Ash", "h", "UNKNOWN", [])]
 
 
