@@ -40,8 +40,8 @@ ENOUGH_WORDS = 13
 SHARD_BYTES = 8 << 20
 #: A term in more blocks than this, and than a sixteenth of all, is bounded by its largest impact anywhere.
 WIDE_BLOCKS = 64
-#: Block maxima summed up at once: bounds the memory of a task.
-SLICE_ENTRIES = 1 << 20
+#: Sums and block maxima that a task holds at once.
+SLICE_CELLS = 1 << 20
 
 _KEEP = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -109,6 +109,7 @@ class Index:
             maxima.append(np.maximum.reduceat(np.frombuffer(weights, dtype=float), first))
             self.reach.append(self.reach[-1] + len(first))
         self.term_max = [float(m.max()) for m in maxima]
+        self.of_term = [(array("q", b), array("d", m)) for b, m in zip(blocks, maxima, strict=True)]
         self.block, self.block_max = (np.concatenate([*x, np.empty(0, dtype=kind)]) for x, kind in ((blocks, np.int64), (maxima, float)))
         self.reach = np.array(self.reach, dtype=np.int64)
         self.n_blocks = n_blocks
@@ -118,8 +119,9 @@ class Index:
         self.narrow = np.append(np.where(self.wide, 0, np.diff(self.reach)), 0)
 
     def _in_block(self, term: int, block: int) -> float:
-        at = self.reach[term] + np.searchsorted(self.block[self.reach[term] : self.reach[term + 1]], block)
-        return float(self.block_max[at]) if at < self.reach[term + 1] and self.block[at] == block else 0.0
+        blocks, maxima = self.of_term[term]
+        at = bisect_left(blocks, block)
+        return maxima[at] if at < len(blocks) and blocks[at] == block else 0.0
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Units whose score against the distinct ``terms`` reaches ``threshold``: block-max WAND."""
@@ -186,8 +188,8 @@ class Index:
             words = terms_of(text)
             ids = np.fromiter(map(self.vocabulary.get, words, repeat(none)), dtype=np.int64, count=len(words))
             waiting.append((k, words, ids))
-            size += len(words) + int(self.narrow[ids].sum())
-            if size >= SLICE_ENTRIES:
+            size += (len(words) // CHUNK_WORDS + PASSAGE_CHUNKS) * self.n_blocks + int(self.narrow[ids].sum())
+            if size >= SLICE_CELLS:
                 self._scan(waiting, retrieve, overlap, out)
                 waiting, size = [], 0
         self._scan(waiting, retrieve, overlap, out)
@@ -202,15 +204,13 @@ class Index:
         wide = np.bincount(in_chunk, weights=self.wide_max[of_term], minlength=n_chunks)
         anywhere = sum(wide[k : n_chunks - PASSAGE_CHUNKS + 1 + k] for k in range(PASSAGE_CHUNKS))
         times = self.narrow[of_term]
-        # For each narrow term of a chunk its blocks and their maxima, counted in every passage that has the chunk.
+        # For each narrow term of a chunk its blocks and their maxima, summed per chunk and block, then per passage.
+        times = self.narrow[of_term]
         entry = np.repeat(self.reach[of_term] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-        at, block, most = np.repeat(in_chunk, times), self.block[entry], self.block_max[entry]
-        key = np.concatenate([(at - k) * self.n_blocks + block for k in range(PASSAGE_CHUNKS)])
-        value = np.tile(most, PASSAGE_CHUNKS)[key >= 0]
-        key, place = np.unique(key[key >= 0], return_inverse=True)
-        passage = key // self.n_blocks
-        good = np.bincount(place, weights=value, minlength=len(key)) + anywhere[np.minimum(passage, len(anywhere) - 1)] >= retrieve - 1e-6
-        return np.union1d(passage[good], np.flatnonzero(anywhere >= retrieve - 1e-6))
+        cell = np.repeat(in_chunk, times) * self.n_blocks + self.block[entry]
+        bound = np.bincount(cell, weights=self.block_max[entry], minlength=n_chunks * self.n_blocks).reshape(n_chunks, self.n_blocks)
+        passage = sum(bound[k : n_chunks - PASSAGE_CHUNKS + 1 + k] for k in range(PASSAGE_CHUNKS))
+        return np.flatnonzero(passage.max(axis=1) + anywhere >= retrieve - 1e-6)
 
     def _scan(self, documents: list[tuple[int, list[bytes], np.ndarray]], retrieve: float, overlap: float, out: dict) -> None:
         none = len(self.vocabulary)
