@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import DAY, HOUR, epoch_days, from_micros, local_time, micros
 from strandline.operators import archive, forecast, joins, peaks, reconcile, state, text, windows
-from strandline.plans.queries import BACK, BACK_PARAMS, BETWEEN, KEYS, SERIES, SOURCES, TAGGED, TOPS, B, S, half_day_peaks, live_and_archive, prominent_half_days, r6, samples, sql_floor
+from strandline.plans.queries import BACK, BACK_PARAMS, BETWEEN, KEYS, SERIES, SOURCES, TAGGED, TOPS, B, S, half_day_peaks, live_and_archive, prominent_half_days, r6, samples, sql_floor, sql_round
 from strandline.params import DEFAULTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,7 +139,17 @@ def archive_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.bucketed(old).join(truth, ["series_id", "bucket"]).filter(F.abs(delta) > 3.0).select("event_id", r6(delta).alias("delta"))
 
 
-@query()
+def _round(before: str, name: str, flag: int) -> str:
+    near = lambda f, hours: f"{f} OVER (PARTITION BY series_id ORDER BY us RANGE BETWEEN {int(hours * HOUR)} PRECEDING AND {int(hours * HOUR)} FOLLOWING)"
+    return f"""{name}w AS (SELECT *, {near("count(act)", 0.5)} - (act IS NOT NULL)::INT AS n_close, {near("count(act)", 6)} AS n6, {near("median(act)", 6)} AS m6, {near("count(act)", 24)} AS n24, {near("median(act)", 24)} AS m24
+  FROM (SELECT series_id, ts, us, event_id, value, truth, flag, CASE WHEN flag = 0 THEN value END AS act FROM {before})),
+{name} AS (SELECT series_id, ts, us, event_id, value, truth, CASE WHEN truth IS NULL AND flag = 0 AND CASE WHEN n_close = 0 THEN n6 >= 3 AND abs(value - m6) > 2.5 ELSE n24 >= 3 AND abs(value - m24) > 3.0 END THEN {flag} ELSE flag END AS flag FROM {name}w)"""
+
+
+LIVE = TAGGED.replace("AS us FROM events)", "AS us FROM events WHERE event_type <> 'error')", 1)
+
+
+@query(f"WITH {LIVE}, ar AS (SELECT e.*, {sql_round('us')} AS b_us FROM ({S[6:-1]}) e WHERE source = 'error'), r0 AS (SELECT ar.series_id, ts, ar.us, event_id, ar.value, m.value AS truth, CASE WHEN abs(ar.value - m.value) > 3.0 THEN 1 ELSE 0 END AS flag FROM ar LEFT JOIN merged m USING (series_id, b_us)), {_round('r0', 'r1', 2)}, {_round('r1', 'r2', 3)} SELECT series_id, ts, event_id, value, flag FROM r2 WHERE flag > 0")
 def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, old = live_and_archive(samples(spark, sf_dir))
     return archive.contamination_rounds(old, reconcile.merge(live, SERIES, SOURCES), SERIES)

@@ -82,7 +82,7 @@ def read_two_axes(spark: SparkSession, *paths: str, degrees: float = 300.0, minu
     x, y = (F.col(f"`{c}`").try_cast("double") for c in ("Xtilt(microrad)", "Ytilt(microrad)"))
     read = named.select("file", parsed_time(F.col("UTCDateTime")).alias("ts"), project_azimuth(x, y, degrees).alias("value")).dropna(subset=["ts", "value"])
     means = read.groupBy("file", floor_bucket("ts", minutes * MINUTE).alias("ts")).agg(F.avg("value").alias("value"))
-    return means.join(F.broadcast(numbers), "file").select("ts", "value", "segment")
+    return means.join(numbers, "file").select("ts", "value", "segment")
 
 
 # The columns of a quality log, in the order of its file.
