@@ -64,7 +64,15 @@ def history_of_twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("source").agg(F.array_join(F.transform(rows, lambda x: x["v"]), ",").alias("last20"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, hm AS (SELECT series_id, source, {sql_floor('us', HOUR)} AS h, avg(value) AS v FROM s GROUP BY ALL),
+en AS (SELECT series_id, min(us) AS lo, max(us) AS hi FROM s WHERE source = 'purchase' GROUP BY ALL),
+tr AS (SELECT hm.series_id, h, v AS truth FROM hm JOIN en USING (series_id) WHERE source = 'purchase' AND h BETWEEN lo + {6 * HOUR} AND hi - {6 * HOUR}),
+pt AS (SELECT *, x0 - mid AS x FROM (SELECT hm.series_id, hm.source, hm.v AS x0, truth AS y, avg(hm.v) OVER o AS mid, count(*) OVER o AS n FROM hm JOIN tr ON hm.series_id = tr.series_id AND hm.h = tr.h WHERE hm.source <> 'purchase' WINDOW o AS (PARTITION BY hm.series_id, hm.source))),
+it(k, series_id, source, m, b) AS (SELECT 0, series_id, source, regr_slope(y, x), regr_intercept(y, x) FROM pt WHERE n >= 50 GROUP BY series_id, source
+  UNION ALL SELECT k, series_id, source, m, (swy - m * swx) / sw FROM (SELECT k + 1 AS k, series_id, source, sum(w) AS sw, sum(w * x) AS swx, sum(w * y) AS swy, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2) AS m
+    FROM (SELECT it.k, it.series_id, it.source, x, y, least(1.0, 1.0 / greatest(abs(y - (m * x + b)), 1e-300)) AS w FROM it JOIN pt ON it.series_id = pt.series_id AND it.source = pt.source WHERE k < 60) GROUP BY k, series_id, source)),
+ln AS (SELECT pt.series_id, pt.source, any_value(m) AS a, any_value(b - m * mid) AS b, stddev_pop(y - (m * x + it.b)) AS sd FROM it JOIN pt ON it.series_id = pt.series_id AND it.source = pt.source WHERE k = 60 GROUP BY pt.series_id, pt.source)
+SELECT c.series_id, c.source, overlap, round(a, 4) AS a, round(b, 4) AS b, round(sd, 4) AS residual_std, coalesce(abs(a - 1) > 0.03 OR abs(b) > 5.0, FALSE) AS apply FROM (SELECT series_id, source, count(*) AS overlap FROM pt GROUP BY ALL) c LEFT JOIN ln USING (series_id, source)""")
 def anchor_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = reconcile.anchor_fits(samples(spark, sf_dir), SERIES, SOURCES.anchor)
     return fits.withColumns({c: F.round(c, 4) for c in ("a", "b", "residual_std")})
