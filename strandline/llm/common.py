@@ -33,10 +33,21 @@ def ids_and_bytes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
+#: Rows whose Python objects a task holds at once.
+PART_ROWS = 512
+
+
+def parts_of(batches):
+    """Arrow batches in slices of PART_ROWS rows, which share their memory."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(k, PART_ROWS)
+
+
 def map_texts(rows: DataFrame, added: str, compute: Callable[[list], list], column: str = "text") -> DataFrame:
     """``rows`` with ``column`` replaced by the ``added`` columns (DDL) that ``compute`` makes of a batch of its values.
 
-    ``compute`` gives one list, numpy or Arrow array per added column. All other columns pass as Arrow arrays, untouched: ids stay
+    ``compute`` gives one list or numpy array per added column. All other columns pass as Arrow arrays, untouched: ids stay
     exact beside nulls and above 2^53, whatever their type.
     """
     kept = [c for c in rows.columns if c != column]
@@ -49,10 +60,9 @@ def map_texts(rows: DataFrame, added: str, compute: Callable[[list], list], colu
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in made]
-        for batch in batches:
-            values = compute(batch.column(column).to_pylist())
-            arrays = [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names)
+        for part in parts_of(batches):
+            values = compute(part.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -63,8 +73,8 @@ def keep_rows(rows: DataFrame, good: Callable[[list], list], column: str = "text
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            yield batch.filter(pa.array(good(batch.column(column).to_pylist()), pa.bool_()))
+        for part in parts_of(batches):
+            yield part.filter(pa.array(good(part.column(column).to_pylist()), pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)
 

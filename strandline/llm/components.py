@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import checkpoint
+from strandline.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b, of one type): the smallest node reachable, itself included.
 
     Loops and repeated edges do no harm; without edges there are no rows. Every round shortens the paths to the
-    smallest node, moves edges only, and is checkpointed; the rounds end when the edges stay as they are.
+    smallest node, moves edges only, and is written to the shared folder; the rounds end when the edges stay as they are.
     """
-    now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = None
     while True:
         # Large star: link all larger neighbours of a node to its smallest neighbour.
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: link a node and its smaller neighbours to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = checkpoint(small.distinct())
+        before, now = now, written(small.distinct())
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break

@@ -1,14 +1,16 @@
 """Substring deduplication of paragraphs by MinHash banding.
 
-A paragraph is a line with enough words. Equal paragraphs (by words, ignoring case and spacing) are one node. Each node
-has MinHash values over its 5-word shingles, in bands tuned for high recall at the wanted similarity; nodes that
-collide in a band are compared by the exact Jaccard similarity of their shingles, and the similar ones are joined into
-components. The first occurrence of a component stays, the others are removals.
-
-Passages that repeat word by word inside longer lines, or over several lines, are found by their windows of RUN_WORDS
-words. Each window is known by the least hash of the runs of half its words in it, which any other text with the window
-shares; windows whose least hash occurs once are dropped, the others are grouped by the hash of all their words. This
-makes no pairs and misses no repeated window. Neighbouring windows are merged into spans.
+A paragraph is a line with enough words, or short lines in a row that have enough together. Equal paragraphs (by words,
+ignoring case and spacing) are one node. Each node has MinHash values over its 5-word shingles, in bands tuned for high
+recall at the wanted similarity; nodes that collide in a band are compared by the exact Jaccard similarity of their
+shingles, and the similar ones are joined into components. The first occurrence of a component stays, the others are
+removals.
+
+Passages that repeat word by word inside longer lines, or over several lines, are found by segments that the words
+themselves choose, whatever stands around them: of the segments of 26 words that begin in any stretch of 50 words, the
+one with the least hash. Two texts that share 50 words in a row thus share a segment, and neighbouring segments of a
+passage leave no word between them out. Segments that occur again are joined into spans. All of this takes one pass over
+the texts; only candidates for similar paragraphs are read again.
 """
 
 from __future__ import annotations
@@ -16,17 +18,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.candidates import similar_edges
-from strandline.llm.common import written
+from strandline.llm.candidates import Measure, similar_edges
+from strandline.llm.common import discard, map_texts, written
 from strandline.llm.components import components
 
-#: A passage of so many words or more that occurs twice is reported wherever it stands.
+#: Every passage of so many words that occurs twice, word by word, is found wherever it stands.
 RUN_WORDS = 50
+SEGMENT_WORDS = 26
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 MIN_WORDS = 25
@@ -102,252 +104,293 @@ def _hash_words(words: list[bytes], known: _WordHashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def paragraphs(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, line, start, end (words of the document), node (digest of the words), keys (one per band)."""
+# --- segments that the words choose ---------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        found: list[np.ndarray] = []
-
-        def flush() -> pd.DataFrame:
-            hashes, starts = _all_shingles(np.concatenate(found), np.array([len(x) for x in found]), size)
-            frame = pd.DataFrame(out, columns=["doc_id", "text_hash", "line", "start", "end", "node"]).astype({"doc_id": "Int64"})
-            frame["keys"] = list(minhash_bands(hashes, starts, bands, rows))
-            out.clear()
-            found.clear()
-            return frame
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-        for batch in batches:
-            known, waiting = _WordHashes(), 0
-            for doc_id, text_hash, text in zip(batch["doc_id"].tolist(), batch["text_hash"].tolist(), batch["text"], strict=True):
-                at = 0
-                for line, raw in enumerate((text or b"").lower().split(b"\n")):
-                    words = raw.split()
-                    if len(words) >= max(1, min_words):
-                        out.append((doc_id, text_hash, line, at, at + len(words), xxhash.xxh3_128_digest(b" ".join(words))))
-                        found.append(_hash_words(words, known))
-                        waiting += len(words)
-                    at += len(words)
-                if waiting > FLUSH_WORDS:
-                    yield flush()
-                    waiting = 0
-            if found:
-                yield flush()
 
-    schema = "doc_id long, text_hash long, line int, start long, end long, node binary, keys array<long>"
-    return _texts(docs).mapInPandas(run, schema)
+def _least_at(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least value, the first of equal ones, in every stretch of ``width`` values."""
+    at, reach = np.arange(len(values)), 1
+    pick = lambda a, b: np.where(values[b] < values[a], b, a)
+    while 2 * reach <= width:
+        at, reach = pick(at[:-reach], at[reach:]), 2 * reach
+    return pick(at[: len(at) - (width - reach)], at[width - reach :]) if reach < width else at
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+def chosen_segments(words: np.ndarray, lengths: np.ndarray, size: int = RUN_WORDS, segment: int = SEGMENT_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, hash) of the chosen segments of many texts, whose words' hashes lie one text after another."""
+    n, ends = len(words), np.cumsum(lengths)
+    none = np.empty(0, dtype=np.int64)
+    if n < size:
+        return none, none, none
+    powers = np.cumprod(np.full(n, BASE))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * powers, dtype=np.uint64)])
+    back = np.cumprod(np.full(n, BASE_INVERSE))
+    hashes = _mix((sums[segment:] - sums[:-segment]) * back[: n - segment + 1])
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    window = np.flatnonzero(np.arange(n - size + 1) + size <= ends[text[: n - size + 1]])
+    at = np.unique(_least_at(hashes, size - segment + 1)[window])
+    return text[at], at - (ends - lengths)[text[at]], hashes[at].view(np.int64)
+
+
+# --- one pass over the texts ----------------------------------------------------------------------------------------
+
+ANALYSED = "digest binary, n_words long, line int, p_line array<int>, p_start array<int>, p_end array<int>, p_node array<binary>, p_keys array<long>, s_key array<long>, s_at array<int>"
+
+
+def _paragraph_lines(lengths: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """(first, last) line of each paragraph: lines of ``least`` words, and short ones in a row that have as many together."""
+    first, held = 0, 0
+    for k, n in enumerate(lengths):
+        if n >= least:
+            yield k, k
+            first, held = k + 1, 0
+        else:
+            first = k if not held else first
+            held += n
+            if held >= least:
+                yield first, k
+                first, held = k + 1, 0
+
+
+def analyse(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE_WORDS, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """One written row per document with words: row, doc_id, text_hash, digest (of the words), its paragraphs (p_*) and chosen segments (s_*)."""
+
+    def flush(texts: list[list[list[bytes]]], known: _WordHashes) -> list[list]:
+        flat = [[w for line in lines for w in line] for lines in texts]
+        hashes = _hash_words([w for words in flat for w in words], known)
+        lengths = np.array([len(words) for words in flat], dtype=np.int64)
+        begins = np.cumsum(lengths) - lengths
+        out: list[list] = [[xxhash.xxh3_128_digest(b" ".join(words)) for words in flat], lengths.tolist(), []]
+        places, found, of_text = [], [], []
+        for k, lines in enumerate(texts):
+            counts = [len(x) for x in lines]
+            ends = np.cumsum(counts).tolist()
+            out[2].append(next((i for i, c in enumerate(counts) if c), 0))
+            for a, b in _paragraph_lines(counts, max(1, min_words)):
+                start, end = ends[a] - counts[a], ends[b]
+                places.append((a, start, end, xxhash.xxh3_128_digest(b" ".join(flat[k][start:end]))))
+                found.append(hashes[begins[k] + start : begins[k] + end])
+                of_text.append(k)
+        cuts = np.searchsorted(of_text, np.arange(len(texts) + 1)).tolist()
+        keys = minhash_bands(*_all_shingles(np.concatenate(found), np.array([len(x) for x in found]), size), bands, rows) if found else np.empty((0, bands), dtype=np.int64)
+        for c in range(4):
+            out.append([[p[c] for p in places[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        out.append([keys[a:b].ravel() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        text, at, key = chosen_segments(hashes, lengths, run_words)
+        cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+        out += [[key[a:b] for a, b in parts], [at[a:b].astype(np.int32) for a, b in parts]]
+        return out
+
+    def compute(values: list) -> list:
+        known, waiting, size_waiting = _WordHashes(), [], 0
+        columns: list[list] = [[] for _ in ANALYSED.split(", ")]
+        for text in [*values, None]:
+            if text is not None:
+                lines = [line.split() for line in text.lower().split(b"\n")]
+                waiting.append(lines)
+                size_waiting += sum(map(len, lines))
+            if waiting and (size_waiting > FLUSH_WORDS or text is None):
+                for column, part in zip(columns, flush(waiting, known), strict=True):
+                    column += part
+                waiting, size_waiting = [], 0
+        return columns
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return written(map_texts(texts.withColumn("row", F.monotonically_increasing_id()), ANALYSED, compute).filter("n_words > 0"))
+
+
+# --- segments that occur again --------------------------------------------------------------------------------------
+
+
+def _unknown() -> Column:
+    return F.col("doc_id").isNull().alias("unknown")
+
+
+def _segment_spans(texts: DataFrame, copies: DataFrame, run_words: int = RUN_WORDS, segment: int = SEGMENT_WORDS) -> DataFrame:
+    """Chains of segments that occur before: span, row, start, end, first_row, cluster, shift, last_shift, same_end.
+
+    ``shift`` is how far the chain's first segment stands from its first occurrence, ``last_shift`` its last one; up to
+    ``same_end`` all stand as the first. In another text than that of the first occurrences a chain has one shift. A
+    cluster is a chain of first occurrences. In one text, what is nearer than ``run_words`` to its first occurrence does
+    not count. Of texts of equal words only the first takes part.
+    """
+    distinct = texts.filter(F.size("s_key") > 0).select("row", "s_key", "s_at").join(copies.select("first_row"), F.col("row") == F.col("first_row"), "left_semi")
+    postings = distinct.select("row", F.inline(F.arrays_zip("s_key", "s_at"))).toDF("row", "key", "at")
+    again = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    met = written(postings.join(again, "key").join(texts.select("row", "doc_id"), "row"))
+    firsts = met.groupBy("key").agg(F.min(F.struct(_unknown(), "doc_id", "row", "at")).alias("first"))
+    firsts = firsts.select("key", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"))
+    along = Window.partitionBy("first_row").orderBy("first_at")
+    begins = F.coalesce(F.col("first_at") - F.lag("first_at").over(along) > segment, F.lit(True))
+    clusters = firsts.withColumn("cluster", F.last(F.when(begins, F.col("key")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    found = met.drop("doc_id").join(clusters, "key").withColumn("shift", F.col("at") - F.col("first_at"))
+    own = F.col("row") == F.col("first_row")
+    found = found.filter(~own | (F.col("shift") >= run_words)).withColumn("lane", F.when(~own, F.col("shift")))
+    lane = Window.partitionBy("row", "cluster", "first_row", "lane").orderBy("at")
+    new = F.coalesce(F.col("at") - F.lag("at").over(lane) > segment, F.lit(True))
+    chained = found.withColumn("new", new).withColumns({
+        "chain": F.sum(F.col("new").cast("int")).over(lane.rowsBetween(Window.unboundedPreceding, 0)),
+        "begins_with": F.last(F.when(F.col("new"), F.col("shift")), ignorenulls=True).over(lane.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    spans = chained.groupBy("row", "cluster", "first_row", "lane", "chain", F.col("begins_with").alias("shift")).agg(
+        F.min("at").alias("start"), (F.max("at") + segment).alias("end"), F.max(F.struct("at", "shift"))["shift"].alias("last_shift"), (F.max(F.when(F.col("shift") == F.col("begins_with"), F.col("at"))) + segment).alias("same_end"),
+    )
+    return written(spans.drop("lane", "chain").withColumn("span", F.monotonically_increasing_id()))
 
 
-# --- runs of words that repeat anywhere -----------------------------------------------------------------------------
+def _agreeing(a: Column, b: Column) -> Column:
+    """How many of the first elements of two arrays are equal."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    stop = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(stop == 0, F.size(same)).otherwise(stop - 1)
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
+def _passages(texts: DataFrame, copies: DataFrame, spans: DataFrame, around: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """Passages of ``run_words`` words that occur again: row, line, start, end, cluster, first_doc_id, first_line, occurrences, removed.
 
-def window_hashes(words: np.ndarray, size: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``size`` words: the least hash of the runs of half as many words in it, and its own hash."""
-    n, half = len(words), size // 2
-    if n < size:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * np.cumprod(np.full(n, BASE)), dtype=np.uint64)])
-    back = np.cumprod(np.full(n, BASE_INVERSE))
-    runs = lambda k: _mix((sums[k:] - sums[:-k]) * back[: n - k + 1] + np.uint64(k))
-    least, width, wanted = runs(half), 1, size - half + 1
-    while 2 * width <= wanted:
-        least, width = np.minimum(least[:-width], least[width:]), 2 * width
-    if width < wanted:
-        least = np.minimum(least[: width - wanted], least[wanted - width :])
-    return least, runs(size)
-
-
-def _windows(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """window_hashes() of many texts at once, with the number of the text and the first word of each window."""
-    lengths = np.array([len(x) for x in texts])
-    ends = np.cumsum(lengths)
-    least, whole = window_hashes(np.concatenate(texts), size)
-    text = np.repeat(np.arange(len(texts)), lengths)[: len(least)]
-    inside = np.flatnonzero(np.arange(len(least)) + size <= ends[text])
-    return text[inside], inside - (ends - lengths)[text[inside]], least[inside], whole[inside]
-
-
-def _run_keys(docs: DataFrame, size: int) -> DataFrame:
-    """row, doc_id, text_hash, digest (of the words), line (of the first word), words, keys (least hashes of the windows), apart (keys of windows that lie apart)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known, rows, found, digests, lines, waiting = _WordHashes(), [], [], [], [], 0
-
-            def flush() -> pd.DataFrame:
-                text, at, least, _ = _windows(found, size)
-                new = np.ones(len(text), dtype=bool)
-                new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
-                text, least, start, last = text[new], least[new], at[new], at[np.roll(new, -1)]
-                order = np.lexsort((start, least, text))
-                text, least, start, last = text[order], least[order], start[order], last[order]
-                begin = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (least[1:] != least[:-1])]))
-                apart = np.maximum.reduceat(last, begin) - start[begin] >= size
-                text, key = text[begin], least[begin].view(np.int64)
-                cuts = np.searchsorted(text, np.arange(1, len(found)))
-                frame = batch.iloc[rows][["row", "doc_id", "text_hash"]].reset_index(drop=True).astype({"doc_id": "Int64"})
-                frame["digest"], frame["line"], frame["words"], frame["keys"] = digests.copy(), lines.copy(), [len(x) for x in found], np.split(key, cuts)
-                frame["apart"] = [k[x] for k, x in zip(np.split(key, cuts), np.split(apart, cuts), strict=True)]
-                for held in (rows, found, digests, lines):
-                    held.clear()
-                return frame
-
-            for k, text in enumerate(batch["text"]):
-                words = (text or b"").lower().split()
-                if len(words) >= size:
-                    rows.append(k)
-                    found.append(_hash_words(words, known))
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    lines.append(text.count(b"\n", 0, len(text) - len(text.lstrip())))
-                    waiting += len(words)
-                if waiting > FLUSH_WORDS:
-                    yield flush()
-                    waiting = 0
-            if found:
-                yield flush()
-
-    texts = _texts(docs).withColumn("row", F.monotonically_increasing_id())
-    return texts.mapInPandas(run, "row long, doc_id long, text_hash long, digest binary, line int, words long, keys array<long>, apart array<long>")
-
-
-def _run_windows(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
-    """row, doc_id, at (first word), line (of it), hash, for the windows of the texts in ``hits`` with one of their keys."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known, out = _WordHashes(), []
-            for k, (text, keys) in enumerate(zip(batch["text"], batch["keys"], strict=True)):
-                lines = [line.split() for line in (text or b"").lower().split(b"\n")]
-                line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-                least, whole = window_hashes(_hash_words([w for x in lines for w in x], known), size)
-                at = np.flatnonzero(np.isin(least.view(np.int64), keys))
-                name = batch.iloc[k]
-                ids = pd.array([None if pd.isna(name["doc_id"]) else int(name["doc_id"])] * len(at), dtype="Int64")
-                out.append(pd.DataFrame({"row": int(name["row"]), "doc_id": ids, "at": at, "line": line[at], "hash": whole[at].view(np.int64)}))
-            if out:
-                yield pd.concat(out)
-
-    wanted = hits.select("row", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"), "keys")
-    texts = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash")))
-    return texts.select("row", "doc_id", "text", "keys").mapInPandas(run, "row long, doc_id long, at long, line int, hash long")
-
-
-def repeated_runs(docs: DataFrame, size: int = RUN_WORDS) -> DataFrame:
-    """One row per maximal span of words made of windows of ``size`` words that occur again, exactly, anywhere.
-
-    doc_id, text_hash, line (of the first word), start, end, cluster, first_doc_id, first_line, occurrences, removed.
-    A cluster is a span of first occurrences; occurrences that overlap their own first one do not count. Texts of equal
-    words are spans as a whole, and of these only the first takes part in further spans.
+    ``around`` has the surroundings of the ``spans`` (span, side, left, lines, right, after): side 0 where the span stands,
+    side 1 at its first occurrence. Spans are prolonged as far as both agree; what overlaps is one passage. The first
+    occurrence of a passage in its own text ends where the second begins. Texts of equal words are passages as a whole.
     """
-    texts = written(_run_keys(docs, size))
-    names = texts.select("row", "doc_id", "text_hash", "digest", "line", "words")
-    copies = names.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "line")).alias("first"), F.count("*").alias("occurrences"))
-    copies = written(copies.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"), "occurrences"))
-    whole = names.join(copies.filter("occurrences > 1"), "digest").select(
-        "doc_id", "text_hash", "line", F.lit(0).cast("long").alias("start"), F.col("words").alias("end"), F.lower(F.hex("digest")).alias("cluster"),
-        "first_doc_id", "first_line", "occurrences", (F.col("row") != F.col("first_row")).alias("removed"),
-    )
-    distinct = texts.join(copies.select(F.col("first_row").alias("row")), "row", "left_semi")
-    keys = distinct.select("row", "doc_id", "text_hash", "apart", F.explode("keys").alias("key")).withColumn("times", F.when(F.array_contains("apart", F.col("key")), 2).otherwise(1)).drop("apart")
-    again = keys.groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
-    hits = keys.join(again, "key").groupBy("row", "doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
-    windows = written(_run_windows(docs, hits, size))
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "at", "line")
-    repeated = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max("row").alias("last_row"), F.min("row").alias("least_row"), F.max("at").alias("last_at"))
-    repeated = repeated.filter((F.col("least_row") != F.col("last_row")) | (F.col("last_at") - F.col("first.at") >= size))
-    firsts = repeated.select("hash", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("line_there"))
-    # Neighbouring first occurrences are one cluster, named by its first window.
-    order = Window.partitionBy("first_row").orderBy("first_at")
-    begins = F.coalesce(F.col("first_at") - F.lag("first_at").over(order) != 1, F.lit(True))
-    here = F.struct("hash", F.col("line_there").alias("line"))
-    clusters = firsts.withColumn("cluster", F.last(F.when(begins, here), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    clusters = clusters.select("hash", "first_row", "first_at", "first_doc_id", F.col("cluster.hash").alias("cluster"), F.col("cluster.line").alias("first_line"))
-    found = windows.drop("doc_id").join(clusters, "hash").withColumn("removed", (F.col("row") != F.col("first_row")) | (F.col("at") != F.col("first_at")))
-    found = found.filter(~F.col("removed") | (F.col("row") != F.col("first_row")) | (F.col("at") - F.col("first_at") >= size))
-    order = Window.partitionBy("row").orderBy("at")
-    same = (F.col("at") - F.lag("at").over(order) <= 1) & (F.col("cluster") == F.lag("cluster").over(order)) & (F.col("first_row") == F.lag("first_row").over(order)) & (F.col("removed") == F.lag("removed").over(order))
-    found = found.withColumn("same", same).withColumn("span", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = found.groupBy("row", "span", "first_doc_id", "first_line", "cluster", "removed").agg(F.min("line").alias("line"), F.min("at").alias("start"), (F.max("at") + size).alias("end"))
-    spans = written(spans.withColumn("cluster", F.lower(F.lpad(F.hex("cluster"), 16, "0"))))
-    spans = spans.join(spans.groupBy("cluster").agg(F.count("*").alias("occurrences")), "cluster").join(names.select("row", "doc_id", "text_hash"), "row")
-    return written(whole.unionByName(spans.select(whole.columns)))
+    here, there = (around.filter(F.col("side") == k).select("span", *[F.col(c).alias(f"{c}{k}") for c in ("left", "lines", "right", "after")]) for k in (0, 1))
+    agree = {name: _agreeing(F.col(f"{side}0"), F.col(f"{side}1")) for name, side in (("l", "left"), ("r", "right"), ("m", "after"))}
+    both = spans.join(here, "span").join(there, "span").withColumns(agree)
+    both = both.withColumns({"start": F.col("start") - F.col("l"), "end": F.col("end") + F.col("r"), "same_end": F.col("same_end") + F.col("m")}).filter(F.col("end") - F.col("start") >= run_words)
+    line = lambda k: F.get(f"lines{k}", F.col("l")).alias("line")
+    first_end = F.col("same_end") - F.col("shift")
+    second = F.min("start").over(Window.partitionBy("row", "cluster", "first_row"))
+    first_end = F.when(F.col("row") == F.col("first_row"), F.least(first_end, second)).otherwise(first_end)
+    copied = both.select("row", "cluster", "first_row", F.lit(True).alias("removed"), "start", "end", line(0))
+    original = both.select(F.col("first_row").alias("row"), "cluster", "first_row", F.lit(False).alias("removed"), (F.col("start") - F.col("shift")).alias("start"), first_end.alias("end"), line(1))
+    lane = Window.partitionBy("row", "cluster", "first_row", "removed").orderBy("start", "end")
+    new = F.coalesce(F.col("start") > F.max("end").over(lane.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    merged = copied.unionByName(original).distinct().withColumn("new", new).withColumn("part", F.sum("new").over(lane.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.groupBy("row", "cluster", "first_row", "removed", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("line").alias("line"))
+    merged = written(merged.withColumn("cluster", F.lower(F.lpad(F.hex("cluster"), 16, "0"))))
+    named = merged.groupBy("cluster").agg(F.count("*").alias("occurrences"), F.min(F.when(~F.col("removed"), F.struct("start", "line")))["line"].alias("first_line"))
+    ids = texts.select(F.col("row").alias("first_row"), F.col("doc_id").alias("first_doc_id"))
+    order = ["row", "line", "start", "end", "cluster", "first_doc_id", "first_line", "occurrences", "removed"]
+    parts = merged.join(named, "cluster").join(ids, "first_row").select(order)
+    whole = texts.filter(F.col("n_words") >= MIN_WORDS).select("row", "digest", "line", "n_words").join(copies.filter("occurrences > 1"), "digest")
+    whole = whole.withColumns({"start": F.lit(0), "end": F.col("n_words").cast("int"), "cluster": F.lower(F.hex("digest")), "removed": F.col("row") != F.col("first_row")})
+    return whole.select(order).unionByName(parts)
 
 
 def _not_in_lines(runs: DataFrame, lines: DataFrame) -> DataFrame:
     """The ``runs`` of clusters of which some span has words in no row of ``lines``."""
-    of_text = lines.groupBy(F.col("doc_id").alias("lines_id"), F.col("text_hash").alias("lines_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("lines"))
-    both = runs.join(of_text, F.col("doc_id").eqNullSafe(F.col("lines_id")) & (F.col("text_hash") == F.col("lines_hash")), "left")
+    of_text = lines.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("lines"))
+    both = runs.join(of_text, "row", "left")
     reach = lambda at, line: F.when((line["start"] <= at) & (line["end"] > at), line["end"]).otherwise(at)
     bare = F.coalesce(F.aggregate("lines", F.col("start"), reach), F.col("start")) < F.col("end")
     return runs.join(both.filter(bare).select("cluster").distinct(), "cluster", "left_semi")
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, hashes: the sorted shingle hashes of the wanted paragraphs, each read at its first occurrence."""
+# --- similar paragraphs ---------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known = _WordHashes()
-            nodes, sets = [], []
-            for text, lines in zip(batch["text"], batch["lines"], strict=True):
-                split = (text or b"").lower().split(b"\n")
-                for line in lines:
-                    words = split[line["line"]].split() if line["line"] < len(split) else []
-                    if words and xxhash.xxh3_128_digest(b" ".join(words)) == bytes(line["node"]):
-                        nodes.append(bytes(line["node"]))
-                        sets.append(np.unique(shingle_hashes(_hash_words(words, known), size)).view(np.int64))
-            if nodes:
-                yield pd.DataFrame({"node": nodes, "hashes": sets})
 
-    lines = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("lines")).withColumnRenamed("doc_id", "wanted_id")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(lines, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    return texts.select("text", "lines").mapInPandas(run, "node binary, hashes array<long>").dropDuplicates(["node"])
+READ = "node array<long>, hashes array<array<long>>, span array<long>, side array<int>, left array<array<long>>, lines array<array<int>>, right array<array<long>>, after array<array<long>>"
+
+
+def _read_again(docs: DataFrame, texts: DataFrame, places: DataFrame, asks: DataFrame, size: int, reach: int = SEGMENT_WORDS) -> DataFrame:
+    """One row per text with something asked for, as arrays.
+
+    node, hashes: the sorted shingle hashes of the ``places`` (doc_id, text_hash, node, start, end). span, side, left,
+    lines, right, after: for the ``asks`` (doc_id, text_hash, span, side, start, end, same_end) the hashes of the words
+    before the start, nearest first, and after the two ends; ``lines`` has the line of the first word and of those before.
+    ``twin`` tells that the text stands in several rows of one id.
+    """
+
+    def compute(rows: list) -> list:
+        known = _WordHashes()
+        out: list[list] = [[] for _ in range(8)]
+        for row in rows:
+            lines = [line.split() for line in row["text"].lower().split(b"\n")]
+            hashes = _hash_words([w for line in lines for w in line], known)
+            line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+            places, asks = row["places"] or [], row["asks"] or []
+            before = [slice(max(0, a["start"] - reach), a["start"]) for a in asks]
+            made = (
+                [p["node"] for p in places],
+                [np.unique(shingle_hashes(hashes[p["start"] : p["end"]], size)).view(np.int64) for p in places],
+                [a["span"] for a in asks],
+                [a["side"] for a in asks],
+                [hashes[b].view(np.int64)[::-1] for b in before],
+                [line[b.start : a["start"] + 1][::-1].astype(np.int32) for a, b in zip(asks, before, strict=True)],
+                *([hashes[a[end] : a[end] + reach].view(np.int64) for a in asks] for end in ("end", "same_end")),
+            )
+            for column, part in zip(out, made, strict=True):
+                column.append(part)
+        return out
+
+    # A text has no more first occurrences than paragraphs, and no more spans than segments that stand elsewhere too.
+    places = places.select("doc_id", "text_hash", F.struct("node", "start", "end").alias("place"), F.lit(None).alias("ask"))
+    asks = asks.select("doc_id", "text_hash", F.lit(None).alias("place"), F.struct("span", "side", "start", "end", "same_end").alias("ask"))
+    wanted = places.unionByName(asks).groupBy(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).agg(F.collect_list("place").alias("places"), F.collect_list("ask").alias("asks"))
+    twins = texts.groupBy(F.col("doc_id").alias("twin_id"), F.col("text_hash").alias("twin_hash")).agg(F.count("*").alias("n")).filter("n > 1")
+    wanted = wanted.join(twins, F.col("wanted_id").eqNullSafe(F.col("twin_id")) & (F.col("wanted_hash") == F.col("twin_hash")), "left")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    held = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash")))
+    return written(map_texts(held.select(F.col("n").isNotNull().alias("twin"), F.struct("text", "places", "asks").alias("held")), READ, compute, "held"))
+
+
+def _asked(read: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """The rows of some arrays of _read_again(), once each; only texts that stand in several rows need a comparison."""
+    of = lambda twin: read.filter(F.col("twin") == twin).select(F.inline(F.arrays_zip(*names)))
+    return of(False).unionByName(of(True).dropDuplicates(keys))
 
 
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per occurrence of a paragraph that occurs again, the same or nearly so.
+    """One row per occurrence of a paragraph or passage that occurs again, the same or nearly so.
 
     doc_id, line, start, end (words of the document), cluster (hexadecimal digest of the cluster), first_doc_id and
     first_line (the occurrence that stays: smallest doc_id, then line; null ids last), occurrences, removed (false for
-    that one). Further rows are the spans of RUN_WORDS words or more that occur again word by word and of which some
-    occurrence is not made of such lines; their line is that of their first word. Null and empty texts make no rows. Repeated rows of ``docs`` count as occurrences of
-    their own, of which one is not removed. An empty table gives no rows; further columns are ignored.
+    that one). Further rows are the passages of RUN_WORDS words or more that occur again word by word and of which some
+    occurrence is not made of such paragraphs; their line is that of their first word. Stretches under ``min_words``
+    words between longer lines are in no paragraph. Null and empty texts make no rows. Repeated rows of ``docs`` count as
+    occurrences of their own, of which one is not removed. Ids of any kind pass as they are. An empty table gives no
+    rows; further columns are ignored.
     """
     bands, rows = tune_bands(similarity)
-    places = written(paragraphs(docs, bands, rows, size, min_words))
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("line"))
-    nodes = places.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("times"))
+    texts = analyse(docs, bands, rows, size, min_words)
+    first = F.min(F.struct(_unknown(), "doc_id", "row", "line"))
+    copies = texts.groupBy("digest").agg(first.alias("first"), F.count("*").alias("occurrences"))
+    copies = written(copies.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"), "occurrences"))
+    spans = _segment_spans(texts, copies)
+    moved = {"start": F.col("start") - F.col("shift"), "end": F.col("end") - F.col("last_shift"), "same_end": F.col("same_end") - F.col("shift")}
+    sides = F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("row"), *moved), F.struct(F.lit(1).alias("side"), F.col("first_row").alias("row"), *[c.alias(n) for n, c in moved.items()]),
+    ))
+    asks = spans.select("span", sides.alias("a")).select("span", "a.*").join(texts.select("row", "doc_id", "text_hash"), "row")
+
+    place = F.posexplode(F.arrays_zip("p_line", "p_start", "p_end", "p_node")).alias("p", "place")
+    places = texts.filter(F.size("p_line") > 0).select("row", "doc_id", "text_hash", place, "p_keys").select(
+        "row", "doc_id", "text_hash", F.col("place.p_line").alias("line"), F.col("place.p_start").alias("start"), F.col("place.p_end").alias("end"), F.col("place.p_node").alias("node"),
+        F.slice("p_keys", F.col("p") * bands + 1, bands).alias("keys"),
+    )
+    order = F.struct(_unknown(), "doc_id", "line", "row", "start", "end", "text_hash")
+    nodes = places.groupBy(F.col("node").alias("digest")).agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("times"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
+    read: list[DataFrame] = []
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return _shingle_sets(docs, nodes.join(wanted, "node").select("node", "first.doc_id", "first.line"), size)
-
-    edges = similar_edges(nodes.select("node", "keys"), sets_of, similarity)
-    groups = components(edges)
-    named = nodes.join(groups.withColumnRenamed("node", "grouped"), F.col("node") == F.col("grouped"), "left").withColumn("component", F.coalesce("component", "node"))
-    clusters = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("times").alias("occurrences")).filter("occurrences > 1")
-    members = named.select("node", "component").join(clusters, "component")
-    kept = places.select("doc_id", "text_hash", "line", "start", "end", "node").withColumn("row", F.monotonically_increasing_id()).join(members, "node")
-    # Of repeated rows at the first place, one stays: the one with the smallest row number of the written table.
-    stay = kept.filter(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("line")) == F.col("first")).groupBy("component").agg(F.min("row").alias("row"))
-    lines = kept.join(stay.withColumn("stays", F.lit(True)), ["component", "row"], "left").select(
-        "doc_id",
-        "text_hash",
-        "line",
-        "start",
-        "end",
-        F.lower(F.hex("component")).alias("cluster"),
-        F.col("first.doc_id").alias("first_doc_id"),
-        F.col("first.line").alias("first_line"),
-        "occurrences",
-        F.col("stays").isNull().alias("removed"),
-    )
+        places = nodes.join(wanted, "node").select("node", "first.doc_id", "first.text_hash", "first.start", "first.end")
+        read.append(_read_again(docs, texts, places, asks, size))
+        return _asked(read[0], ["node", "hashes"], ["node"])
+
+    groups = components(similar_edges(nodes.select("node", "keys"), sets_of, Measure(similarity)))
+    named = nodes.drop("keys").join(groups.withColumnRenamed("node", "grouped"), F.col("node") == F.col("grouped"), "left").withColumn("component", F.coalesce("component", "node"))
+    clusters = named.groupBy("component").agg(F.min("first").alias("first"), F.min("digest").alias("name"), F.sum("times").alias("occurrences")).filter("occurrences > 1")
+    members = named.select(F.col("digest").alias("node"), "component").join(clusters, "component")
+    lines = places.drop("keys", "doc_id", "text_hash").join(members, "node").select(
+        "row", "line", "start", "end", F.lower(F.hex("name")).alias("cluster"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), "occurrences",
+        ((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).alias("removed"),
+    )
     lines = written(lines)
-    runs = _not_in_lines(repeated_runs(docs), lines).select(lines.columns)
-    return lines.unionByName(runs).drop("text_hash")
+    discard(nodes)
+    around = _asked(read[0], ["span", "side", "left", "lines", "right", "after"], ["span", "side"])
+    runs = _not_in_lines(written(_passages(texts, copies, spans, around)), lines).select(lines.columns)
+    return lines.unionByName(runs).join(texts.select("row", "doc_id"), "row").select("doc_id", *[c for c in lines.columns if c != "row"])
