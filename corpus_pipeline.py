@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontamination, labelled, mixture, quality_ranking, secrets, simhash
-from strandline.llm.common import table, written
+from strandline.llm.common import discard, settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,13 +55,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; every stage but the last is written and read again."""
+    """All stages on ``documents``; every stage but the last is written and read again, and its own tables are deleted."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        docs = settle(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
