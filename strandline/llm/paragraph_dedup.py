@@ -211,7 +211,7 @@ def _unknown() -> Column:
 
 
 def _segment_spans(texts: DataFrame, copies: DataFrame, run_words: int = RUN_WORDS, segment: int = SEGMENT_WORDS) -> DataFrame:
-    """Chains of segments that occur before: span, row, start, end, first_row, cluster, shift, last_shift, same_end.
+    """Chains of segments that occur before: row, start, end, first_row, cluster, shift, last_shift, same_end.
 
     ``shift`` is how far the chain's first segment stands from its first occurrence, ``last_shift`` its last one; up to
     ``same_end`` all stand as the first. In another text than that of the first occurrences a chain has one shift. A
@@ -239,7 +239,7 @@ def _segment_spans(texts: DataFrame, copies: DataFrame, run_words: int = RUN_WOR
     spans = chained.groupBy("row", "cluster", "first_row", "lane", "chain", F.col("begins_with").alias("shift")).agg(
         F.min("at").alias("start"), (F.max("at") + segment).alias("end"), F.max(F.struct("at", "shift"))["shift"].alias("last_shift"), (F.max(F.when(F.col("shift") == F.col("begins_with"), F.col("at"))) + segment).alias("same_end"),
     )
-    return written(spans.drop("lane", "chain").withColumn("span", F.monotonically_increasing_id()))
+    return written(spans.drop("lane", "chain"))
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -252,13 +252,16 @@ def _agreeing(a: Column, b: Column) -> Column:
 def _passages(texts: DataFrame, copies: DataFrame, spans: DataFrame, around: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Passages of ``run_words`` words that occur again: row, line, start, end, cluster, first_doc_id, first_line, occurrences, removed.
 
-    ``around`` has the surroundings of the ``spans`` (span, side, left, lines, right, after): side 0 where the span stands,
-    side 1 at its first occurrence. Spans are prolonged as far as both agree; what overlaps is one passage. The first
+    ``around`` has the surroundings (left, lines, right, after) of places (at_row, at_start, at_end, at_same): of the
+    ``spans`` and of where they stand first. Spans are prolonged as far as both agree; what overlaps is one passage. The first
     occurrence of a passage in its own text ends where the second begins. Texts of equal words are passages as a whole.
     """
-    here, there = (around.filter(F.col("side") == k).select("span", *[F.col(c).alias(f"{c}{k}") for c in ("left", "lines", "right", "after")]) for k in (0, 1))
+    here, there = (around.toDF(*[f"{c}{k}" for c in around.columns]) for k in (0, 1))
+    at = lambda k, *place: [F.col(f"{name}{k}") == c for name, c in zip(("at_row", "at_start", "at_end", "at_same"), place, strict=True)]
+    first = [F.col("first_row"), F.col("start") - F.col("shift"), F.col("end") - F.col("last_shift"), F.col("same_end") - F.col("shift")]
+    joined = spans.join(here, at(0, *[F.col(c) for c in ("row", "start", "end", "same_end")])).join(there, at(1, *first))
     agree = {name: _agreeing(F.col(f"{side}0"), F.col(f"{side}1")) for name, side in (("l", "left"), ("r", "right"), ("m", "after"))}
-    both = spans.join(here, "span").join(there, "span").withColumns(agree)
+    both = joined.withColumns(agree)
     both = both.withColumns({"start": F.col("start") - F.col("l"), "end": F.col("end") + F.col("r"), "same_end": F.col("same_end") + F.col("m")}).filter(F.col("end") - F.col("start") >= run_words)
     line = lambda k: F.get(f"lines{k}", F.col("l")).alias("line")
     first_end = F.col("same_end") - F.col("shift")
@@ -292,21 +295,22 @@ def _not_in_lines(runs: DataFrame, lines: DataFrame) -> DataFrame:
 # --- similar paragraphs ---------------------------------------------------------------------------------------------
 
 
-READ = "node array<long>, hashes array<array<long>>, span array<long>, side array<int>, left array<array<long>>, lines array<array<int>>, right array<array<long>>, after array<array<long>>"
+READ = "node array<long>, hashes array<array<long>>, at_row array<long>, at_start array<int>, at_end array<int>, at_same array<int>, left array<array<long>>, lines array<array<int>>, right array<array<long>>, after array<array<long>>"
 
 
 def _read_again(docs: DataFrame, texts: DataFrame, places: DataFrame, asks: DataFrame, size: int, reach: int = SEGMENT_WORDS) -> DataFrame:
     """One row per text with something asked for, as arrays.
 
-    node, hashes: the sorted shingle hashes of the ``places`` (doc_id, text_hash, node, start, end). span, side, left,
-    lines, right, after: for the ``asks`` (doc_id, text_hash, span, side, start, end, same_end) the hashes of the words
-    before the start, nearest first, and after the two ends; ``lines`` has the line of the first word and of those before.
+    node, hashes: the sorted shingle hashes of the ``places`` (doc_id, text_hash, node, start, end). at_row, at_start,
+    at_end, at_same, left, lines, right, after: for the ``asks`` (doc_id, text_hash, row, start, end, same_end) the hashes
+    of the words before the start, nearest first, and after the two ends; ``lines`` has the line of the first word and of
+    those before.
     ``twin`` tells that the text stands in several rows of one id.
     """
 
     def compute(rows: list) -> list:
         known = _WordHashes()
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(10)]
         for row in rows:
             lines = [line.split() for line in row["text"].lower().split(b"\n")]
             hashes = _hash_words([w for line in lines for w in line], known)
@@ -316,8 +320,7 @@ def _read_again(docs: DataFrame, texts: DataFrame, places: DataFrame, asks: Data
             made = (
                 [p["node"] for p in places],
                 [np.unique(shingle_hashes(hashes[p["start"] : p["end"]], size)).view(np.int64) for p in places],
-                [a["span"] for a in asks],
-                [a["side"] for a in asks],
+                *([a[name] for a in asks] for name in ("row", "start", "end", "same_end")),
                 [hashes[b].view(np.int64)[::-1] for b in before],
                 [line[b.start : a["start"] + 1][::-1].astype(np.int32) for a, b in zip(asks, before, strict=True)],
                 *([hashes[a[end] : a[end] + reach].view(np.int64) for a in asks] for end in ("end", "same_end")),
@@ -326,9 +329,9 @@ def _read_again(docs: DataFrame, texts: DataFrame, places: DataFrame, asks: Data
                 column.append(part)
         return out
 
-    # A text has no more first occurrences than paragraphs, and no more spans than segments that stand elsewhere too.
+    # A text has no more first occurrences than paragraphs; what is asked of it are distinct places of its own.
     places = places.select("doc_id", "text_hash", F.struct("node", "start", "end").alias("place"), F.lit(None).alias("ask"))
-    asks = asks.select("doc_id", "text_hash", F.lit(None).alias("place"), F.struct("span", "side", "start", "end", "same_end").alias("ask"))
+    asks = asks.select("doc_id", "text_hash", F.lit(None).alias("place"), F.struct("row", "start", "end", "same_end").alias("ask"))
     wanted = places.unionByName(asks).groupBy(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).agg(F.collect_list("place").alias("places"), F.collect_list("ask").alias("asks"))
     twins = texts.groupBy(F.col("doc_id").alias("twin_id"), F.col("text_hash").alias("twin_hash")).agg(F.count("*").alias("n")).filter("n > 1")
     wanted = wanted.join(twins, F.col("wanted_id").eqNullSafe(F.col("twin_id")) & (F.col("wanted_hash") == F.col("twin_hash")), "left")
@@ -360,11 +363,10 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, size: i
     copies = texts.groupBy("digest").agg(first.alias("first"), F.count("*").alias("occurrences"))
     copies = written(copies.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"), "occurrences"))
     spans = _segment_spans(texts, copies)
-    moved = {"start": F.col("start") - F.col("shift"), "end": F.col("end") - F.col("last_shift"), "same_end": F.col("same_end") - F.col("shift")}
-    sides = F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("row"), *moved), F.struct(F.lit(1).alias("side"), F.col("first_row").alias("row"), *[c.alias(n) for n, c in moved.items()]),
-    ))
-    asks = spans.select("span", sides.alias("a")).select("span", "a.*").join(texts.select("row", "doc_id", "text_hash"), "row")
+    # However often a passage stands elsewhere, its first occurrence is asked for once.
+    here = spans.select("row", "start", "end", "same_end")
+    there = spans.select(F.col("first_row").alias("row"), F.col("start") - F.col("shift"), F.col("end") - F.col("last_shift"), F.col("same_end") - F.col("shift")).toDF(*here.columns)
+    asks = here.unionByName(there).distinct().join(texts.select("row", "doc_id", "text_hash"), "row")
 
     place = F.posexplode(F.arrays_zip("p_line", "p_start", "p_end", "p_node")).alias("p", "place")
     places = texts.filter(F.size("p_line") > 0).select("row", "doc_id", "text_hash", place, "p_keys").select(
@@ -391,6 +393,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, size: i
     )
     lines = written(lines)
     discard(nodes)
-    around = _asked(read[0], ["span", "side", "left", "lines", "right", "after"], ["span", "side"])
+    place = ["at_row", "at_start", "at_end", "at_same"]
+    around = _asked(read[0], [*place, "left", "lines", "right", "after"], place)
     runs = _not_in_lines(written(_passages(texts, copies, spans, around)), lines).select(lines.columns)
     return lines.unionByName(runs).join(texts.select("row", "doc_id"), "row").select("doc_id", *[c for c in lines.columns if c != "row"])
