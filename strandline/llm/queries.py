@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import conversation_repair, decontamination, licenses, mixture, paragraph_dedup, periodic_runs, quality_ranking, quality_rules, secrets, simhash, token_counts, warc_zip
+from strandline.llm import conversation_repair, decontamination, embedding_dedup, licenses, mixture, paragraph_dedup, periodic_runs, quality_ranking, quality_rules, secrets, simhash, token_counts, warc_zip
 from strandline.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return conversation_repair.repair_report(conversation_repair.damage(conversations), conversations)
@@ -64,7 +68,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_paragraphs, op2_secrets, op3_decontamination, op4_licenses, op5_mixture, op6_token_counts, op7_quality, op8_warc, op9_simhash, op10_quality_rules, op12_conversation_repair, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_paragraphs, op2_secrets, op3_decontamination, op4_licenses, op5_mixture, op6_token_counts, op7_quality, op8_warc, op9_simhash, op10_quality_rules, op11_embeddings, op12_conversation_repair, op13_periodic_runs)}
 
 
 OP5_SQL = r"""
