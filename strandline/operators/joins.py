@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import HOUR, MINUTE, from_micros, micros
-from strandline.operators.windows import strides
+from strandline.operators.scans import neighbours, strides
 from strandline.params import DEFAULTS, Params
 
 
-def nearest(probe: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+def nearest(probe: DataFrame, base: DataFrame, keys: list[str], chunk: int = DEFAULTS.chunk) -> DataFrame:
     """``probe`` with the nearest row of ``base`` in time: near_us and near_value, null where a key has no base row.
 
     Of two at the same distance the earlier wins; of base rows at one time the one with the largest event_id. Both
-    sides are laid in one order and the last base row before and the first after are carried along, so no pairs arise.
+    sides are laid in one order and the last base row before and the first after are carried along, chunk by chunk, so
+    that no pairs arise and a long series is shared by many tasks. Probe rows without a time have no neighbour.
     """
-    last_at = base.groupBy(*keys, micros("ts").alias("us")).agg(F.max_by("value", "event_id").alias("value"))
+    last_at = base.groupBy(*keys, micros("ts").alias("us")).agg(F.max_by("value", "event_id").alias("value")).filter("us IS NOT NULL")
     mark = F.struct(F.col("us"), F.col("value"))
     both = last_at.select(*keys, "us", mark.alias("hit"), F.lit(0).alias("side"), F.lit(None).cast(probe.schema["event_id"].dataType).alias("event_id")).unionByName(
-        probe.select(*keys, micros("ts").alias("us"), F.lit(None).cast("struct<us:bigint,value:double>").alias("hit"), F.lit(1).alias("side"), "event_id")
+        probe.select(*keys, micros("ts").alias("us"), F.lit(None).cast("struct<us:bigint,value:double>").alias("hit"), F.lit(1).alias("side"), "event_id").filter("us IS NOT NULL")
     )
-    w = Window.partitionBy(*keys).orderBy("us", "side", "event_id")
-    before = F.last("hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # The same from the far end: a frame to the end of the partition would be walked anew for every row.
-    back = Window.partitionBy(*keys).orderBy(F.desc("us"), F.desc("side"), F.desc("event_id"))
-    after = F.last("hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumns({"b": before, "a": after}).filter("side = 1")
+    found = neighbours(both, keys, F.col("hit"), ["side", "event_id"], chunk).filter("side = 1")
     first = F.col("a").isNull() | (F.col("us") - F.col("b.us") <= F.col("a.us") - F.col("us"))
     hit = F.when(F.col("b").isNotNull() & first, F.col("b")).otherwise(F.col("a"))
     return found.select(*keys, "event_id", "us", hit["us"].alias("near_us"), hit["value"].alias("near_value"))
@@ -54,17 +50,16 @@ def close_neighbours(probe: DataFrame, base: DataFrame, keys: list[str], p: Para
     return near.filter(close).select(*keys, "event_id")
 
 
-def in_intervals(samples: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+def in_intervals(samples: DataFrame, ends: DataFrame, keys: list[str], chunk: int = DEFAULTS.chunk) -> DataFrame:
     """Samples with the interval (prev_ts, end_ts] between consecutive ``ends`` (keys, ts) that holds them.
 
-    Each sample takes the next end at or after it and the last one before it, by carrying the ends along in time order.
+    Each sample takes the next end at or after it and the last one before it, by carrying the ends along in time order,
+    chunk by chunk.
     """
-    both = ends.select(*keys, "ts", F.col("ts").alias("end"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("event_id")).unionByName(
-        samples.select(*keys, "ts", F.lit(None).cast("timestamp_ntz").alias("end"), "value", "event_id")
+    both = ends.select(*keys, "ts", F.col("ts").alias("end"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("event_id")).unionByName(
+        samples.select(*keys, "ts", F.lit(None).cast("timestamp_ntz").alias("end"), F.lit(0).alias("side"), "value", "event_id")
     )
-    us = both.withColumn("us", micros("ts"))
-    w = Window.partitionBy(*keys).orderBy("us")
-    prev = F.max("end").over(w.rangeBetween(Window.unboundedPreceding, -1))
-    cur = F.min("end").over(Window.partitionBy(*keys).orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, 0))
-    marked = us.withColumns({"prev_ts": prev, "end_ts": cur}).filter("event_id IS NOT NULL AND prev_ts IS NOT NULL AND end_ts IS NOT NULL")
-    return marked.select(*keys, "ts", "value", "event_id", "prev_ts", "end_ts")
+    timed = both.withColumn("us", micros("ts")).filter("us IS NOT NULL")
+    # An end stands after the samples of its own time: it is theirs, and not yet behind them.
+    marked = neighbours(timed, keys, F.col("end"), ["side"], chunk).filter("side = 0 AND b IS NOT NULL AND a IS NOT NULL")
+    return marked.select(*keys, "ts", "value", "event_id", F.col("b").alias("prev_ts"), F.col("a").alias("end_ts"))

@@ -2,101 +2,64 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import HOUR, floor_us, from_micros, micros
 from strandline.operators.joins import in_intervals
+from strandline.operators.prominence import apart, prominences
+from strandline.operators.scans import neighbours, regular
 from strandline.params import DEFAULTS, Params
 
 
-def hourly(samples: DataFrame, keys: list[str], width: int = HOUR) -> DataFrame:
+def hourly(samples: DataFrame, keys: list[str], width: int = HOUR, chunk: int = DEFAULTS.chunk) -> DataFrame:
     """Bucket means on a complete grid, gaps filled linearly along the grid: keys, ts, value, filled.
 
     Rows with a null are dropped, of rows at one time the one with the largest event_id counts, and a key with fewer
     than two distinct times gives no rows.
     """
     clean = samples.dropna(subset=["ts", "value"]).groupBy(*keys, micros("ts").alias("us")).agg(F.max_by("value", "event_id").alias("value"))
-    enough = clean.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).filter("n >= 2")
-    means = enough.groupBy(*keys, floor_us(F.col("us"), width).alias("us")).agg(F.avg("value").alias("mean"))
-    grid = means.groupBy(*keys).agg(F.sequence(F.min("us"), F.max("us"), F.lit(width)).alias("all")).select(*keys, F.explode("all").alias("us"))
-    w, back = Window.partitionBy(*keys).orderBy("us"), Window.partitionBy(*keys).orderBy(F.desc("us"))
-    known = F.when(F.col("mean").isNotNull(), F.struct("us", "mean"))
-    full = grid.join(means, [*keys, "us"], "left").withColumns({
-        "b": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "a": F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
-    })
+    means = clean.groupBy(*keys, floor_us(F.col("us"), width).alias("us")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    spans = means.groupBy(*keys).agg(F.min("us").alias("low"), F.max("us").alias("high"), F.sum("n").alias("n")).filter("n >= 2")
+    grid = regular(spans, keys, width, chunk).select(*keys, "us", F.lit(None).cast("double").alias("mean"), F.lit(1).alias("side"))
+    both = means.select(*keys, "us", "mean", F.lit(0).alias("side")).unionByName(grid)
+    full = neighbours(both, keys, F.when(F.col("side") == 0, F.struct("us", "mean")), ["side"], chunk).filter("side = 1")
+    here = F.col("b.us") == F.col("us")
     line = F.col("b.mean") + (F.col("a.mean") - F.col("b.mean")) * ((F.col("us") - F.col("b.us")) / (F.col("a.us") - F.col("b.us")))
-    return full.select(*keys, from_micros(F.col("us")).alias("ts"), F.coalesce("mean", line).alias("value"), F.col("mean").isNull().alias("filled"))
-
-
-def local_maxima(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """Strict local maxima; a flat top counts once, at its middle (the earlier of two)."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    changed = F.coalesce((F.col("value") != F.lag("value").over(w)).cast("int"), F.lit(1))
-    runs = grid.withColumn("at", F.row_number().over(w)).withColumn("run", F.sum(changed).over(w))
-    tops = runs.groupBy(*keys, "run").agg(F.first("value").alias("value"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-    r = Window.partitionBy(*keys).orderBy("run")
-    tops = tops.withColumns({"before": F.lag("value").over(r), "after": F.lead("value").over(r)}).filter("value > before AND value > after")
-    middle = tops.select(*keys, F.floor((F.col("first_at") + F.col("last_at")) / 2).alias("at"))
-    return runs.join(middle, [*keys, "at"]).select(*keys, "ts", "value")
-
-
-def _lowest_since_higher(v: np.ndarray) -> np.ndarray:
-    """For each place the least value since the last strictly higher one, by a stack of falling values: linear in time."""
-    lowest = np.empty(len(v))
-    heights: list[float] = []
-    lows: list[float] = []
-    for k, x in enumerate(v.tolist()):
-        low = x
-        while heights and heights[-1] <= x:
-            heights.pop()
-            low = min(low, lows.pop())
-        heights.append(x)
-        lows.append(low)
-        lowest[k] = low
-    return lowest
-
-
-def _peaks(v: np.ndarray, distance: int, least: float, height: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and prominences of local maxima at least ``distance`` apart, the highest first."""
-    runs = np.flatnonzero(np.diff(v, prepend=np.nan) != 0)
-    tops = [(a + b - 1) // 2 for a, b, k in zip(runs, [*runs[1:], len(v)], range(len(runs)), strict=True) if 0 < k < len(runs) - 1 and v[a] > v[a - 1] and v[a] > v[b]]
-    at = np.array([t for t in tops if height is None or v[t] >= height], dtype=int)
-    keep = np.ones(len(at), dtype=bool)
-    for k in np.argsort(v[at], kind="stable")[::-1]:
-        if keep[k]:
-            for step in (-1, 1):
-                j = k + step
-                while 0 <= j < len(at) and abs(at[j] - at[k]) < distance:
-                    keep[j] = False
-                    j += step
-    at = at[keep]
-    if not len(at):
-        return at, np.empty(0)
-    prominence = v[at] - np.maximum(_lowest_since_higher(v)[at], _lowest_since_higher(v[::-1])[::-1][at])
-    good = prominence >= least
-    return at[good], prominence[good]
+    return full.select(*keys, from_micros(F.col("us")).alias("ts"), F.when(here, F.col("b.mean")).otherwise(line).alias("value"), (~here).alias("filled"))
 
 
-def detect_peaks(samples: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None) -> DataFrame:
-    """keys, ts, value, prominence of every peak of the hourly grid. Each series is scanned by one task, in linear time."""
-    return prominent(hourly(samples, keys), keys, p, height)
+def local_maxima(grid: DataFrame, keys: list[str], chunk: int = DEFAULTS.chunk) -> DataFrame:
+    """Strict local maxima of a regular grid without nulls; a flat top counts once, at its middle (the earlier of two)."""
+    rows = neighbours(grid.select(*keys, micros("ts").alias("us"), "value"), keys, F.struct("us", "value"), [], chunk, strict=True)
+    # Only the first and the last row of each stretch of one value matter from here on.
+    rows = rows.withColumns({"begins": F.col("b").isNull() | (F.col("b.value") != F.col("value")), "rises": F.col("b.value") < F.col("value"), "falls": F.col("a.value") < F.col("value"), "step": F.col("a.us") - F.col("us")})
+    ends = rows.filter("begins OR a IS NULL OR a.value <> value").drop("a", "b")
+    tops = neighbours(ends, keys, F.when(F.col("begins"), F.struct("us", "rises")), [], chunk).filter("falls AND b.rises")
+    middle = F.col("b.us") + F.floor((F.col("us") - F.col("b.us")) / (2 * F.col("step"))).cast("long") * F.col("step")
+    return tops.select(*keys, from_micros(middle).alias("ts"), "value")
+
+
+#: Rows of a grid that a task looks through at once for peaks.
+STRETCH = 4096
 
 
-def prominent(grid: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None) -> DataFrame:
-    """Peaks of a regular grid (keys, ts, value) of hours; of one of another width the distance counts its steps as hours."""
-    distance = max(1, round(p.distance_days * 24))
+def detect_peaks(samples: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None) -> DataFrame:
+    """keys, ts, value, prominence of every peak of the hourly grid. A series is shared by as many tasks as it has chunks."""
+    return prominent(hourly(samples, keys, HOUR, p.chunk), keys, p, height)
+
 
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts").reset_index(drop=True)
-        at, prominence = _peaks(frame["value"].to_numpy(dtype=float), distance, p.prominence, height)
-        return frame.loc[at, [*keys, "ts", "value"]].assign(prominence=prominence)
+def prominent(grid: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None, width: int = HOUR, stretch: int = STRETCH) -> DataFrame:
+    """Peaks of a regular grid (keys, ts, value) of ``width``: at least p.distance_days apart, the highest first.
 
-    kinds = ", ".join(f"{k} {grid.schema[k].dataType.simpleString()}" for k in keys)
-    return grid.groupBy(*keys).applyInPandas(scan, f"{kinds}, ts timestamp_ntz, value double, prominence double")
+    The distance is counted in steps of the grid, 24 to the day whatever its width.
+    """
+    distance, chunk = max(1, round(p.distance_days * 24)) * width, max(p.chunk, stretch * width) if stretch else p.chunk
+    tops = local_maxima(grid, keys, p.chunk).select(*keys, micros("ts").alias("us"), "value")
+    tops = tops if height is None else tops.filter(F.col("value") >= height)
+    tops = apart(tops, keys, distance, chunk) if distance > width else tops
+    found = prominences(grid.select(*keys, micros("ts").alias("us"), "value"), tops, keys, chunk)
+    return found.filter(F.col("prominence") >= p.prominence).select(*keys, from_micros(F.col("us")).alias("ts"), "value", "prominence")
 
 
 def episodes(samples: DataFrame, peaks: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import floor_us, from_micros, micros, round_us
-from strandline.operators.windows import strides
+from strandline.operators.scans import neighbours, regular, strides
 from strandline.params import DEFAULTS, Params
 
 @dataclass(frozen=True)
@@ -131,18 +131,13 @@ def densify(samples: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFr
     median strides (15 minutes at least) are left out. Of samples at one time the one with the largest event_id counts.
     """
     distinct = samples.groupBy(*keys, micros("ts").alias("us")).agg(F.max_by("value", "event_id").alias("value"))
-    limits = strides(distinct.withColumn("ts", from_micros(F.col("us"))), keys)
+    limits = strides(distinct.withColumn("ts", from_micros(F.col("us"))), keys, p.chunk)
     width = F.lit(p.merge_bucket)
     low, high = F.ceil(F.min("us") / width).cast("long") * p.merge_bucket, F.floor(F.max("us") / width).cast("long") * p.merge_bucket
-    span = distinct.groupBy(*keys).agg(low.alias("low"), high.alias("high")).filter("low <= high")
-    grid = span.select(*keys, F.explode(F.sequence("low", "high", F.lit(p.merge_bucket))).alias("us"))
+    grid = regular(distinct.groupBy(*keys).agg(low.alias("low"), high.alias("high")).filter("low <= high"), keys, p.merge_bucket, p.chunk)
     hit = "struct<us:bigint,value:double>"
     both = distinct.select(*keys, "us", F.struct("us", "value").alias("hit"), F.lit(0).alias("side")).unionByName(grid.select(*keys, "us", F.lit(None).cast(hit).alias("hit"), F.lit(1).alias("side")))
-    w, back = Window.partitionBy(*keys).orderBy("us", "side"), Window.partitionBy(*keys).orderBy(F.desc("us"), F.desc("side"))
-    filled = both.withColumns({
-        "b": F.last("hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "a": F.last("hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
-    }).filter("side = 1").join(limits, keys)
+    filled = neighbours(both, keys, F.col("hit"), ["side"], p.chunk).filter("side = 1").join(limits, keys)
     a = F.when(F.col("b.us") == F.col("us"), F.col("b")).otherwise(F.col("a"))
     ahead = filled.withColumn("a", a).filter("a IS NOT NULL AND b IS NOT NULL")
     near = F.least(F.col("us") - F.col("b.us"), F.col("a.us") - F.col("us")) <= F.greatest(p.gap_strides * F.col("median_us"), F.lit(p.gap_floor))

@@ -17,12 +17,6 @@ def whole(keys: list[str]) -> Window:
     return Window.partitionBy(*keys)
 
 
-def strides(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Median step between neighbours in whole microseconds, and the number of steps, per key."""
-    step = samples.withColumn("step_us", micros("ts") - F.lag(micros("ts")).over(by_time(keys)))
-    return step.filter("step_us IS NOT NULL").groupBy(*keys).agg(F.median("step_us").alias("median_us"), F.count("*").alias("n_steps"))
-
-
 def steps_between(samples: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
     """Continuity audit: neighbouring rows, however far apart in time, whose values differ by more than ``p.step``."""
     w = by_time(keys)

@@ -9,6 +9,8 @@ from strandline.functions.timebuckets import DAY, HOUR, MINUTE, QUARTER
 
 @dataclass(frozen=True)
 class Params:
+    #: Time of a series that a task scans at once.
+    chunk: int = 30 * DAY
     merge_bucket: int = QUARTER
     align_bucket: int = HOUR
     pair_overlap: int = 20

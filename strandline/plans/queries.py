@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import DAY, HOUR, from_micros, micros
-from strandline.operators import archive, forecast, joins, peaks, reconcile, state, text, windows
+from strandline.operators import archive, forecast, joins, peaks, reconcile, scans, state, text, windows
 from strandline.params import Params
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +236,7 @@ def continuity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S}, d AS (SELECT * FROM s), {STRIDE} SELECT series_id, source, med AS median_us FROM st")
 def median_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.strides(samples(spark, sf_dir), KEYS).select(*KEYS, "median_us")
+    return scans.strides(samples(spark, sf_dir), KEYS).select(*KEYS, "median_us")
 
 
 @query(f"WITH {S} SELECT event_id, round(median(value) OVER (PARTITION BY series_id, source ORDER BY us ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 6) AS local_median FROM s")
@@ -515,7 +515,7 @@ BACK_PARAMS = Params(backtest_prominence=1.0)
 
 def prominent_half_days(s: DataFrame) -> DataFrame:
     """Peaks of the half-day grid with their prominence, however small and near."""
-    return peaks.prominent(peaks.hourly(s, SERIES, HALF_DAY), SERIES, Params(distance_days=0.0, prominence=0.0))
+    return peaks.prominent(peaks.hourly(s, SERIES, HALF_DAY), SERIES, Params(distance_days=0.0, prominence=0.0), width=HALF_DAY)
 
 
 BACK = f"""{TOPS},
