@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.robust import curve_crossing, huber_line, line_crossing, power_law, saturation
-from strandline.functions.timebuckets import DAY
+from strandline.functions.timebuckets import DAY, micros
+from strandline.operators.peaks import episodes
+from strandline.operators.state import interval_forecast
 from strandline.params import DEFAULTS, Params
 
 
@@ -324,15 +326,21 @@ def _stamp(day: float | None) -> pd.Timestamp:
 PEAKS_ONLY = ("interval_median",)
 
 
+def _complete(samples: DataFrame, peaks: DataFrame, keys: list[str], p: Params) -> DataFrame:
+    """keys, prev_ts, done_ts, place of the complete episodes, the latest first."""
+    rows = samples.select(*keys, "ts", "value", F.lit(0).cast("long").alias("event_id"))
+    return episodes(rows, peaks, keys, p).select(*keys, "prev_ts", F.col("end_ts").alias("done_ts"), "place")
+
+
 def _in_use(samples: DataFrame, peaks: DataFrame, keys: list[str], p: Params) -> DataFrame:
-    """The samples that any model reads: from the peak before the first episode in use on; all of them without peaks."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts")))
-    # Episodes with too few rows are passed over, so as many more peaks are kept in reserve.
-    begins = peaks.withColumn("place", place).filter(F.col("place") <= 2 * p.episodes + 2).groupBy(*keys).agg(F.min("ts").alias("begins"))
+    """The samples that any model reads: since the peak before the first of the complete episodes in use; all of them without peaks."""
+    first = _complete(samples, peaks, keys, p).filter(F.col("place") <= p.episodes).groupBy(*keys).agg(F.min("prev_ts").alias("first"))
+    last = peaks.groupBy(*keys).agg(F.max("ts").alias("last"))
+    begins = last.join(first, keys, "left").select(*keys, F.coalesce("first", "last").alias("begins"))
     return samples.join(begins, keys, "left").filter(F.col("begins").isNull() | (F.col("ts") >= F.col("begins"))).drop("begins")
 
 
-def _runs(samples: DataFrame, peaks: DataFrame, keys: list[str], wanted: list[str], recent_peaks: int | None, p: Params, rows_of: Callable, schema: str) -> DataFrame:
+def _runs(samples: DataFrame, peaks: DataFrame, keys: list[str], wanted: list[str], recent_peaks: int | None, p: Params, rows_of: Callable, schema: str, bounded: bool = False) -> DataFrame:
     """``rows_of`` (key, model, forecast) for every model on every series; one series' samples in use are held by one task."""
 
     def run(key: tuple, rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
@@ -351,7 +359,7 @@ def _runs(samples: DataFrame, peaks: DataFrame, keys: list[str], wanted: list[st
     # Fresh column identities: both sides may stem from one table.
     left, right = (f.select(*keys, "ts", "value").toDF(*keys, "ts", "value") for f in (samples, peaks))
     if not set(wanted) <= set(PEAKS_ONLY):
-        left = _in_use(left, right.toDF(*right.columns), keys, p).select(*keys, "ts", "value")
+        left = left if bounded else _in_use(left, right.toDF(*right.columns), keys, p).select(*keys, "ts", "value")
     else:
         left = left.groupBy(*keys).agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
@@ -361,15 +369,16 @@ def _kinds(samples: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def forecast(samples: DataFrame, peaks: DataFrame, keys: list[str], models: list[str] | None = None, recent_peaks: int | None = None, p: Params = DEFAULTS) -> DataFrame:
+def forecast(samples: DataFrame, peaks: DataFrame, keys: list[str], models: list[str] | None = None, recent_peaks: int | None = None, p: Params = DEFAULTS, bounded: bool = False) -> DataFrame:
     """One row per series and model: keys, model_id, next_ts, band_low, band_high, value, note, diagnostics.
 
     Every model gives a row, with a note where it has no forecast. Series run in parallel; only samples since the first
-    episode in use are read. ``recent_peaks`` keeps only the last peaks.
+    of the complete episodes in use are read, unless ``bounded`` says that no others are given. ``recent_peaks`` keeps only
+    the last peaks.
     """
     row = lambda key, model_id, f: [(*key, model_id, _stamp(f.day), _stamp(f.low), _stamp(f.high), f.value, f.note, {k: float(v) for k, v in f.numbers.items()})]
     schema = f"{_kinds(samples, keys)}, model_id string, next_ts timestamp_ntz, band_low timestamp_ntz, band_high timestamp_ntz, value double, note string, diagnostics map<string,double>"
-    return _runs(samples, peaks, keys, models or list_models(), recent_peaks, p, row, schema)
+    return _runs(samples, peaks, keys, models or list_models(), recent_peaks, p, row, schema, bounded)
 
 
 def forecast_curves(samples: DataFrame, peaks: DataFrame, keys: list[str], models: list[str] | None = None, recent_peaks: int | None = None, p: Params = DEFAULTS) -> DataFrame:
@@ -407,15 +416,20 @@ def backtest(samples: DataFrame, peaks: DataFrame, segments: DataFrame, keys: li
     tasks = tasks.withColumn("cutoff", F.timestamp_add("MICROSECOND", F.round(length * F.col("fraction")).cast("long"), F.col("trough_ts"))).drop("trough_ts")
     known = peaks.filter(F.col("prominence") > p.backtest_prominence).select(*keys, "ts", "value").join(tasks, keys).filter("ts < end_ts")
     by, wanted = [*keys, "end_ts", "fraction"], models or list_models()
-    # The lower bound of what a task reads comes first, so that a sample is copied only to tasks that read it.
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts")))
-    begins = known.select(*by, "ts").withColumn("place", place).filter(F.col("place") <= 2 * p.episodes + 2).groupBy(*by).agg(F.min("ts").alias("begins"))
-    if set(wanted) <= set(PEAKS_ONLY):
-        seen = tasks.select(*by, F.col("cutoff").alias("ts"), F.lit(0.0).alias("value"))
-    else:
-        bounded = tasks.join(begins, by, "left")
-        seen = samples.select(*keys, "ts", "value").join(bounded, keys).filter((F.col("ts") <= F.col("cutoff")) & (F.col("begins").isNull() | (F.col("ts") >= F.col("begins"))))
-    predicted = forecast(seen, known, by, wanted, p=p)
+    if wanted == ["interval_median"]:
+        hit = interval_forecast(known, by).select(*by, F.col("next_us"))
+        error = (F.col("next_us") - micros("end_ts")) / 3.6e9
+        return tasks.select(*by).join(hit, by, "left").select(*by, F.lit("interval_median").alias("model_id"), error.alias("error_h"))
+    # The lower bound of what a task reads comes first, so that a sample is copied only to tasks that read it: episodes
+    # before its target are the same for all tasks of a series.
+    tops = peaks.filter(F.col("prominence") > p.backtest_prominence).select(*keys, "ts")
+    past = tasks.join(_complete(samples, tops, keys, p).drop("place"), keys).filter("done_ts < end_ts")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("done_ts")))
+    first = past.withColumn("place", place).filter(F.col("place") <= p.episodes).groupBy(*by).agg(F.min("prev_ts").alias("first"))
+    begins = known.groupBy(*by).agg(F.max("ts").alias("last")).join(first, by, "left").select(*by, F.coalesce("first", "last").alias("begins"))
+    bounded = tasks.join(begins, by, "left")
+    seen = samples.select(*keys, "ts", "value").join(bounded, keys).filter((F.col("ts") <= F.col("cutoff")) & (F.col("begins").isNull() | (F.col("ts") >= F.col("begins"))))
+    predicted = forecast(seen, known, by, wanted, p=p, bounded=True)
     return predicted.select(*by, "model_id", (F.timestamp_diff("MICROSECOND", "end_ts", "next_ts") / 3.6e9).alias("error_h"))
 
 

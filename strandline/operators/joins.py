@@ -61,5 +61,5 @@ def in_intervals(samples: DataFrame, ends: DataFrame, keys: list[str], chunk: in
     )
     timed = both.withColumn("us", micros("ts")).filter("us IS NOT NULL")
     # An end stands after the samples of its own time: it is theirs, and not yet behind them.
-    marked = neighbours(timed, keys, F.col("end"), ["side"], chunk).filter("side = 0 AND b IS NOT NULL AND a IS NOT NULL")
+    marked = neighbours(timed, keys, F.col("end"), ["side"], chunk, keep=["ts", "value", "event_id"]).filter("side = 0 AND b IS NOT NULL AND a IS NOT NULL")
     return marked.select(*keys, "ts", "value", "event_id", F.col("b").alias("prev_ts"), F.col("a").alias("end_ts"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions.timebuckets import HOUR, floor_us, from_micros, micros
 from strandline.operators.joins import in_intervals
 from strandline.operators.prominence import apart, prominences
-from strandline.operators.scans import neighbours, regular
+from strandline.operators.scans import cut, neighbours
 from strandline.params import DEFAULTS, Params
 
 
@@ -16,27 +16,29 @@ def hourly(samples: DataFrame, keys: list[str], width: int = HOUR, chunk: int =
     """Bucket means on a complete grid, gaps filled linearly along the grid: keys, ts, value, filled.
 
     Rows with a null are dropped, of rows at one time the one with the largest event_id counts, and a key with fewer
-    than two distinct times gives no rows.
+    than two distinct times gives no rows. Each bucket lays out the grid up to the next one.
     """
     clean = samples.dropna(subset=["ts", "value"]).groupBy(*keys, micros("ts").alias("us")).agg(F.max_by("value", "event_id").alias("value"))
     means = clean.groupBy(*keys, floor_us(F.col("us"), width).alias("us")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-    spans = means.groupBy(*keys).agg(F.min("us").alias("low"), F.max("us").alias("high"), F.sum("n").alias("n")).filter("n >= 2")
-    grid = regular(spans, keys, width, chunk).select(*keys, "us", F.lit(None).cast("double").alias("mean"), F.lit(1).alias("side"))
-    both = means.select(*keys, "us", "mean", F.lit(0).alias("side")).unionByName(grid)
-    full = neighbours(both, keys, F.when(F.col("side") == 0, F.struct("us", "mean")), ["side"], chunk).filter("side = 1")
-    here = F.col("b.us") == F.col("us")
-    line = F.col("b.mean") + (F.col("a.mean") - F.col("b.mean")) * ((F.col("us") - F.col("b.us")) / (F.col("a.us") - F.col("b.us")))
-    return full.select(*keys, from_micros(F.col("us")).alias("ts"), F.when(here, F.col("b.mean")).otherwise(line).alias("value"), (~here).alias("filled"))
+    steps = neighbours(means, keys, F.struct("us", "mean"), [], chunk, strict=True, keep=["mean", "n"]).filter("n >= 2 OR b IS NOT NULL OR a IS NOT NULL")
+    points = F.explode(F.sequence("us", F.coalesce(F.col("a.us") - width, F.col("us")), F.lit(width)))
+    full = steps.select(*keys, F.col("us").alias("from_us"), "mean", "a", points.alias("us"))
+    line = F.col("mean") + (F.col("a.mean") - F.col("mean")) * ((F.col("us") - F.col("from_us")) / (F.col("a.us") - F.col("from_us")))
+    here = F.col("us") == F.col("from_us")
+    return full.select(*keys, from_micros(F.col("us")).alias("ts"), F.when(here, F.col("mean")).otherwise(line).alias("value"), (~here).alias("filled"))
 
 
 def local_maxima(grid: DataFrame, keys: list[str], chunk: int = DEFAULTS.chunk) -> DataFrame:
     """Strict local maxima of a regular grid without nulls; a flat top counts once, at its middle (the earlier of two)."""
-    rows = neighbours(grid.select(*keys, micros("ts").alias("us"), "value"), keys, F.struct("us", "value"), [], chunk, strict=True)
-    # Only the first and the last row of each stretch of one value matter from here on.
-    rows = rows.withColumns({"begins": F.col("b").isNull() | (F.col("b.value") != F.col("value")), "rises": F.col("b.value") < F.col("value"), "falls": F.col("a.value") < F.col("value"), "step": F.col("a.us") - F.col("us")})
-    ends = rows.filter("begins OR a IS NULL OR a.value <> value").drop("a", "b")
-    tops = neighbours(ends, keys, F.when(F.col("begins"), F.struct("us", "rises")), [], chunk).filter("falls AND b.rises")
-    middle = F.col("b.us") + F.floor((F.col("us") - F.col("b.us")) / (2 * F.col("step"))).cast("long") * F.col("step")
+    rows = neighbours(grid.select(*keys, micros("ts").alias("us"), "value"), keys, F.struct("us", "value"), [], chunk, strict=True, keep=["value"])
+    begins = F.col("b").isNull() | (F.col("b.value") != F.col("value"))
+    ends = rows.filter(begins | F.col("a").isNull() | (F.col("a.value") != F.col("value")))
+    # Of one value a stretch's first and last row, or its only one, follow each other.
+    before = Window.partitionBy(*keys, "value").orderBy("us")
+    ends = ends.select(*keys, "us", "value", begins.alias("begins"), (F.col("b.value") < F.col("value")).alias("rises"), (F.col("a.value") < F.col("value")).alias("falls"), (F.col("a.us") - F.col("us")).alias("step"))
+    first = lambda c: F.when(F.col("begins"), F.col(c)).otherwise(F.lag(c).over(before))
+    tops = ends.withColumns({"first_us": first("us"), "rose": first("rises")}).filter("falls AND rose")
+    middle = F.col("first_us") + F.floor((F.col("us") - F.col("first_us")) / (2 * F.col("step"))).cast("long") * F.col("step")
     return tops.select(*keys, from_micros(middle).alias("ts"), "value")
 
 
@@ -58,8 +60,9 @@ def prominent(grid: DataFrame, keys: list[str], p: Params = DEFAULTS, height: fl
     tops = local_maxima(grid, keys, p.chunk).select(*keys, micros("ts").alias("us"), "value")
     tops = tops if height is None else tops.filter(F.col("value") >= height)
     tops = apart(tops, keys, distance, chunk) if distance > width else tops
+    tops = cut(tops)
     found = prominences(grid.select(*keys, micros("ts").alias("us"), "value"), tops, keys, chunk)
-    return found.filter(F.col("prominence") >= p.prominence).select(*keys, from_micros(F.col("us")).alias("ts"), "value", "prominence")
+    return cut(found.filter(F.col("prominence") >= p.prominence)).select(*keys, from_micros(F.col("us")).alias("ts"), "value", "prominence")
 
 
 def episodes(samples: DataFrame, peaks: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:

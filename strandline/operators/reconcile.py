@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.timebuckets import floor_us, from_micros, micros, round_us
-from strandline.operators.scans import neighbours, regular, strides
+from strandline.functions.timebuckets import HOUR, floor_us, from_micros, micros, round_us
+from strandline.operators.scans import cut, neighbours
 from strandline.params import DEFAULTS, Params
 
 @dataclass(frozen=True)
@@ -131,18 +131,21 @@ def densify(samples: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFr
     median strides (15 minutes at least) are left out. Of samples at one time the one with the largest event_id counts.
     """
     distinct = samples.groupBy(*keys, micros("ts").alias("us")).agg(F.max_by("value", "event_id").alias("value"))
-    limits = strides(distinct.withColumn("ts", from_micros(F.col("us"))), keys, p.chunk)
-    width = F.lit(p.merge_bucket)
-    low, high = F.ceil(F.min("us") / width).cast("long") * p.merge_bucket, F.floor(F.max("us") / width).cast("long") * p.merge_bucket
-    grid = regular(distinct.groupBy(*keys).agg(low.alias("low"), high.alias("high")).filter("low <= high"), keys, p.merge_bucket, p.chunk)
-    hit = "struct<us:bigint,value:double>"
-    both = distinct.select(*keys, "us", F.struct("us", "value").alias("hit"), F.lit(0).alias("side")).unionByName(grid.select(*keys, "us", F.lit(None).cast(hit).alias("hit"), F.lit(1).alias("side")))
-    filled = neighbours(both, keys, F.col("hit"), ["side"], p.chunk).filter("side = 1").join(limits, keys)
-    a = F.when(F.col("b.us") == F.col("us"), F.col("b")).otherwise(F.col("a"))
-    ahead = filled.withColumn("a", a).filter("a IS NOT NULL AND b IS NOT NULL")
-    near = F.least(F.col("us") - F.col("b.us"), F.col("a.us") - F.col("us")) <= F.greatest(p.gap_strides * F.col("median_us"), F.lit(p.gap_floor))
-    share = F.when(F.col("a.us") > F.col("b.us"), (F.col("us") - F.col("b.us")) / (F.col("a.us") - F.col("b.us"))).otherwise(0.0)
-    return ahead.filter(near).select(*keys, F.col("us").alias("bucket_us"), (F.col("b.value") + (F.col("a.value") - F.col("b.value")) * share).alias("value"))
+    steps = neighbours(distinct, keys, F.struct("us", "value"), [], p.chunk, strict=True, keep=["value"]).select(*keys, "us", "value", F.col("a.us").alias("next_us"), F.col("a.value").alias("next_value"))
+    median = F.median(F.col("next_us") - F.col("us"))
+    limits = steps.groupBy(*keys).agg(F.greatest(p.gap_strides * median, F.lit(p.gap_floor)).alias("limit"), F.count("next_us").alias("n")).filter("n > 0")
+    # Each sample lays out the grid from its own time to the next sample's, as far as one of the two is near enough.
+    width, until = p.merge_bucket, F.coalesce(F.col("next_us") - 1, F.col("us"))
+    up, down = (lambda us: F.ceil(us / F.lit(width)).cast("long") * width), (lambda us: F.floor(us / F.lit(width)).cast("long") * width)
+    line = lambda low, high: F.when(low <= high, F.sequence(low, high, F.lit(width))).otherwise(F.array().cast("array<bigint>"))
+    after_it = line(up(F.col("us")), down(F.least(until, F.col("us") + F.floor("limit").cast("long"))))
+    before_next = line(up(F.greatest(F.col("next_us") - F.floor("limit").cast("long"), F.col("us") + F.floor("limit").cast("long") + 1)), down(until))
+    points = F.explode(F.concat(after_it, F.coalesce(before_next, F.array().cast("array<bigint>"))))
+    # Of a single sample there is no stride: it gives no grid.
+    full = steps.join(limits, keys).select(*keys, F.col("us").alias("b_us"), "value", "next_us", "next_value", points.alias("us"))
+    share = F.when(F.col("us") > F.col("b_us"), (F.col("us") - F.col("b_us")) / (F.col("next_us") - F.col("b_us"))).otherwise(0.0)
+    end = F.when(F.col("us") > F.col("b_us"), F.col("next_value")).otherwise(F.col("value"))
+    return full.select(*keys, F.col("us").alias("bucket_us"), (F.col("value") + (end - F.col("value")) * share).alias("value"))
 
 
 def tagged(samples: DataFrame, series: list[str], p: Params = DEFAULTS) -> DataFrame:
@@ -182,14 +185,36 @@ def outlier_audit(samples: DataFrame, series: list[str], p: Params = DEFAULTS) -
     return off.join(mad, keys).filter(F.col("delta") > limit).select(*series, from_micros(F.col("bucket_us")).alias("bucket"), "source", "value", "bucket_median", "delta")
 
 
+def handoff_clusters(merged: DataFrame, series: list[str], p: Params = DEFAULTS) -> DataFrame:
+    """``merged`` with ``touched``, whether a flip between one source and several may change a row or read it, and ``group``.
+
+    A flip reads the rows to both sides of it and changes those within ``p.blend_hours``. A cluster is a stretch of touched
+    rows; clusters don't depend on each other. Rows of one cluster have one ``group``, others that of their chunk of time.
+    """
+    span, kept = int(p.blend_hours * HOUR), [c for c in merged.columns if c not in series]
+    rows = cut(merged.withColumn("us", micros("ts")))
+    seen = neighbours(rows, series, F.struct("us", (F.col("n_sources") >= 2).alias("several")), ["bucket"], p.chunk, strict=True, keep=kept)
+    flips = F.when((F.col("n_sources") >= 2) != F.col("b.several"), F.struct("us", F.least(F.col("b.us"), F.col("us") - span).alias("since")))
+    near = neighbours(seen, series, flips, ["bucket"], p.chunk, keep=kept)
+    near = cut(near)
+    touched = F.coalesce(F.col("us") <= F.col("b.us") + span, F.lit(False)) | F.coalesce(F.col("us") >= F.col("a.since"), F.lit(False))
+    named = neighbours(near.withColumn("touched", touched), series, F.when(~F.col("touched"), F.col("us")), ["bucket"], p.chunk, keep=[*kept, "touched"])
+    group = F.when(F.col("touched"), F.coalesce("b", F.lit(-1).cast("long"))).otherwise(floor_us(F.col("us"), p.chunk))
+    return named.select(*merged.columns, "touched", group.alias("group"))
+
+
 def blend_handoffs(merged: DataFrame, series: list[str], p: Params = DEFAULTS) -> DataFrame:
     """Soften steps where the number of sources flips between one and several.
 
     Every flip with a step above ``p.step`` is spread over the rows within ``p.blend_hours``, in time order, each seeing
-    what the earlier ones changed; so a series is folded by one task.
+    what the earlier ones changed; so a cluster of flips whose rows meet is folded by one task, whatever the series.
     """
 
+    columns = merged.columns
+
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        if not frame["touched"].iloc[0]:
+            return frame[columns]
         frame = frame.sort_values(["ts", "bucket"]).reset_index(drop=True)
         v, several = frame["value"].to_numpy(dtype=float).copy(), (frame["n_sources"] >= 2).to_numpy()
         hours = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 3.6e9
@@ -201,9 +226,9 @@ def blend_handoffs(merged: DataFrame, series: list[str], p: Params = DEFAULTS) -
             near = slice(np.searchsorted(hours, hours[k] - p.blend_hours, "left"), np.searchsorted(hours, hours[k] + p.blend_hours, "right"))
             weight = np.clip(1 - np.abs(hours[near] - hours[k]) / p.blend_hours, 0, 1)
             v[near] += np.where(several[near], 0.5, -0.5) * step * weight
-        return frame.assign(value=v)
+        return frame.assign(value=v)[columns]
 
-    return merged.groupBy(*series).applyInPandas(fold, merged.schema)
+    return handoff_clusters(merged, series, p).groupBy(*series, "touched", "group").applyInPandas(fold, merged.schema)
 
 
 def fill_from_archive(merged: DataFrame, archive: DataFrame, series: list[str], p: Params = DEFAULTS) -> DataFrame:

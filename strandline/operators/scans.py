@@ -1,12 +1,14 @@
 """Scans along long series, dealt out by time.
 
 A series is cut into chunks of time. What a row must know of the rows before and after its chunk, the last and the first
-known value there, is found once per chunk from a table of the chunks' ends, and enters the chunk as two halo rows: one
-before all its rows, one after. So a scan of one long series is shared by all tasks, and a window holds a chunk at most.
+known value there, is carried along a table of the chunks' ends and joined to the chunk. So a scan of one long series is
+shared by all tasks, and a window holds a chunk at most.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,33 +16,42 @@ from strandline.functions.timebuckets import floor_us, micros
 from strandline.params import DEFAULTS
 
 
-def neighbours(rows: DataFrame, keys: list[str], hit: Column, order: list[str], chunk: int = DEFAULTS.chunk, strict: bool = False) -> DataFrame:
-    """``rows`` (keys, us, ...) with ``b``, the last known ``hit`` at or before each row, and ``a``, the first at or after it.
+def neighbours(rows: DataFrame, keys: list[str], hit: Column, order: list[str], chunk: int = DEFAULTS.chunk, strict: bool = False, keep: list[str] = ()) -> DataFrame:
+    """keys, us, ``order`` and ``keep`` of ``rows`` with ``b``, the last known ``hit`` at or before each row, and ``a``, the first at or after it.
 
     Rows stand in the order of ``us`` (microseconds, never null) and ``order``; a row's own hit counts unless ``strict``.
-    What is not there is null. Null keys are a key of their own.
+    What is not there is null. Null keys are a key of their own. The rows are dealt out once: what is known at a chunk's
+    ends is read from the same shuffle, as long as all columns that are kept are used.
     """
-    marked = rows.withColumns({"hit_": hit, "chunk_": floor_us(F.col("us"), chunk)})
+    columns = [*dict.fromkeys(["us", *order, *keep])]
+    marked = rows.select(F.struct(*keys).alias("key_"), floor_us(F.col("us"), chunk).alias("chunk_"), hit.alias("hit_"), *columns)
+    dealt = marked.repartition("key_", "chunk_")
     known = F.when(F.col("hit_").isNotNull(), F.struct("us", *order))
-    ends = marked.groupBy(*keys, "chunk_").agg(F.max_by("hit_", known).alias("last_"), F.min_by("hit_", known).alias("first_"))
-    chunks, chunks_back = Window.partitionBy(*keys).orderBy("chunk_"), Window.partitionBy(*keys).orderBy(F.desc("chunk_"))
+    row = F.struct("hit_", *columns)  # both readers of the shuffle ask for all columns
+    ends = dealt.groupBy("key_", "chunk_").agg(F.max_by(row, known).alias("last_"), F.min_by(row, known).alias("first_"))
+    chunks, chunks_back = Window.partitionBy("key_").orderBy("chunk_"), Window.partitionBy("key_").orderBy(F.desc("chunk_"))
     outside = Window.unboundedPreceding, -1
-    ends = ends.withColumns({"last_": F.last("last_", True).over(chunks.rowsBetween(*outside)), "first_": F.last("first_", True).over(chunks_back.rowsBetween(*outside))})
-    halo = F.array(F.struct(F.lit(-1).alias("halo_"), F.col("last_").alias("hit_")), F.struct(F.lit(1).alias("halo_"), F.col("first_").alias("hit_")))
-    halos = ends.select(*keys, "chunk_", F.inline(halo))
-    both = marked.withColumn("halo_", F.lit(0)).unionByName(halos, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, "chunk_")
-    forth, back = inside.orderBy("halo_", "us", *order), inside.orderBy(F.desc("halo_"), F.desc("us"), *[F.desc(c) for c in order])
+    ends = ends.select("key_", "chunk_", F.last("last_.hit_", True).over(chunks.rowsBetween(*outside)).alias("before_"), F.last("first_.hit_", True).over(chunks_back.rowsBetween(*outside)).alias("after_"))
+    inside = Window.partitionBy("key_", "chunk_")
+    forth, back = inside.orderBy("us", *order), inside.orderBy(F.desc("us"), *[F.desc(c) for c in order])
     frame = Window.unboundedPreceding, -1 if strict else 0
-    found = both.withColumns({"b": F.last("hit_", True).over(forth.rowsBetween(*frame)), "a": F.last("hit_", True).over(back.rowsBetween(*frame))})
-    return found.filter("halo_ = 0").drop("hit_", "chunk_", "halo_")
+    found = dealt.withColumns({"b_": F.last("hit_", True).over(forth.rowsBetween(*frame)), "a_": F.last("hit_", True).over(back.rowsBetween(*frame))})
+    return found.join(ends, ["key_", "chunk_"], "left").select("key_.*", *columns, F.coalesce("b_", "before_").alias("b"), F.coalesce("a_", "after_").alias("a"))
+
 
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` written to spark.checkpoint.dir and read from there: a plan that asks for them again and again stays short.
 
-def regular(spans: DataFrame, keys: list[str], step: int, chunk: int = DEFAULTS.chunk) -> DataFrame:
-    """keys, us: every ``step`` from ``low`` to ``high`` of ``spans`` (keys, low, high), laid out by many tasks per key."""
-    piece = max(1, chunk // step) * step
-    pieces = spans.select(*keys, "high", F.explode(F.sequence("low", "high", F.lit(piece))).alias("from_")).repartition(*keys, "from_")
-    return pieces.select(*keys, F.explode(F.sequence("from_", F.least("high", F.col("from_") + (piece - step)), F.lit(step))).alias("us"))
+    Without that setting a temporary folder serves a local master; on a cluster it is an error.
+    """
+    spark = rows.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master.startswith("local[") or context.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandline-"))
+    return rows.checkpoint()
 
 
 def strides(samples: DataFrame, keys: list[str], chunk: int = DEFAULTS.chunk) -> DataFrame:

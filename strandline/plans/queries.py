@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import DAY, HOUR, from_micros, micros
-from strandline.operators import archive, forecast, joins, peaks, reconcile, scans, state, text, windows
+from strandline.operators import archive, forecast, joins, line_fits, peaks, reconcile, scans, state, text, windows
 from strandline.params import Params
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,7 +123,7 @@ tr AS (SELECT s.series_id, p_us, arg_min(us, (value, us, event_id)) AS t_us, arg
 
 
 def half_day_peaks(s: DataFrame) -> DataFrame:
-    return peaks.local_maxima(peaks.hourly(s, SERIES, HALF_DAY), SERIES)
+    return scans.cut(peaks.local_maxima(peaks.hourly(s, SERIES, HALF_DAY), SERIES))
 
 
 def known_and_new(s: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -380,12 +380,44 @@ def handoff_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.filter(F.col("was") != F.col("several")).select("series_id", "bucket", "several")
 
 
-@query()
+def blended_sql(merged: str) -> str:
+    """CTEs from ``merged`` (series_id, b_us, us, value, k, ...) to ``blended``: one step of the recursion spreads a flip of each series."""
+    return f"""base AS (SELECT *, k >= 2 AS several, row_number() OVER (PARTITION BY series_id ORDER BY us, b_us) AS j, us / 3.6e9 AS h FROM {merged}),
+flips AS (SELECT series_id, j AS at, row_number() OVER (PARTITION BY series_id ORDER BY j) AS i FROM (SELECT *, lag(several) OVER (PARTITION BY series_id ORDER BY j) AS was FROM base) WHERE was <> several),
+fold AS (SELECT series_id, j, h, several, value AS v, 0::BIGINT AS i FROM base
+  UNION ALL SELECT series_id, j, h, several, v + CASE WHEN abs(step) > 4.0 AND abs(h - fh) <= 6.0 THEN CASE WHEN several THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END * step * greatest(1.0 - abs(h - fh) / 6.0, 0.0::DOUBLE) ELSE 0.0::DOUBLE END, i
+  FROM (SELECT series_id, j, h, several, v, i, fh, CASE WHEN before_many THEN v_at - v_before ELSE v_before - v_at END AS step FROM (
+    SELECT w.series_id, w.j, w.h, w.several, w.v, f.i, max(CASE WHEN w.j = f.at THEN w.h END) OVER p AS fh, max(CASE WHEN w.j = f.at THEN w.v END) OVER p AS v_at, max(CASE WHEN w.j = f.at - 1 THEN w.v END) OVER p AS v_before, bool_or(w.j = f.at - 1 AND w.several) OVER p AS before_many
+    FROM fold w JOIN flips f ON f.series_id = w.series_id AND f.i = w.i + 1 WINDOW p AS (PARTITION BY w.series_id)))),
+blended AS (SELECT b.* REPLACE (f.v AS value) FROM fold f JOIN base b USING (series_id, j) WHERE f.i = (SELECT coalesce(max(x.i), 0) FROM flips x WHERE x.series_id = f.series_id))"""
+
+
+@query(f"WITH RECURSIVE {TAGGED}, {blended_sql('merged')} SELECT series_id, make_timestamp(b_us) AS bucket, make_timestamp(us) AS ts, round(value, 4) AS value, winner, k AS n_sources FROM blended")
 def blended_handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.blend_handoffs(reconcile.merge(samples(spark, sf_dir), SERIES, SOURCES), SERIES).withColumn("value", F.round("value", 4))
 
 
-@query()
+def offsets_sql(rows: str) -> str:
+    """A subquery: series_id, source, b of each source of ``rows`` that is tied to the anchor."""
+    return f"""WITH RECURSIVE {PAIRS.replace(S, f"s AS (SELECT * FROM {rows})", 1)}, links AS (SELECT series_id, source_i AS a, source_j AS b, beta AS d FROM fit UNION ALL SELECT series_id, source_j, source_i, -beta FROM fit),
+pin AS (SELECT series_id, CASE WHEN bool_or(source = 'purchase') THEN 'purchase' ELSE min(source) END AS source FROM s GROUP BY ALL),
+reach AS (SELECT series_id, source FROM pin UNION SELECT r.series_id, l.b FROM reach r JOIN links l ON l.series_id = r.series_id AND l.a = r.source),
+free AS (SELECT r.series_id, r.source FROM reach r JOIN pin USING (series_id) WHERE r.source <> pin.source),
+sweep(k, series_id, source, b) AS (SELECT 0, series_id, source, 0.0::DOUBLE FROM reach
+  UNION ALL SELECT * FROM (SELECT w.k + 1, w.series_id, l.a, CASE WHEN any_value(f.source) IS NULL THEN 0.0 ELSE avg(w.b + l.d) END FROM sweep w JOIN links l ON l.series_id = w.series_id AND l.b = w.source LEFT JOIN free f ON f.series_id = l.series_id AND f.source = l.a WHERE w.k < 400 GROUP BY w.k, w.series_id, l.a))
+SELECT series_id, source, b FROM sweep WHERE k = 400"""
+
+
+CORRECTED = f"""{S.replace("s AS", "s_all AS", 1)}, s_live AS (SELECT * FROM s_all WHERE source <> 'error'), off AS ({offsets_sql('s_live')}),
+s AS (SELECT event_id, series_id, source, ts, value - coalesce(off.b, 0.0) AS value, us FROM s_live LEFT JOIN off USING (series_id, source))"""
+
+
+@query(
+    f"""WITH RECURSIVE {TAGGED.replace(S, CORRECTED, 1)}, {blended_sql('merged')},
+old AS (SELECT series_id, {sql_round('us')} AS b_us, arg_max(us, (us, event_id)) AS us, arg_max(value, (us, event_id)) AS value FROM s_all WHERE source = 'error' GROUP BY ALL)
+SELECT series_id, make_timestamp(b_us) AS bucket, make_timestamp(us) AS ts, round(value, 4) AS value, TRUE AS live FROM blended
+UNION ALL SELECT series_id, make_timestamp(b_us), make_timestamp(us), round(value, 4), FALSE FROM old WHERE NOT EXISTS (SELECT 1 FROM blended b WHERE b.series_id = old.series_id AND b.b_us = old.b_us)"""
+)
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole merge: offsets, correction, grid, winners, softened handoffs, archive gaps."""
     live, old = live_and_archive(samples(spark, sf_dir))
@@ -496,6 +528,50 @@ def all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.forecast(s, half_day_peaks(s), SERIES, recent_peaks=6).withColumn("value", F.round("value", 3))
 
 
+def huber_sql(points: str, rounds: int = 150) -> str:
+    """CTEs from ``points`` (series_id, fit, part, x, y) to ``fits``: the line of each (series_id, fit, part), by reweighting at a fixed scale."""
+    g, by = "series_id, fit, part", "PARTITION BY series_id, fit, part"
+    return f"""pt AS (SELECT series_id, fit, part, x - mid AS x, y, mid FROM (SELECT *, avg(x) OVER ({by}) AS mid, count(*) OVER ({by}) AS n FROM {points}) WHERE n >= 2),
+f0 AS (SELECT {g}, any_value(mid) AS mid, regr_slope(y, x) AS m, avg(y) AS b FROM pt GROUP BY ALL),
+r0 AS (SELECT {g}, y - m * x - b AS r FROM pt JOIN f0 USING ({g})),
+r1 AS (SELECT {g}, median(r) AS med FROM r0 GROUP BY ALL),
+sc AS (SELECT {g}, greatest(1.345 * median(abs(r - med)) / 0.6745, 1e-6) AS f FROM r0 JOIN r1 USING ({g}) GROUP BY ALL),
+it(k, series_id, fit, part, m, b) AS (SELECT 0, {g}, m, b FROM f0
+  UNION ALL SELECT k, {g}, m, (swy - m * swx) / sw FROM (SELECT k + 1 AS k, {g}, sum(w) AS sw, sum(w * x) AS swx, sum(w * y) AS swy, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2) AS m
+    FROM (SELECT k, series_id, fit, part, x, y, least(1.0, f / greatest(abs(y - (m * x + b)), 1e-300)) AS w FROM it JOIN pt USING ({g}) JOIN sc USING ({g}) WHERE k < {rounds}) GROUP BY k, {g})),
+fits AS (SELECT {g}, it.m AS slope, it.b AS level, mid AS middle FROM it JOIN f0 USING ({g}) WHERE k = {rounds})"""
+
+
+TOPS_6 = TOPS.replace("tops AS (", "every_top AS (", 1) + ", tops AS (SELECT series_id, us, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY us DESC) AS back FROM every_top) WHERE back <= 6)"
+D = "8.64e10"
+
+
+@query(
+    f"""WITH RECURSIVE {EPISODES.replace(TOPS, TOPS_6, 1)}, {TROUGH}, ends AS (SELECT series_id, max(us) AS last_us FROM s GROUP BY ALL), lp AS (SELECT series_id, max(us) AS lp_us, count(*) AS n_peaks FROM tops GROUP BY ALL),
+rise AS (SELECT *, count(*) OVER w AS n, sum((us >= last_us - {168 * HOUR})::INT) OVER w AS recent, row_number() OVER (PARTITION BY series_id ORDER BY us DESC, event_id DESC) AS back FROM s JOIN tr USING (series_id) JOIN ends USING (series_id) WHERE us >= t_us WINDOW w AS (PARTITION BY series_id)),
+used AS (SELECT * FROM epi WHERE place <= 6), erow AS (SELECT r.*, u.t_us, u.t_v FROM rows_in r JOIN used u USING (series_id, prev, cur) WHERE r.us >= u.t_us),
+points AS (SELECT series_id, 'trend' AS fit, '' AS part, us / {D} AS x, value AS y FROM tops UNION ALL SELECT series_id, 'linear_naive', '', us / {D}, value FROM rise WHERE n >= 12
+  UNION ALL SELECT series_id, 'linear', '', us / {D}, value FROM rise WHERE n >= 12 AND least(ceil(n * 0.5), recent) >= 12 AND back <= least(ceil(n * 0.5), recent)
+  UNION ALL SELECT series_id, 'episode', cur::VARCHAR, us / {D}, value FROM erow UNION ALL SELECT series_id, 'stitched', '', us / {D} - t_us / {D}, value - t_v FROM erow),
+{huber_sql('points')},
+past AS (SELECT series_id, median((cur - t_us) / 3.6e9) AS median_h, count(*) AS n_ep FROM used GROUP BY ALL HAVING count(*) >= 4),
+ph AS (SELECT series_id, greatest((last_us - t_us) / 3.6e9, 0) / nullif(median_h, 0) >= 0.5 AS late FROM ends JOIN tr USING (series_id) JOIN past USING (series_id)),
+own AS (SELECT series_id, fit AS model_id, slope, middle, level, greatest(last_us / {D}, lp_us / {D}) AS since FROM fits JOIN ends USING (series_id) JOIN lp USING (series_id) WHERE fit IN ('linear', 'linear_naive')),
+anch AS (SELECT series_id, median(slope) AS slope, count(*) AS n_ep FROM fits WHERE fit = 'episode' GROUP BY ALL HAVING count(*) >= 4),
+lines AS (SELECT * FROM own UNION ALL SELECT series_id, 'auto', slope, middle, level, since FROM own LEFT JOIN ph USING (series_id) WHERE model_id = CASE WHEN late THEN 'linear_naive' ELSE 'linear' END
+  UNION ALL SELECT series_id, 'linear_hist', slope, t_us / {D}, t_v, greatest(t_us, lp_us) / {D} FROM anch JOIN tr USING (series_id) JOIN lp USING (series_id)
+  UNION ALL SELECT series_id, 'linear_stitched', f.slope, t_us / {D}, t_v, greatest(t_us, lp_us) / {D} FROM anch JOIN tr USING (series_id) JOIN lp USING (series_id) JOIN fits f USING (series_id) WHERE f.fit = 'stitched'),
+x AS (SELECT l.series_id, model_id, since, l.slope AS m1, l.level + l.slope * (since - l.middle) AS b1, t.slope AS m2, t.level + t.slope * (since - t.middle) AS b2 FROM lines l JOIN fits t ON t.series_id = l.series_id AND t.fit = 'trend' JOIN lp ON lp.series_id = l.series_id WHERE n_peaks >= 2),
+hit AS (SELECT series_id, model_id, since + root AS day, m2 * root + b2 AS value FROM (SELECT *, (b2 - b1) / CASE WHEN abs(m1 - m2) >= 1e-12 THEN m1 - m2 END AS root FROM x) WHERE root BETWEEN 0 AND 90 AND abs(m2 * root + b2) < 50)
+SELECT series_id, model_id, round(day, 3) AS next_day, round(value, 3) AS value FROM (SELECT DISTINCT series_id FROM s) CROSS JOIN (VALUES ('auto'), ('linear'), ('linear_naive'), ('linear_hist'), ('linear_stitched')) m(model_id) LEFT JOIN hit USING (series_id, model_id)"""
+)
+def line_model_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five models of lines, from mergeable sums, on the recent peaks of each series."""
+    s = samples(spark, sf_dir)
+    out = line_fits.line_forecasts(s, half_day_peaks(s), SERIES, recent_peaks=6)
+    return out.select("series_id", "model_id", F.round(micros("next_ts") / float(DAY), 3).alias("next_day"), F.round("value", 3).alias("value"))
+
+
 @query()
 def model_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves and trends of the recent peaks' models with their ribbons."""

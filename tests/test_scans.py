@@ -67,7 +67,7 @@ def test_no_task_has_a_long_series_to_itself(spark):
     long = spark.range(400_000).select(F.lit(1).alias("series_id"), (F.col("id") * 60_000_000).alias("us"), "id")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = scans.neighbours(long, S, F.when(F.col("id") % 1000 == 0, F.col("id")), [], 10 * DAY)
+        out = scans.neighbours(long, S, F.when(F.col("id") % 1000 == 0, F.col("id")), [], 10 * DAY, keep=["id"])
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
