@@ -18,8 +18,8 @@ from strandline.operators.scans import cut
 from strandline.operators.state import crossing, phase
 from strandline.params import DEFAULTS, Params
 
-#: Rounds of a fit, and cells of a median.
-ROUNDS, CELLS = 14, 4096
+#: Rounds of a fit at most, rounds after which it is asked whether all lines stand still, and cells of a median.
+ROUNDS, ASKED, CELLS = 90, 6, 4096
 
 
 def medians(values: DataFrame, keys: list[str], value: str, cells: int = CELLS) -> DataFrame:
@@ -55,8 +55,9 @@ def huber_lines(points: DataFrame, keys: list[str], scale: float | None = None,
     """keys, slope, middle, level (at x = middle), scale, n of the Huber line of y over x for every key with two points or more.
 
     Without ``scale`` it is 1.345 sigma, from the median deviation of the first line's residuals. A round takes Newton's
-    step, which ends after few rounds, exactly; where that does not lower the loss the next takes the reweighted step,
-    which does. Points with a null are left out; a key whose x are all equal has a level line.
+    step, which ends after few rounds, exactly, once points are near the line; before, and where that does not lower the
+    loss, it takes the reweighted step, which does. The rounds end when all lines stand still. Points with a
+    null are left out; a key whose x are all equal has a level line.
     """
     rows = cut(points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=["x", "y"]))
     first = rows.groupBy(*keys).agg(F.avg("x").alias("middle"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("m"), F.avg("y").alias("c"), F.count("*").alias("n")).filter("n >= 2")
@@ -69,8 +70,13 @@ def huber_lines(points: DataFrame, keys: list[str], scale: float | None = None,
     else:
         first = first.withColumn("f", F.lit(float(scale)))
     now = first.select(*keys, "middle", "n", "f", F.col("m").alias("try_m"), F.col("c").alias("try_c"), F.lit(None).cast("double").alias("m"), F.lit(None).cast("double").alias("c"), F.lit(float("inf")).alias("loss"), F.lit(0.0).alias("safe_m"), F.lit(0.0).alias("safe_c"))
-    for k in range(rounds):
-        now = _round(rows, cut(now) if k % 5 == 0 else now, keys)
+    for _ in range(0, rounds, ASKED):
+        for _ in range(ASKED):
+            now = _round(rows, now, keys)
+        now = cut(now)
+        moved = (F.abs(F.col("try_m") - F.col("m")) > 1e-11 * (1 + F.abs("m"))) | (F.abs(F.col("try_c") - F.col("c")) > 1e-11 * (1 + F.abs("c")))
+        if not now.agg(F.max(moved)).first()[0]:
+            break
     return now.select(*keys, F.col("m").alias("slope"), "middle", F.col("c").alias("level"), F.col("f").alias("scale"), "n")
 
 
@@ -88,6 +94,8 @@ def _round(rows: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
     )
     better = F.col("new_loss") <= F.col("loss")
     (newton_m, newton_c), (safe_m, safe_c) = _step("in0", "in1", "in2"), _step("w0", "w1", "w2")
+    enough = F.col("in0") >= 2
+    newton_m, newton_c = F.when(enough, newton_m).otherwise(safe_m), F.when(enough, newton_c).otherwise(safe_c)
     chosen = lambda yes, no: F.when(better, yes).otherwise(no)
     return sums.select(
         *keys, "middle", "n", "f",

@@ -110,28 +110,42 @@ def read_quality(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[moved.get(c, F.col(c)).alias(c) for c in QUALITY])
 
 
+# The fields of a stored run report.
 REPORT = """schema_version int, run_started_at_utc string, run_finished_at_utc string,
 per_source array<struct<source_name:string,fetched:boolean,rows_raw:int,rows_traced:int,rows_appended:int,frame_offset_microrad:double,error:string,warnings:array<string>>>,
 reconcile struct<rows_out:int,pairs:array<struct<source_i:string,source_j:string,beta:double,overlap_buckets:int,residual_std_microrad:double>>,winner_counts:map<string,int>,warnings:array<string>>"""
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Run reports of either version, with the file's name; what does not parse becomes null."""
-    raw = spark.read.schema(REPORT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """Run reports of either version, one a file in ``path`` or its folders, with the file's name; what does not parse becomes null."""
+    raw = spark.read.schema(REPORT).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").json(path)
     return raw.withColumn("file", F.input_file_name())
 
 
-def report_lines(reports: DataFrame, failures: str | None = None, most: int = 20) -> DataFrame:
-    """Reports as JSON text, one ``value`` per run; of the array ``failures`` only the largest by absolute delta stay."""
+def report_lines(reports: DataFrame, failures: str | None = None, most: int = 20, beside: tuple = ()) -> DataFrame:
+    """Reports as JSON text, one ``value`` per run; of the array ``failures`` only the largest by absolute delta stay.
+
+    Columns ``beside`` stand beside the text and not in it.
+    """
     if failures:
         largest = F.slice(F.array_sort(failures, lambda a, b: F.when(F.abs(a["delta"]) > F.abs(b["delta"]), -1).when(F.abs(a["delta"]) < F.abs(b["delta"]), 1).otherwise(0)), 1, most)
         reports = reports.withColumns({f"{failures}_total": F.size(failures), failures: largest})
-    times = {c: stamp_text(F.col(c)) for c, kind in reports.dtypes if kind.startswith("timestamp")}
-    return reports.withColumns(times).select(F.to_json(F.struct(*reports.columns)).alias("value"))
+    inside = [c for c in reports.columns if c not in beside]
+    times = {c: stamp_text(F.col(c)) for c, kind in reports.dtypes if kind.startswith("timestamp") and c in inside}
+    return reports.withColumns(times).select(F.to_json(F.struct(*inside)).alias("value"), *beside)
 
 
 def write_reports(reports: DataFrame, path: str, failures: str | None = None) -> None:
-    report_lines(reports, failures).write.mode("append").text(path)
+    """One file per run, in a folder named by the run's start (``run_started_at_utc``, which every report has).
+
+    Of reports of one start in ``reports`` the one that ends last is written; a start that is there already gets a file more.
+    """
+    start = F.col("run_started_at_utc")
+    stamp = F.regexp_replace(stamp_text(start) if dict(reports.dtypes)["run_started_at_utc"].startswith("timestamp") else start, ":", "-")
+    ended = F.col("run_finished_at_utc").cast("string") if "run_finished_at_utc" in reports.columns else F.lit(None).cast("string")
+    lines = report_lines(reports.withColumns({"run": stamp, "ended_": F.coalesce(ended, F.lit(""))}), failures, beside=("run", "ended_"))
+    last = lines.groupBy("run").agg(F.max_by("value", F.struct("ended_", "value")).alias("value"))
+    last.repartition("run").write.mode("append").partitionBy("run").text(path)
 
 
 def keep_newest(reports: DataFrame, keep: int = 365) -> DataFrame:
@@ -141,13 +155,19 @@ def keep_newest(reports: DataFrame, keep: int = 365) -> DataFrame:
 
 
 def prune_reports(spark: SparkSession, path: str, keep: int = 365) -> int:
-    """Delete the first files by name, one report each, beyond ``keep``; how many were deleted."""
+    """Delete the oldest runs beyond ``keep``, by name: folders of write_reports() and plain files; how many were deleted."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().toString() for s in fs.listStatus(hadoop) if s.isFile() and s.getPath().getName().endswith(".json")) if fs.exists(hadoop) else []
-    old = names[: max(0, len(names) - keep)]
-    for name in old:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(name), False)
+    found = []
+    for status in fs.listStatus(hadoop) if fs.exists(hadoop) else []:
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("run="):
+            found.append((name[4:], status.getPath().toString()))
+        elif status.isFile() and name.endswith(".json"):
+            found.append((name[:-5], status.getPath().toString()))
+    old = sorted(found)[: max(0, len(found) - keep)]
+    for _, name in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(name), True)
     return len(old)
 
 

@@ -76,8 +76,8 @@ def keep_first_archive(stream: DataFrame, series: list[str], path: str, checkpoi
         empty = spark.createDataFrame([], rows.schema)
         old = _before(spark, f"{path}/archive", number) or empty
         waiting = (_before(spark, f"{path}/pending", number) or empty).unionByName(rows)
-        passed = promote(waiting, waiting, old, series).select("event_id")
-        fresh = waiting.join(passed, "event_id", "left_semi").select(*columns)
+        passed = promote(waiting, waiting, old, series).select(*series, "event_id")
+        fresh = waiting.join(passed, [*series, "event_id"], "left_semi").select(*columns)
         full = old.unionByName(fresh)
         full.write.mode("overwrite").parquet(f"{path}/archive/v={number}")
         archived = bucketed(spark.read.parquet(f"{path}/archive/v={number}")).select(*series, "bucket").distinct()

@@ -55,6 +55,13 @@ def test_reports_are_written_kept_and_pruned(spark, tmp_path):
     assert len(got) == 5 and got[0].run_started_at_utc == "2025-01-01T00:00:00.123456+00:00" and got[0].failures_total == 30
     assert [f.n for f in got[0].failures] == list(range(30, 10, -1))
     assert history.keep_newest(reports, 2).count() == 2
+    back = history.read_reports(spark, out)
+    assert sorted(r.run_started_at_utc[:10] for r in back.collect()) == [f"2025-01-0{k}" for k in range(1, 6)]
+    assert history.latest_report(back).first().run_started_at_utc.startswith("2025-01-05")
+    history.write_reports(reports.limit(1).unionByName(reports.limit(1)).withColumn("run_started_at_utc", F.lit("2025-02-01 00:00:00").cast("timestamp_ntz")), out, "failures")
+    assert history.read_reports(spark, out).count() == 6
+    assert history.prune_reports(spark, out, 2) == 4
+    assert sorted(r.run_started_at_utc[:10] for r in history.read_reports(spark, out).collect()) == ["2025-01-05", "2025-02-01"]
     files = tmp_path / "files"
     files.mkdir()
     for k in range(5):
