@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import floor_us, micros
@@ -39,18 +39,20 @@ def neighbours(rows: DataFrame, keys: list[str], hit: Column, order: list[str],
     return found.join(ends, ["key_", "chunk_"], "left").select("key_.*", *columns, F.coalesce("b_", "before_").alias("b"), F.coalesce("a_", "after_").alias("a"))
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` written to spark.checkpoint.dir and read from there: a plan that asks for them again and again stays short.
-
-    Without that setting a temporary folder serves a local master; on a cluster it is an error.
-    """
-    spark = rows.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one for a local master without it, an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not (context.master.startswith("local[") or context.master == "local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandline-"))
+    return context.getCheckpointDir()
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read from there: a plan that asks for them again and again stays short."""
+    shared_dir(rows.sparkSession)
     return rows.checkpoint()
 
 

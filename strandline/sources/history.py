@@ -11,6 +11,8 @@ from strandline.operators.text import stamp_text
 #: Date formats of stored histories, month first.
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")
 EMPTY = "ts timestamp_ntz, value double"
+#: Times are written to the microsecond.
+WRITTEN = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "header": True}
 
 
 def parsed_time(text: Column) -> Column:
@@ -45,20 +47,20 @@ def export_range(samples: DataFrame, path: str, first_day: str, last_day: str) -
     """CSV of the days from ``first_day`` to ``last_day``, both included whole: date_utc, value."""
     day = lambda d: F.to_timestamp_ntz(F.lit(d), F.lit("yyyy-MM-dd"))
     inside = (F.col("ts") >= day(first_day)) & (F.col("ts") < day(last_day) + F.expr("INTERVAL 1 DAY"))
-    samples.filter(inside).select(F.col("ts").alias("date_utc"), "value").write.mode("overwrite").option("header", True).csv(path)
+    samples.filter(inside).select(F.col("ts").alias("date_utc"), "value").write.mode("overwrite").options(**WRITTEN).csv(path)
 
 
 def export_bundle(tables: dict[str, DataFrame], path: str) -> None:
     """One folder with a folder for each table: CSV where all columns are flat, JSON lines otherwise."""
     for name, table in tables.items():
         nested = any(kind.startswith(("array", "map", "struct")) for _, kind in table.dtypes)
-        writer = table.write.mode("overwrite")
-        writer.json(f"{path}/{name}") if nested else writer.option("header", True).csv(f"{path}/{name}")
+        writer = table.write.mode("overwrite").options(**WRITTEN)
+        writer.json(f"{path}/{name}") if nested else writer.csv(f"{path}/{name}")
 
 
 def export_csv(samples: DataFrame, path: str) -> None:
     """Export with the stored column names."""
-    samples.select(F.col("ts").alias("Date"), F.col("value").alias("Value")).write.mode("overwrite").option("header", True).csv(path)
+    samples.select(F.col("ts").alias("Date"), F.col("value").alias("Value")).write.mode("overwrite").options(**WRITTEN).csv(path)
 
 
 def project_azimuth(x: Column, y: Column, degrees: float = 300.0) -> Column:
