@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import QUARTER, from_micros, round_us
 from strandline.operators import archive, joins, peaks, reconcile, text, windows
+from strandline.params import Params
 from strandline.sources import history
 from strandline.streaming import pipelines
 
@@ -118,9 +119,9 @@ def test_plateaus_and_peaks(spark):
     s = frame(spark, [("view", 60 * k, float(x)) for k, x in enumerate(v)])
     tops = peaks.local_maxima(peaks.hourly(s, S), S).orderBy("ts").toPandas()
     assert [t.hour for t in tops.ts] == [3, 7, 10]
-    at, prominence = peaks._peaks(np.array(v, dtype=float), 1, 0.0, None)
-    assert at.tolist() == [3, 7, 10] and prominence.tolist() == [3, 5, 2]
-    assert peaks._peaks(np.array(v, dtype=float), 5, 0.0, None)[0].tolist() == [7]
+    found = [peaks.detect_peaks(s, S, Params(distance_days=d / 24, prominence=0.0)).orderBy("ts").toPandas() for d in (1, 5)]
+    assert [t.hour for t in found[0].ts] == [3, 7, 10] and found[0].prominence.tolist() == [3, 5, 2]
+    assert [t.hour for t in found[1].ts] == [7]
 
 
 def test_contamination_flags_what_disagrees(spark):

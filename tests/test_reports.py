@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions.timebuckets import HOUR
 from strandline.operators import archive, forecast, joins, peaks, reconcile, state, text, windows
 from strandline.params import Params
 from strandline.sources import history
@@ -130,12 +131,16 @@ def test_short_recent_slices_are_empty(spark):
     assert {r.source for r in windows.recent_slice(s, K).collect()} == {"click"}
 
 
-def test_prominence_equals_a_plain_search():
+def test_prominence_equals_a_plain_search(spark):
     draw = np.random.default_rng(3)
-    for _ in range(20):
-        v = np.round(draw.normal(0, 3, 200))
-        at, prominence = peaks._peaks(v, 1, 0.0, None)
-        for t, p in zip(at, prominence, strict=True):
+    series = [np.round(draw.normal(0, 3, 200)) for _ in range(20)]
+    hours = pd.Timestamp("2025-01-01") + pd.to_timedelta(np.arange(200), unit="h")
+    grid = spark.createDataFrame(pd.concat([pd.DataFrame({"series_id": k, "ts": hours, "value": v}) for k, v in enumerate(series)])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = peaks.prominent(grid, S, Params(distance_days=0.0, prominence=0.0, chunk=31 * HOUR), stretch=0).toPandas()
+    found["at"] = ((found.ts - hours[0]) / pd.Timedelta("1h")).astype(int)
+    assert len(found) > 20 * 20
+    for k, v in enumerate(series):
+        for t, p in found[found.series_id == k][["at", "prominence"]].itertuples(index=False):
             left, right = np.flatnonzero(v[:t] > v[t]), np.flatnonzero(v[t + 1 :] > v[t])
             a, b = left[-1] if len(left) else 0, t + 1 + right[0] if len(right) else len(v)
             assert p == v[t] - max(v[a : t + 1].min(), v[t:b].min())
