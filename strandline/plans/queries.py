@@ -462,7 +462,17 @@ def peak_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"value": r9("value"), "prominence": r9("prominence")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {hourly_sql(HOUR)}, n AS (SELECT series_id, us, value, row_number() OVER w AS i, CASE WHEN value = lag(value) OVER w THEN 0 ELSE 1 END AS c FROM h WINDOW w AS (PARTITION BY series_id ORDER BY us)),
+flat AS (SELECT series_id, run, any_value(value) AS value, min(i) AS a, max(i) AS b FROM (SELECT *, sum(c) OVER (PARTITION BY series_id ORDER BY i) AS run FROM n) GROUP BY series_id, run),
+top AS (SELECT series_id, (a + b) // 2 AS i, value FROM (SELECT *, lag(value) OVER w AS lv, lead(value) OVER w AS nv FROM flat WINDOW w AS (PARTITION BY series_id ORDER BY run)) WHERE value > lv AND value > nv),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value DESC, i DESC) AS k FROM top),
+keep(series_id, k, kept) AS (SELECT series_id, k, [i] FROM ranked WHERE k = 1
+  UNION ALL SELECT r.series_id, r.k, CASE WHEN len([x FOR x IN kept IF abs(x - r.i) < 120]) = 0 THEN list_append(kept, r.i) ELSE kept END FROM keep JOIN ranked r ON r.series_id = keep.series_id AND r.k = keep.k + 1),
+apart AS (SELECT series_id, unnest(kept) AS i FROM keep WHERE k = (SELECT max(r.k) FROM ranked r WHERE r.series_id = keep.series_id)),
+p AS (SELECT n.series_id, n.us, n.value FROM apart JOIN n USING (series_id, i)),
+walls AS (SELECT p.series_id, p.us, any_value(p.value) AS value, coalesce(max(h.us) FILTER (h.us < p.us), 0) AS lw, coalesce(min(h.us) FILTER (h.us > p.us), 9e18::BIGINT) AS rw FROM p LEFT JOIN h ON h.series_id = p.series_id AND h.value > p.value GROUP BY ALL),
+pr AS (SELECT w.series_id, w.us, any_value(w.value) AS value, any_value(w.value) - greatest(min(h.value) FILTER (h.us <= w.us), min(h.value) FILTER (h.us >= w.us)) AS prominence FROM walls w JOIN h ON h.series_id = w.series_id AND h.us BETWEEN w.lw AND w.rw GROUP BY w.series_id, w.us)
+SELECT series_id, make_timestamp(us) AS ts, round(value, 6) AS value, round(prominence, 6) AS prominence FROM pr WHERE prominence >= 4.0""")
 def peaks_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.detect_peaks(samples(spark, sf_dir), SERIES).withColumns({"value": r6("value"), "prominence": r6("prominence")})
 
