@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,38 @@ def crossing(m1: Column, b1: Column, m2: Column, b2: Column, earliest: Column, l
     return F.when(root.between(earliest, latest) & (value > -limit) & (value < limit), root)
 
 
+def curve_crossing(curve: Callable[[Column], Column], trend: Callable[[Column], Column], start: Column, days: float = DEFAULTS.horizon_days, limit: float = DEFAULTS.value_limit, steps: int = 90, halvings: int = 40) -> Column:
+    """Where a curve first meets a trend within ``days`` of ``start``, as an expression: struct<day, value>, or null.
+
+    The gap between the two is scanned at ``steps`` equal steps; the first zero counts, or the first change of sign, whose
+    bracket is halved ``halvings`` times. A meeting beyond the value limit is none, as is one after it.
+    """
+    at = lambda k: start + k * (days / steps)
+    gap = lambda x: curve(x) - trend(x)
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: gap(at(k)))
+    known = F.struct(gaps.alias("g"), F.lit(None).cast("int").alias("k"))
+    # The first step at which the scan hits or passes the trend, by one walk along the gaps.
+    found = F.aggregate(
+        F.sequence(F.lit(0), F.lit(steps)), known,
+        lambda s, k: F.struct(s["g"].alias("g"), F.when(s["k"].isNotNull(), s["k"]).when((F.get(s["g"], k) == 0) | (F.get(s["g"], k) * F.get(s["g"], k + 1) < 0), k).alias("k")),
+        lambda s: F.struct(s["k"].alias("k"), F.get(s["g"], s["k"]).alias("gap")),
+    )
+    ends = F.struct(at(found["k"]).alias("low"), at(found["k"] + 1).alias("high"), found["gap"].alias("gap"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["low"] + s["high"]) / 2
+        before = gap(middle) * s["gap"] > 0
+        return F.struct(F.when(before, middle).otherwise(s["low"]).alias("low"), F.when(before, s["high"]).otherwise(middle).alias("high"), s["gap"].alias("gap"))
+
+    def root(s: Column) -> Column:
+        day = F.when(s["gap"] == 0, s["low"]).otherwise((s["low"] + s["high"]) / 2)
+        value = trend(day)
+        return F.when((value > -limit) & (value < limit), F.struct(day.alias("day"), value.alias("value")))
+
+    turns = F.when(found["gap"] == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.lit(halvings)))
+    return F.when(found["k"].isNotNull(), F.aggregate(turns, ends, halve, root))
+
+
 def weighted_axis(labels: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted straight line of value over pixel with weights (confidence / 100) ** 4, and its residuals.
 

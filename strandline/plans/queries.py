@@ -554,10 +554,17 @@ fits AS (SELECT {g}, it.m AS slope, it.b AS level, mid AS middle FROM it JOIN f0
 
 TOPS_6 = TOPS.replace("tops AS (", "every_top AS (", 1) + ", tops AS (SELECT series_id, us, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY us DESC) AS back FROM every_top) WHERE back <= 6)"
 D = "8.64e10"
+#: Events have no build-ups; their times make ramps of so many hours, their values the noise on them.
+RAMP = 60 * HOUR
+S_RAMP = S.replace("ts, value, epoch_us(ts) AS us", f"ts, 10.0::DOUBLE * (epoch_us(ts) % {RAMP})::DOUBLE / {RAMP}.0::DOUBLE + value / 50.0::DOUBLE AS value, epoch_us(ts) AS us")
+
+
+def ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).withColumn("value", 10.0 * F.pmod(micros("ts"), F.lit(RAMP)).cast("double") / float(RAMP) + F.col("value") / 50.0)
 
 
 @query(
-    f"""WITH RECURSIVE {EPISODES.replace(TOPS, TOPS_6, 1)}, {TROUGH}, ends AS (SELECT series_id, max(us) AS last_us FROM s GROUP BY ALL), lp AS (SELECT series_id, max(us) AS lp_us, count(*) AS n_peaks FROM tops GROUP BY ALL),
+    f"""WITH RECURSIVE {EPISODES.replace(TOPS, TOPS_6, 1).replace(S, S_RAMP, 1)}, {TROUGH}, ends AS (SELECT series_id, max(us) AS last_us FROM s GROUP BY ALL), lp AS (SELECT series_id, max(us) AS lp_us, count(*) AS n_peaks FROM tops GROUP BY ALL),
 rise AS (SELECT *, count(*) OVER w AS n, sum((us >= last_us - {168 * HOUR})::INT) OVER w AS recent, row_number() OVER (PARTITION BY series_id ORDER BY us DESC, event_id DESC) AS back FROM s JOIN tr USING (series_id) JOIN ends USING (series_id) WHERE us >= t_us WINDOW w AS (PARTITION BY series_id)),
 used AS (SELECT * FROM epi WHERE place <= 6), erow AS (SELECT r.*, u.t_us, u.t_v FROM rows_in r JOIN used u USING (series_id, prev, cur) WHERE r.us >= u.t_us),
 points AS (SELECT series_id, 'trend' AS fit, '' AS part, us / {D} AS x, value AS y FROM tops UNION ALL SELECT series_id, 'linear_naive', '', us / {D}, value FROM rise WHERE n >= 12
@@ -577,11 +584,48 @@ SELECT series_id, model_id, round(day, 3) AS next_day, round(value, 3) AS value
 )
 def line_model_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five models of lines, from mergeable sums, on the recent peaks of each series."""
-    s = samples(spark, sf_dir)
+    s = ramps(spark, sf_dir)
     out = line_fits.line_forecasts(s, half_day_peaks(s), SERIES, recent_peaks=6)
     return out.select("series_id", "model_id", F.round(micros("next_ts") / float(DAY), 3).alias("next_day"), F.round("value", 3).alias("value"))
 
 
+@query(
+    f"""WITH RECURSIVE {TOPS_6.replace(S, S_RAMP, 1)}, {TROUGH}, ends AS (SELECT series_id, greatest(max(s.us), any_value(p_us)) / {D} AS since FROM s JOIN lastp USING (series_id) GROUP BY ALL),
+trend AS (SELECT series_id, regr_slope(value, us / {D} - since) AS m, regr_intercept(value, us / {D} - since) AS b FROM tops JOIN ends USING (series_id) GROUP BY ALL HAVING count(*) >= 2),
+rise AS (SELECT series_id, shape, value, CASE shape WHEN 'root' THEN sqrt(greatest(h, 1e-3)) ELSE 1 - exp(-h / 120.0) END AS f FROM (SELECT s.series_id, s.value, (s.us - t_us) / 3.6e9 AS h FROM s JOIN tr USING (series_id) WHERE us >= t_us), (VALUES ('root'), ('saturating')) v(shape)),
+fit AS (SELECT series_id, shape, regr_slope(value, f) AS a, regr_intercept(value, f) AS c FROM rise GROUP BY ALL HAVING count(*) >= 12),
+all_of AS (SELECT series_id, shape, a, c, m, b, (since - t_us / {D}) * 24 AS h0 FROM fit JOIN tr USING (series_id) JOIN ends USING (series_id) JOIN trend USING (series_id)),
+scan AS (SELECT *, c + a * CASE shape WHEN 'root' THEN sqrt(greatest(h0 + 24.0 * k, 1e-3)) ELSE 1 - exp(-(h0 + 24.0 * k) / 120.0) END - (m * k + b) AS gap FROM all_of, range(91) r(k)),
+hits AS (SELECT series_id, shape, min(k) AS k, arg_min(gap, k) AS gap FROM (SELECT *, lead(gap) OVER (PARTITION BY series_id, shape ORDER BY k) AS after FROM scan) WHERE gap = 0 OR gap * after < 0 GROUP BY ALL),
+bis(n, series_id, shape, low, high) AS (SELECT 0, series_id, shape, k::DOUBLE, k + 1.0::DOUBLE FROM hits
+  UNION ALL SELECT n + 1, series_id, shape, CASE WHEN before THEN mid ELSE low END, CASE WHEN before THEN high ELSE mid END
+  FROM (SELECT n, series_id, shape, low, high, mid, (c + a * CASE shape WHEN 'root' THEN sqrt(greatest(h0 + 24.0 * mid, 1e-3)) ELSE 1 - exp(-(h0 + 24.0 * mid) / 120.0) END - (m * mid + b)) * hits.gap > 0 AS before
+    FROM (SELECT *, (low + high) / 2 AS mid FROM bis WHERE n < 40) JOIN all_of USING (series_id, shape) JOIN hits USING (series_id, shape))),
+met AS (SELECT series_id, shape, day, m * day + b AS value FROM (SELECT series_id, shape, (low + high) / 2 AS day, m, b FROM bis JOIN all_of USING (series_id, shape) WHERE n = 40))
+SELECT series_id, shape, round(CASE WHEN abs(value) < 50 THEN day END, 4) AS days_ahead, round(CASE WHEN abs(value) < 50 THEN value END, 4) AS value FROM all_of LEFT JOIN met USING (series_id, shape)"""
+)
+def curve_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the rise since the trough, as a root or a saturating curve of time, meets the trend through the last peaks."""
+    s = ramps(spark, sf_dir)
+    tops = windows.newest(half_day_peaks(s), SERIES, 6, F.desc("ts"))
+    day = lambda c: micros(c) / float(DAY)
+    trough = peaks.current_trough(s, tops, SERIES)
+    ends = s.groupBy("series_id").agg(F.max("ts").alias("last")).join(tops.groupBy("series_id").agg(F.max("ts").alias("top")), "series_id").select("series_id", F.greatest(day("last"), day("top")).alias("since"))
+    after = day("ts") - F.col("since")
+    trend = tops.join(ends, "series_id").groupBy("series_id").agg(F.regr_slope(F.col("value"), after).alias("m"), F.regr_intercept(F.col("value"), after).alias("b"), F.count("*").alias("n_tops")).filter("n_tops >= 2")
+    hours = F.timestamp_diff("MICROSECOND", "trough_ts", "ts") / float(HOUR)
+    rise = s.join(trough.select("series_id", "trough_ts"), "series_id").filter("ts >= trough_ts").withColumn("h", hours)
+    shapes = {"root": lambda h: F.sqrt(F.greatest(h, F.lit(1e-3))), "saturating": lambda h: 1 - F.exp(-h / 120.0)}
+    out = None
+    for shape, f in shapes.items():
+        fit = rise.withColumn("f", f(F.col("h"))).groupBy("series_id", "trough_ts").agg(F.regr_slope("value", "f").alias("a"), F.regr_intercept("value", "f").alias("c"), F.count("*").alias("n")).filter("n >= 12")
+        both = fit.join(ends, "series_id").join(trend, "series_id").withColumn("h0", (F.col("since") - day("trough_ts")) * 24)
+        hit = state.curve_crossing(lambda x, f=f: F.col("c") + F.col("a") * f(F.col("h0") + 24.0 * x), lambda x: F.col("m") * x + F.col("b"), F.lit(0.0))
+        rows = both.withColumn("hit", hit).select("series_id", F.lit(shape).alias("shape"), F.round("hit.day", 4).alias("days_ahead"), F.round("hit.value", 4).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query()
 def model_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves and trends of the recent peaks' models with their ribbons."""

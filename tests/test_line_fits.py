@@ -93,3 +93,23 @@ def test_episodes_behind_many_short_intervals_still_count(spark):
     assert out.next_ts.notna().sum() >= 2 and not out.note.str.contains("too few").any(), out.note.tolist()
     whole = forecast._runs(rows, tops, S, ["linear_hist"], None, p, lambda key, m, f: [(*key, f.day)], "series_id int, day double", bounded=True).first()
     assert abs(whole.day - (out.next_ts[out.model_id == "linear_hist"].iloc[0] - pd.Timestamp(0)).total_seconds() / 86400) < 1e-6
+
+
+def test_curve_crossings_in_the_jvm_are_those_on_arrays(spark):
+    from strandline.functions.robust import curve_crossing
+    from strandline.operators import state
+
+    draw = np.random.default_rng(12)
+    rows = [(k, float(a), float(c), float(m), float(b), float(s)) for k, (a, c, m, b, s) in enumerate(zip(draw.normal(0, 2, 80), draw.normal(0, 5, 80), draw.normal(0, 0.2, 80), draw.normal(3, 5, 80), draw.uniform(0, 50, 80), strict=True))]
+    rows += [(80, 1.0, 0.0, 0.0, 3.0, 0.0), (81, 0.0, 1.0, 0.0, 1.0, 4.0), (82, 9.0, 0.0, 0.0, 60.0, 0.0)]  # meets on a step, is the trend, meets too high
+    frame = spark.createDataFrame(rows, "k int, a double, c double, m double, b double, s double")
+    hit = state.curve_crossing(lambda x: F.col("a") * F.sqrt(x) + F.col("c"), lambda x: F.col("m") * x + F.col("b"), F.col("s"))
+    got = {r.k: r.hit for r in frame.withColumn("hit", hit).collect()}
+    met = 0
+    for k, a, c, m, b, s in rows:
+        want = curve_crossing(lambda x: a * np.sqrt(x) + c, lambda x: m * x + b, s)
+        assert (got[k] is None) == (want is None), k
+        if want:
+            met += 1
+            assert abs(got[k].day - want[0]) < 1e-9 and abs(got[k].value - want[1]) < 1e-9
+    assert met > 12
