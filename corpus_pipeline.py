@@ -50,7 +50,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing sources to target weights", mix),
 ]
 
-#: Learnt scores, hashes of shingles and BM25 scores are beyond SQL; the tests hold each stage against brute force.
+#: Learnt scores, hashes of shingles and BM25 scores are beyond SQL. The tests hold the first two stages against brute force
+#: and look for what the others must leave; each stage's operator has tests of its own.
 ORACLE_SQL: str | None = None
 
 
