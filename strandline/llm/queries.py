@@ -98,7 +98,34 @@ f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
 SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM p LEFT JOIN f USING (h)
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS letters FROM conversations),
+keyed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT FOR c IN letters]), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT) % 20 AS kind FROM raw),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, left(role, 1) AS initial FROM damaged),
+judged AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+marked AS (SELECT conv_id, i, initial, coalesce(fault IN ('blank', 'duplicate'), FALSE) AS must_go, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM judged),
+ins(st, went, c, a) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (2, 3, 5, 'I'), (3, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II'), (2, 2, 10, 'II'), (3, 3, 10, 'II')),
+act(was, wanted, now, c, e) AS (VALUES (0, '', 0, 2, 'D'), (1, '', 1, 2, 'D'), (2, '', 2, 2, 'D'), (3, '', 3, 2, 'D'), (0, '', 2, 1, 'R'), (1, '', 2, 1, 'R'), (2, '', 3, 1, 'R'), (3, '', 2, 1, 'R'), (0, 's', 1, 0, 'K'), (0, 'u', 2, 0, 'K'), (1, 'u', 2, 0, 'K'), (3, 'u', 2, 0, 'K'), (2, 'a', 3, 0, 'K')),
+lo(conv_id, i, st, cost, audit) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0, 0, '' FROM marked
+  UNION ALL SELECT conv_id, i, st, min(cost), arg_min(audit, (cost, audit)) FROM (
+    SELECT l.conv_id, m.i, act.now AS st, l.cost + ins.c + act.c + CASE WHEN act.e = 'D' THEN 0 ELSE m.extra END AS cost, l.audit || ins.a || act.e AS audit
+    FROM lo l JOIN ins ON ins.st = l.st JOIN act ON act.was = ins.went JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i + 1
+    WHERE (act.e = 'D' OR NOT m.must_go) AND (act.e <> 'K' OR act.wanted = m.initial)) GROUP BY conv_id, i, st),
+best AS (SELECT l.conv_id, min(l.cost + ins.c) AS cost, arg_min(l.audit || ins.a, (l.cost + ins.c, l.audit || ins.a)) AS audit
+  FROM lo l JOIN ins ON ins.st = l.st AND ins.went IN (0, 3) JOIN (SELECT conv_id, max(i) AS n FROM marked GROUP BY conv_id) z ON z.conv_id IS NOT DISTINCT FROM l.conv_id AND z.n = l.i GROUP BY l.conv_id),
+steps AS (SELECT conv_id, unnest(range(1, len(audit) + 1)) AS j, audit FROM best),
+edits AS (SELECT conv_id, j, audit[j] AS e, len(replace(audit[1:j], 'I', '')) AS i, len(replace(audit[1:j], 'D', '')) AS o FROM steps),
+rows_of AS (SELECT d.conv_id, d.j, d.e, d.o, p.role, p.text, p.initial FROM edits d LEFT JOIN placed p ON p.conv_id IS NOT DISTINCT FROM d.conv_id AND p.i = d.i AND d.e <> 'I' WHERE d.e <> 'D'),
+named AS (SELECT *, o - max(CASE WHEN o = 1 AND e = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS turn_of FROM rows_of),
+digest AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN turn_of % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h FROM named GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN digest ON digest.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others learn, hash or align in ways beyond SQL; the tests hold them against brute force."""
-    return {"op5_mixture": OP5_SQL, "op8_warc": OP8_SQL}
+    return {"op5_mixture": OP5_SQL, "op8_warc": OP8_SQL, "op12_conversation_repair": OP12_SQL}
