@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import floor_us
+from strandline.operators.scans import cut
 from strandline.params import DEFAULTS
 
 
@@ -160,7 +161,7 @@ def prominences(grid: DataFrame, tops: DataFrame, keys: list[str], chunk: int =
         return done.assign(left_low=done["us"].map(lows["left"]), right_low=done["us"].map(lows["right"]))[[*keys, "us", "value", "left_low", "right_low"]]
 
     both = grid.select(*keys, "us", "value", F.lit(0).alias("side")).unionByName(tops.select(*keys, "us", "value", F.lit(1).alias("side")))
-    chunked = both.withColumn("chunk_", floor_us(F.col("us"), chunk)).groupBy(*keys, "chunk_").applyInPandas(within, f"{kinds}, chunk_ long, {of_top}, {of_chunk}")
+    chunked = cut(both.withColumn("chunk_", floor_us(F.col("us"), chunk)).groupBy(*keys, "chunk_").applyInPandas(within, f"{kinds}, chunk_ long, {of_top}, {of_chunk}"))
     inner = chunked.filter("us IS NOT NULL AND left_seen AND right_seen").select(*keys, "us", "value", "left_low", "right_low")
     outer = chunked.filter("us IS NULL OR NOT left_seen OR NOT right_seen").groupBy(*keys).applyInPandas(along, f"{kinds}, us long, value double, left_low double, right_low double")
     return inner.unionByName(outer).select(*keys, "us", "value", (F.col("value") - F.greatest("left_low", "right_low")).alias("prominence"))
