@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.timebuckets import from_micros, micros, round_us
+from strandline.functions.timebuckets import DAY, HOUR, from_micros, micros, round_us
 from strandline.operators.joins import close_neighbours, nearest_within
+from strandline.operators.windows import ranges
 from strandline.params import DEFAULTS, Params
 
 MODE_WIDTH = 0.2
@@ -116,25 +117,16 @@ def contamination_rounds(archive: DataFrame, merged: DataFrame, series: list[str
     First the bucket's merged value (``merged``: series, bucket, value); then, for rows without one, rounds against the
     median of the rows not yet flagged: over 6 hours to both sides where nothing lies within 30 minutes, else over a day.
     """
-    from pyspark.sql import Window
-
-    from strandline.functions.timebuckets import DAY, HOUR
-
     truth = merged.select(*series, "bucket", F.col("value").alias("truth"))
-    rows = bucketed(archive).join(truth, [*series, "bucket"], "left").withColumn("us", micros("ts"))
+    rows = bucketed(archive).join(truth, [*series, "bucket"], "left")
     rows = rows.withColumn("flag", F.when(F.abs(F.col("value") - F.col("truth")) > limit, 1).otherwise(0))
-    over = lambda span: Window.partitionBy(*series).orderBy("us").rangeBetween(-span, span)
-    active = F.when(F.col("flag") == 0, F.col("value"))
     for r in range(rounds):
-        rows = rows.withColumns({
-            "n_close": F.count(active).over(over(DEFAULTS.neighbour)) - F.when(F.col("flag") == 0, 1).otherwise(0),
-            "n6": F.count(active).over(over(6 * HOUR)),
-            "m6": F.percentile(active, F.lit(0.5)).over(over(6 * HOUR)),
-            "n24": F.count(active).over(over(DAY)),
-            "m24": F.percentile(active, F.lit(0.5)).over(over(DAY)),
-        })
-        alone = F.col("n_close") == 0
-        n, m, far = F.when(alone, F.col("n6")).otherwise(F.col("n24")), F.when(alone, F.col("m6")).otherwise(F.col("m24")), F.when(alone, near_limit).otherwise(limit)
-        orphan = F.col("truth").isNull() & (F.col("flag") == 0) & (n >= 3) & (F.abs(F.col("value") - m) > far)
-        rows = rows.withColumn("flag", F.when(orphan, r + 2).otherwise(F.col("flag"))).drop("n_close", "n6", "m6", "n24", "m24")
+        active = F.when(F.col("flag") == 0, F.col("value"))
+        rows = ranges(rows, series, active, [DEFAULTS.neighbour, 6 * HOUR, DAY])
+        itself = F.when(active.isNotNull(), 1).otherwise(0)
+        alone = F.col("near")[0]["n_values"] - itself == 0
+        wide = lambda field: F.when(alone, F.col("near")[1][field]).otherwise(F.col("near")[2][field])  # noqa: B023, E731
+        far = F.abs(F.col("value") - wide("median")) > F.when(alone, near_limit).otherwise(limit)
+        orphan = F.col("truth").isNull() & (F.col("flag") == 0) & (wide("n_values") >= 3) & far
+        rows = rows.withColumn("flag", F.when(orphan, r + 2).otherwise(F.col("flag"))).drop("near")
     return rows.filter("flag > 0").select(*series, "ts", "event_id", "value", "flag")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.timebuckets import HOUR, micros
 from strandline.params import DEFAULTS, Params
@@ -68,10 +74,76 @@ def gradient(samples: DataFrame, keys: list[str]) -> DataFrame:
     return near.withColumn("gradient", slope).drop("h", "hb", "ha", "vb", "va")
 
 
-def around(samples: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """``near_rows`` and ``near_median`` over ``span`` microseconds to both sides, the row itself included."""
-    w = Window.partitionBy(*keys).orderBy("us").rangeBetween(-span, span)
-    return samples.withColumn("us", micros("ts")).withColumns({"near_rows": F.count("*").over(w), "near_median": F.percentile("value", F.lit(0.5)).over(w)}).drop("us")
+def _frames(us: np.ndarray, values: pa.ChunkedArray, span: int, asked: np.ndarray) -> tuple[list, list, list]:
+    """Rows, known values and their median within ``span`` of each row asked for; ``us`` ascends.
+
+    The frame moves along once: values enter and leave a sorted list of their ranks.
+    """
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    numbers = values.cast(pa.float64()).fill_null(0.0).to_numpy()
+    order = np.argsort(np.where(known, numbers, np.inf), kind="stable")  # NaN comes last, as in Spark
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    first, behind = np.searchsorted(us, us - span, "left").tolist(), np.searchsorted(us, us + span, "right").tolist()
+    rank, known, by_rank = rank.tolist(), known.tolist(), numbers[order].tolist()
+    frame: list[int] = []
+    rows, counts, medians = [], [], []
+    low = high = 0
+    for i in np.flatnonzero(asked).tolist():
+        while high < behind[i]:
+            if known[high]:
+                insort(frame, rank[high])
+            high += 1
+        while low < first[i]:
+            if known[low]:
+                del frame[bisect_left(frame, rank[low])]
+            low += 1
+        n = len(frame)
+        rows.append(high - low)
+        counts.append(n)
+        medians.append(0.5 * by_rank[frame[(n - 1) // 2]] + 0.5 * by_rank[frame[n // 2]] if n else None)
+    return rows, counts, medians
+
+
+def ranges(samples: DataFrame, keys: list[str], value: Column, spans: list[int], chunk: int = DEFAULTS.chunk) -> DataFrame:
+    """``samples`` with ``near``: for each of ``spans`` (microseconds to both sides) a struct of n_rows, n_values and median.
+
+    The row itself counts, as do others of its time; nulls of ``value`` are rows without a value, and no value has a null
+    median. Null keys are a key of their own. A row without a time has a null ``near`` and is in nobody's. A series is
+    scanned in chunks of time, each with the rows of its neighbours that its own rows see: no frame is built anew for a
+    row, and one long series is shared by all tasks.
+    """
+    widest = max(spans)
+    width = max(chunk, widest)
+    at = lambda us: F.expr(f"({us} - pmod({us}, {width}L)) div {width}L")
+    # Rows without a time need no company: they are spread, whatever their number.
+    alone = F.array(F.pmod(F.xxhash64(*samples.columns), F.lit(64)))
+    marked = samples.withColumns({"value_": value.cast("double"), "us_": micros("ts")})
+    marked = marked.withColumns({"low_": F.col("us_") - widest, "high_": F.col("us_") + widest})
+    spread = marked.withColumn("chunk_", F.explode(F.when(F.col("us_").isNull(), alone).otherwise(F.sequence(at("low_"), at("high_"))))).withColumn("own_", F.col("us_").isNull() | (at("us_") == F.col("chunk_"))).drop("low_", "high_")
+    kept = samples.columns
+    near = "array<struct<n_rows:long,n_values:long,median:double>>"
+    shape = pa.list_(pa.struct([("n_rows", pa.int64()), ("n_values", pa.int64()), ("median", pa.float64())]))
+
+    def scan(rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.or_(rows["own_"], pc.is_valid(rows["us_"])))
+        timed = rows.filter(pc.is_valid(rows["us_"])).sort_by("us_")
+        asked = timed["own_"].to_numpy(zero_copy_only=False)
+        us = timed["us_"].cast(pa.int64()).to_numpy()
+        found = [_frames(us, timed["value_"], span, asked) for span in spans]
+        each = [[{"n_rows": r, "n_values": n, "median": m} for r, n, m in zip(*f, strict=True)] for f in found]
+        own = timed.filter(timed["own_"]).select(kept).append_column("near", pa.array([list(row) for row in zip(*each, strict=True)], shape))
+        rest = rows.filter(pc.is_null(rows["us_"])).select(kept)
+        return pa.concat_tables([own, rest.append_column("near", pa.nulls(rest.num_rows, shape))])
+
+    schema = T.StructType([*samples.schema.fields, T.StructField("near", T._parse_datatype_string(near))])
+    return spread.groupBy(*keys, "chunk_").applyInArrow(scan, schema)
+
+
+def around(samples: DataFrame, keys: list[str], span: int, chunk: int = DEFAULTS.chunk) -> DataFrame:
+    """``near_rows`` and ``near_median`` over ``span`` microseconds to both sides, the row itself included; null without a time."""
+    near = F.col("near")[0]
+    return ranges(samples, keys, F.col("value"), [span], chunk).withColumns({"near_rows": near["n_rows"], "near_median": near["median"]}).drop("near")
 
 
 def trailing(samples: DataFrame, keys: list[str], span: int) -> DataFrame:
