@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import DAY, HOUR, from_micros, micros
-from strandline.operators import archive, reconcile, state, text, windows
+from strandline.operators import archive, reconcile, state, text, trace, windows
 from strandline.plans.queries import KEYS, SERIES, B, S, live_and_archive, r6, samples
 from strandline.sources import history
 from strandline.streaming import pipelines
@@ -193,3 +193,58 @@ def archive_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def promotion_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, old = live_and_archive(samples(spark, sf_dir))
     return archive.promotion_report(live.filter("source = 'click'"), live, old, SERIES)
+
+
+# Plots made of the events: a plot per series and source, 120 columns wide (errors 1 000, too many to be covered) and 300
+# rows high, of 30 days; a saw of two rows a column, up to nine rows thick, with a stray dot for every 97th event.
+FROM_US = 1704067200000000
+SPAN_US = 30 * DAY
+LIT = f"""{S}, pl AS (SELECT DISTINCT series_id, source, CASE WHEN source = 'error' THEN 1000 ELSE 120 END AS w, CASE WHEN source = 'click' THEN -1.0::DOUBLE ELSE -0.125::DOUBLE END AS slope FROM s),
+placed AS (SELECT s.*, w, slope, ((us - {FROM_US}) * w) // {SPAN_US} AS x FROM s JOIN pl USING (series_id, source)),
+px AS (SELECT series_id, source, w, slope, x, (x * 2) % 200 + floor(value * 10)::BIGINT % 9 + CASE WHEN event_id % 97 = 0 THEN 90 ELSE 0 END AS y FROM placed WHERE event_id % 36 <= 30 AND event_id % 17 > 0 AND us >= {FROM_US}),
+lit AS (SELECT DISTINCT * FROM px WHERE x < w AND y BETWEEN 0 AND 299 AND NOT (x >= 6 AND x < 164 AND y >= 6 AND y < 44)),
+cols AS (SELECT series_id, source, w, slope, x, count(*) AS n, median(y)::DOUBLE AS mid, min(y)::DOUBLE AS top, max(y)::DOUBLE AS bot FROM lit GROUP BY ALL),
+cov AS (SELECT *, count(*) OVER (PARTITION BY series_id, source) / w AS coverage FROM cols),
+early AS (SELECT *, CASE WHEN coverage < 0.5 THEN 'uncovered' WHEN n > 8 THEN 'wide' END AS early FROM cov),
+ok AS (SELECT *, row_number() OVER (PARTITION BY series_id, source ORDER BY x) AS k FROM early WHERE early IS NULL),
+tr AS (SELECT series_id, source, k, mid AS r FROM ok WHERE k = 1
+  UNION ALL SELECT ok.series_id, ok.source, ok.k, CASE WHEN n <= 3 THEN mid WHEN abs(top - r) > abs(bot - r) THEN top ELSE bot END FROM tr JOIN ok ON ok.series_id = tr.series_id AND ok.source = tr.source AND ok.k = tr.k + 1),
+dat AS (SELECT ok.*, r, round({FROM_US} + x::DOUBLE / w * {SPAN_US})::BIGINT AS us, slope * (20 + r) + 60 AS value FROM ok JOIN tr USING (series_id, source, k)),
+gap AS (SELECT *, floor((us - lag(us) OVER o) / 1e6) AS sec, abs(value - lag(value) OVER o) AS step FROM dat WINDOW o AS (PARTITION BY series_id, source ORDER BY us)),
+st AS (SELECT *, coalesce(step / (CASE WHEN sec <= 0 THEN 60.0 ELSE sec END / 3600.0) > 15.0, FALSE) AS steep FROM gap),
+mk AS (SELECT *, steep OR coalesce(lead(steep) OVER (PARTITION BY series_id, source ORDER BY us), FALSE) AS marked FROM st),
+rt AS (SELECT *, marked AND avg(marked::INT) OVER (PARTITION BY series_id, source) <= 0.2 AS rate FROM mk),
+md AS (SELECT *, median(value) OVER f AS m, count(*) OVER f AS near, count(*) OVER (PARTITION BY series_id, source, rate) AS many FROM rt WINDOW f AS (PARTITION BY series_id, source, rate ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+tv AS (SELECT series_id, source, x, r, us, value, CASE WHEN rate THEN 'rate' WHEN many >= 10 AND near >= 3 AND abs(value - m) > 4.0 THEN 'outlier' ELSE 'kept' END AS late FROM md),
+traced AS (SELECT early.series_id, early.source, early.x, n, coverage, r, us, value, coalesce(early, late) AS verdict FROM early LEFT JOIN tv USING (series_id, source, x))"""
+
+
+def plotted(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pixels and plots as above."""
+    width = F.when(F.col("source") == "error", 1000).otherwise(120)
+    pixels = s.withColumns({"us": micros("ts"), "w": width}).withColumn("x", F.floor((F.col("us") - FROM_US) * F.col("w") / F.lit(SPAN_US)).cast("long"))
+    stray = F.when(F.pmod("event_id", F.lit(97)) == 0, 90).otherwise(0)
+    pixels = pixels.select(
+        *KEYS, (F.col("x") + 75).alias("px"), (20 + F.pmod(F.col("x") * 2, F.lit(200)) + F.pmod(F.floor(F.col("value") * 10), F.lit(9)) + stray).alias("py"),
+        (100 + F.pmod("event_id", F.lit(36))).alias("hue"), F.when(F.pmod("event_id", F.lit(17)) == 0, 90).otherwise(200).alias("saturation"), F.lit(180).alias("brightness"),
+    )
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    plots = s.select(*KEYS).distinct().select(
+        *KEYS, F.lit(75).alias("x0"), F.lit(20).alias("y0"), (75 + width).alias("x1"), F.lit(320).alias("y1"),
+        F.when(F.col("source") == "click", -1.0).otherwise(-0.125).alias("slope"), F.lit(60.0).alias("intercept"),
+        start.alias("start_ts"), (start + F.expr("INTERVAL 30 DAYS")).alias("end_ts"),
+    )
+    return pixels, plots
+
+
+@query(f'WITH RECURSIVE {LIT} SELECT series_id, source, x, n::INTEGER AS n_lit, r AS "row", make_timestamp(us) AS ts, value, verdict FROM traced')
+def curve_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lit column of every plot with the row that the curve takes there and what becomes of it."""
+    out = trace.trace(*plotted(samples(spark, sf_dir)), KEYS)
+    return out.select(*KEYS, "x", "n_lit", "row", F.when(F.col("row").isNotNull(), F.col("ts")).alias("ts"), "value", "verdict")
+
+
+@query(f"WITH RECURSIVE {LIT} SELECT series_id, source, round(max(coverage), 6) AS coverage, count(*) FILTER (verdict IN ('rate', 'outlier', 'kept')) AS rows_raw, count(*) FILTER (verdict = 'wide') AS columns_dropped_width, count(*) FILTER (verdict = 'rate') AS rows_dropped_rate, count(*) FILTER (verdict = 'outlier') AS rows_dropped_outlier, count(*) FILTER (verdict = 'kept') AS rows_kept, count(*) FILTER (verdict IN ('rate', 'outlier', 'kept')) = 0 AS rejected FROM traced GROUP BY ALL")
+def trace_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, plots = plotted(samples(spark, sf_dir))
+    return trace.report(trace.trace(pixels, plots, KEYS), plots, KEYS).withColumn("coverage", r6("coverage"))
