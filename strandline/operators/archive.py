@@ -116,17 +116,20 @@ def contamination_rounds(archive: DataFrame, merged: DataFrame, series: list[str
 
     First the bucket's merged value (``merged``: series, bucket, value); then, for rows without one, rounds against the
     median of the rows not yet flagged: over 6 hours to both sides where nothing lies within 30 minutes, else over a day.
+    Returns series, ts, event_id, value, flag (1, then a number for each round), the ``reference`` that the value was held
+    against, and whether the row stood ``alone``.
     """
     truth = merged.select(*series, "bucket", F.col("value").alias("truth"))
     rows = bucketed(archive).join(truth, [*series, "bucket"], "left")
-    rows = rows.withColumn("flag", F.when(F.abs(F.col("value") - F.col("truth")) > limit, 1).otherwise(0))
+    wrong = F.abs(F.col("value") - F.col("truth")) > limit
+    rows = rows.withColumns({"flag": F.when(wrong, 1).otherwise(0), "reference": F.when(wrong, F.col("truth")), "alone": F.lit(False)})
     for r in range(rounds):
         active = F.when(F.col("flag") == 0, F.col("value"))
         rows = ranges(rows, series, active, [DEFAULTS.neighbour, 6 * HOUR, DAY])
-        itself = F.when(active.isNotNull(), 1).otherwise(0)
-        alone = F.col("near")[0]["n_values"] - itself == 0
+        alone = F.col("near")[0]["n_values"] - F.when(active.isNotNull(), 1).otherwise(0) == 0
         wide = lambda field: F.when(alone, F.col("near")[1][field]).otherwise(F.col("near")[2][field])  # noqa: B023, E731
         far = F.abs(F.col("value") - wide("median")) > F.when(alone, near_limit).otherwise(limit)
         orphan = F.col("truth").isNull() & (F.col("flag") == 0) & (wide("n_values") >= 3) & far
-        rows = rows.withColumn("flag", F.when(orphan, r + 2).otherwise(F.col("flag"))).drop("near")
-    return rows.filter("flag > 0").select(*series, "ts", "event_id", "value", "flag")
+        new = {"flag": F.lit(r + 2), "reference": wide("median"), "alone": alone}
+        rows = rows.withColumns({c: F.when(orphan, to).otherwise(F.col(c)) for c, to in new.items()}).drop("near")
+    return rows.filter("flag > 0").select(*series, "ts", "event_id", "value", "flag", "reference", "alone")

@@ -449,3 +449,24 @@ def best_models(stats: DataFrame, order: list[str] | None = None, p: Params = DE
     w = Window.partitionBy("fraction").orderBy("median_abs", place, "model_id")
     fit = stats.filter((F.col("coverage") >= p.coverage) & F.col("median_abs").isNotNull())
     return fit.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
+
+
+def models_by_stage(stats: DataFrame, order: list[str] | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """The comparison tables: fraction, place, model_id, coverage ('scored/tasks'), median_abs, median_signed, mean_signed, recommended.
+
+    Models stand by their median absolute error, those that cover too little or have none last, ties as registered.
+    The first of a fraction is recommended, unless it covers too little.
+    """
+    names = order or list_models()
+    listed = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col("model_id")), F.lit(len(names) + 1))
+    fit = (F.col("coverage") >= p.coverage) & F.col("median_abs").isNotNull()
+    place = F.row_number().over(Window.partitionBy("fraction").orderBy(F.desc(fit), F.when(fit, F.col("median_abs")), listed, "model_id"))
+    cells = F.concat_ws("/", F.col("n_scored").cast("string"), F.col("n_tasks").cast("string"))
+    ranked = stats.withColumns({"place": place, "recommended": fit})
+    return ranked.select("fraction", "place", "model_id", cells.alias("coverage"), "median_abs", "median_signed", "mean_signed", (F.col("recommended") & (F.col("place") == 1)).alias("recommended"))
+
+
+def models_across_stages(stats: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """A row per model with its median absolute error at every fraction, in columns named by percent (at_25, ...)."""
+    at = {f"at_{round(100 * f)}": F.max(F.when(F.abs(F.col("fraction") - f) < 1e-9, F.col("median_abs"))) for f in p.fractions}
+    return stats.groupBy("model_id").agg(*[c.alias(name) for name, c in at.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import DAY, HOUR, epoch_days, from_micros, local_time, micros
-from strandline.operators import archive, forecast, joins, peaks, reconcile, state, text, windows
+from strandline.operators import archive, cleaning, forecast, joins, peaks, reconcile, state, text, windows
 from strandline.plans.queries import BACK, BACK_PARAMS, BETWEEN, KEYS, SERIES, SOURCES, TAGGED, TOPS, B, S, half_day_peaks, live_and_archive, prominent_half_days, r6, samples, sql_floor, sql_round
 from strandline.params import DEFAULTS
 
@@ -149,18 +149,50 @@ def archive_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round(before: str, name: str, flag: int) -> str:
     near = lambda f, hours: f"{f} OVER (PARTITION BY series_id ORDER BY us RANGE BETWEEN {int(hours * HOUR)} PRECEDING AND {int(hours * HOUR)} FOLLOWING)"
+    far = "truth IS NULL AND flag = 0 AND CASE WHEN n_close = 0 THEN n6 >= 3 AND abs(value - m6) > 2.5 ELSE n24 >= 3 AND abs(value - m24) > 3.0 END"
     return f"""{name}w AS (SELECT *, {near("count(act)", 0.5)} - (act IS NOT NULL)::INT AS n_close, {near("count(act)", 6)} AS n6, {near("median(act)", 6)} AS m6, {near("count(act)", 24)} AS n24, {near("median(act)", 24)} AS m24
-  FROM (SELECT series_id, ts, us, event_id, value, truth, flag, CASE WHEN flag = 0 THEN value END AS act FROM {before})),
-{name} AS (SELECT series_id, ts, us, event_id, value, truth, CASE WHEN truth IS NULL AND flag = 0 AND CASE WHEN n_close = 0 THEN n6 >= 3 AND abs(value - m6) > 2.5 ELSE n24 >= 3 AND abs(value - m24) > 3.0 END THEN {flag} ELSE flag END AS flag FROM {name}w)"""
+  FROM (SELECT *, CASE WHEN flag = 0 THEN value END AS act FROM {before})),
+{name} AS (SELECT series_id, ts, us, event_id, value, truth, CASE WHEN {far} THEN {flag} ELSE flag END AS flag, CASE WHEN {far} THEN CASE WHEN n_close = 0 THEN m6 ELSE m24 END ELSE ref END AS ref, CASE WHEN {far} THEN n_close = 0 ELSE alone END AS alone FROM {name}w)"""
 
 
+ARCHIVE_ROUNDS = f"""ar AS (SELECT e.*, {sql_round('us')} AS b_us FROM ({S[6:-1]}) e WHERE source = 'error'),
+r0 AS (SELECT ar.series_id, ts, ar.us, event_id, ar.value, m.value AS truth, CASE WHEN abs(ar.value - m.value) > 3.0 THEN 1 ELSE 0 END AS flag, CASE WHEN abs(ar.value - m.value) > 3.0 THEN m.value END AS ref, FALSE AS alone FROM ar LEFT JOIN merged m USING (series_id, b_us)),
+{_round('r0', 'r1', 2)}, {_round('r1', 'r2', 3)}"""
 LIVE = TAGGED.replace("AS us FROM events)", "AS us FROM events WHERE event_type <> 'error')", 1)
 
 
-@query(f"WITH {LIVE}, ar AS (SELECT e.*, {sql_round('us')} AS b_us FROM ({S[6:-1]}) e WHERE source = 'error'), r0 AS (SELECT ar.series_id, ts, ar.us, event_id, ar.value, m.value AS truth, CASE WHEN abs(ar.value - m.value) > 3.0 THEN 1 ELSE 0 END AS flag FROM ar LEFT JOIN merged m USING (series_id, b_us)), {_round('r0', 'r1', 2)}, {_round('r1', 'r2', 3)} SELECT series_id, ts, event_id, value, flag FROM r2 WHERE flag > 0")
+@query(f"WITH {LIVE}, {ARCHIVE_ROUNDS} SELECT series_id, ts, event_id, value, flag FROM r2 WHERE flag > 0")
 def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, old = live_and_archive(samples(spark, sf_dir))
-    return archive.contamination_rounds(old, reconcile.merge(live, SERIES, SOURCES), SERIES)
+    return archive.contamination_rounds(old, reconcile.merge(live, SERIES, SOURCES), SERIES).drop("reference", "alone")
+
+
+#: Sources but the anchor freed of outliers; what they merge to judges the archive.
+CLEAN = TAGGED.replace(S, f"""raw AS ({S[6:-1]}),
+roll AS (SELECT *, median(value) OVER f AS med, count(*) OVER f AS k, count(*) OVER (PARTITION BY series_id, source) AS n FROM raw WINDOW f AS (PARTITION BY series_id, source ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+flt AS (SELECT *, source NOT IN ('error', 'purchase') AND n >= 10 AND k >= 3 AND abs(value - med) > 4.0 AS dropped FROM roll),
+s AS (SELECT event_id, series_id, source, ts, value, us FROM flt WHERE source <> 'error' AND NOT dropped)""", 1)
+FOUND = f"""{CLEAN}, {ARCHIVE_ROUNDS},
+found AS (SELECT series_id, source, event_id, ts, value, med AS ref, 'outlier' AS reason FROM flt WHERE dropped
+  UNION ALL SELECT series_id, 'error', event_id, ts, value, ref, CASE WHEN flag = 1 THEN 'truth' WHEN alone THEN 'orphan-isolated' ELSE 'orphan' END FROM r2 WHERE flag > 0)"""
+
+
+def _found(s: DataFrame) -> DataFrame:
+    return cleaning.scan(s, SERIES, SOURCES, lambda live: reconcile.merge(live, SERIES, SOURCES))
+
+
+@query(f"WITH {FOUND} SELECT series_id, source, event_id, ts, value, round(ref, 6) AS reference, round(value - ref, 6) AS delta, reason FROM found")
+def cleaning_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(samples(spark, sf_dir)).withColumns({"reference": r6("reference"), "delta": r6("delta")})
+
+
+@query(f"""WITH {FOUND}, had AS (SELECT source, count(*) AS n_before FROM raw GROUP BY ALL), gone AS (SELECT source, count(*) AS n FROM found GROUP BY ALL)
+SELECT CASE WHEN source = 'error' THEN 2 ELSE 1 END::INTEGER AS section, source, NULL::TIMESTAMP AS ts, NULL::BIGINT AS event_id, '| ' || source || ' | ' || n_before || ' | ' || coalesce(n, 0) || ' |' AS line FROM had LEFT JOIN gone USING (source)
+UNION ALL SELECT CASE WHEN source = 'error' THEN 4 ELSE 3 END, source, ts, event_id, '| ' || source || ' | ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' | ' || printf('%+.2f', value) || ' | ' || reason || ' |' FROM found""")
+def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the report with what they are sorted by; of a finding's numbers the value, which is stored in hundredths."""
+    s = samples(spark, sf_dir)
+    return cleaning.report_lines(s, _found(s), SOURCES, numbers=("value",))
 
 
 @query(f"WITH {S}, w AS (SELECT *, median(value) OVER f AS med, count(*) OVER f AS k, count(*) OVER (PARTITION BY series_id, source) AS n FROM s WINDOW f AS (PARTITION BY series_id, source ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT series_id, source, count(*) AS n_before, count(*) FILTER (NOT (n >= 10 AND k >= 3 AND abs(value - med) > 4.0)) AS n_after FROM w GROUP BY ALL")
@@ -220,8 +252,19 @@ def backtest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
     tops = prominent_half_days(s)
     errors = forecast.backtest(s, tops, peaks.backtest_segments(s, tops, SERIES, BACK_PARAMS), SERIES, ["interval_median"], BACK_PARAMS)
-    wide = forecast.backtest_stats(errors).groupBy("model_id").pivot("fraction", [0.25, 0.5, 0.75, 1.0]).agg(F.round(F.max("median_abs"), 4))
-    return wide.toDF("model_id", "at_25", "at_50", "at_75", "at_100")
+    wide = forecast.models_across_stages(forecast.backtest_stats(errors))
+    return wide.select("model_id", *[F.round(c, 4).alias(c) for c in wide.columns[1:]])
+
+
+@query(f"""WITH {BACK}, st AS (SELECT fraction, count(error_h) AS n_scored, count(*) AS n_tasks, median(abs(error_h)) AS m, median(error_h) AS s, avg(error_h) AS a FROM err GROUP BY fraction)
+SELECT CAST(fraction AS DOUBLE) AS fraction, 1 AS place, 'interval_median' AS model_id, n_scored || '/' || n_tasks AS coverage, round(m, 4) AS median_abs, round(s, 4) AS median_signed, round(a, 4) AS mean_signed, n_scored >= 0.5 * n_tasks AND m IS NOT NULL AS recommended FROM st""")
+def backtest_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models of each stage, the most exact first, and which one is recommended there."""
+    s = samples(spark, sf_dir)
+    tops = prominent_half_days(s)
+    errors = forecast.backtest(s, tops, peaks.backtest_segments(s, tops, SERIES, BACK_PARAMS), SERIES, ["interval_median"], BACK_PARAMS)
+    table = forecast.models_by_stage(forecast.backtest_stats(errors))
+    return table.withColumns({c: F.round(c, 4) for c in ("median_abs", "median_signed", "mean_signed")})
 
 
 @query(f"WITH {S}, f AS (SELECT event_id, (us % {DAY}) / {float(DAY)} AS x FROM s) SELECT event_id, CASE WHEN x <= 0.375 THEN 0.25 WHEN x <= 0.625 THEN 0.5 WHEN x <= 0.875 THEN 0.75 ELSE 1.0 END::DOUBLE AS fraction FROM f")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.timebuckets import DAY, micros
+from strandline.operators import cleaning, reconcile
 from strandline.operators.scans import shared_dir
-from strandline.plans.queries import KEYS, SERIES, S, samples, sql_floor, sql_round
+from strandline.plans.queries import KEYS, SERIES, SOURCES, S, samples, sql_floor, sql_round
+from strandline.plans.report_queries import FOUND
 from strandline.sources import history
 from strandline.streaming import pipelines
 
@@ -127,3 +129,13 @@ def streamed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).withColumn("mean_value", F.round("mean_value", 9))
 
 
+
+
+@query(f"WITH {FOUND} SELECT r.series_id, r.source, count(*) AS n_rows, round(sum(r.value), 4) AS total FROM raw r ANTI JOIN found f ON r.series_id = f.series_id AND r.source = f.source AND r.event_id = f.event_id GROUP BY ALL")
+def cleaned_sources_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples stored by source, scanned, and rewritten without what was found."""
+    path = _folder(spark, "cleaned")
+    cleaning.store(samples(spark, sf_dir), path)
+    found = cleaning.scan(spark.read.parquet(path), SERIES, SOURCES, lambda live: reconcile.merge(live, SERIES, SOURCES))
+    cleaning.rewrite(spark, path, found, SERIES, SOURCES)
+    return spark.read.parquet(path).groupBy(*KEYS).agg(F.count("*").alias("n_rows"), F.round(F.sum("value"), 4).alias("total"))
