@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from strandline.functions.timebuckets import DAY, micros
 from strandline.operators import cleaning, reconcile
 from strandline.operators.scans import shared_dir
-from strandline.plans.queries import KEYS, SERIES, SOURCES, S, samples, sql_floor, sql_round
+from strandline.plans.queries import EPISODES, KEYS, SERIES, SOURCES, S, samples, sql_floor, sql_round
 from strandline.plans.report_queries import FOUND
 from strandline.sources import history
 from strandline.streaming import pipelines
+from strandline.streaming.episodes import closed_episodes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -139,3 +140,17 @@ def cleaned_sources_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cleaning.scan(spark.read.parquet(path), SERIES, SOURCES, lambda live: reconcile.merge(live, SERIES, SOURCES))
     cleaning.rewrite(spark, path, found, SERIES, SOURCES)
     return spark.read.parquet(path).groupBy(*KEYS).agg(F.count("*").alias("n_rows"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"WITH {EPISODES} SELECT series_id, make_timestamp(prev) AS prev_ts, make_timestamp(cur) AS end_ts, make_timestamp(t_us) AS trough_ts, t_v AS trough_value, n_rows FROM epi")
+def streamed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes that a stream closes while the first and then the second half of the days arrives; a row of 2100 ends all days."""
+    path, s = _folder(spark, "episodes"), samples(spark, sf_dir)
+    half = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    end = s.limit(1).withColumns({"series_id": F.lit(-1), "ts": F.lit("2100-01-01").cast("timestamp_ntz"), "value": F.lit(0.0)})
+    for rows in (s.filter(half), s.filter(~half), end):
+        rows.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(s.schema).parquet(f"{path}/in")
+        closed = closed_episodes(stream, SERIES)
+        closed.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
