@@ -14,6 +14,7 @@ from strandline.operators.scans import shared_dir
 from strandline.plans.queries import EPISODES, KEYS, SERIES, SOURCES, S, samples, sql_floor, sql_round
 from strandline.plans.report_queries import FOUND
 from strandline.sources import history
+from strandline.sources.run_source import append_runs, read_runs
 from strandline.streaming import pipelines
 from strandline.streaming.episodes import closed_episodes
 
@@ -154,3 +155,17 @@ def streamed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         closed = closed_episodes(stream, SERIES)
         closed.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+@query(f"""WITH {S}, d AS (SELECT {sql_floor('us', DAY)} AS day, source, count(*)::INTEGER AS n FROM s GROUP BY ALL), r AS (SELECT day, row_number() OVER (ORDER BY day DESC) AS k FROM (SELECT DISTINCT day FROM d))
+SELECT strftime(make_timestamp(day), '%Y-%m-%d') AS run, source AS source_name, n AS rows_raw FROM d JOIN r USING (day) WHERE k <= 3""")
+def newest_runs_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report per day through the data source of run reports, in two appends; only the newest three files are opened."""
+    path = _folder(spark, "runs")
+    daily = samples(spark, sf_dir).groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("run_started_at_utc"), "source").agg(F.count("*").cast("int").alias("n"))
+    per_source = F.collect_list(F.struct(F.col("source").alias("source_name"), F.lit(True).alias("fetched"), F.col("n").alias("rows_raw")))
+    reports = daily.groupBy("run_started_at_utc").agg(F.lit(2).alias("schema_version"), per_source.alias("per_source"))
+    for rest in (0, 1):
+        append_runs(reports.filter(F.pmod(F.dayofmonth("run_started_at_utc"), F.lit(2)) == rest), path)
+    rows = read_runs(spark, path, newest=3).select(F.substring("run", 1, 10).alias("run"), F.explode("per_source").alias("s"))
+    return rows.select("run", "s.source_name", "s.rows_raw")
