@@ -182,7 +182,7 @@ def status_records(raw: DataFrame, target: str) -> DataFrame:
 
 
 def alert_records(raw: DataFrame) -> DataFrame:
-    """Feature collections in ``body`` to one row per feature, newest first, missing times last."""
+    """Feature collections in ``body`` to one row per feature, in no order."""
     schema = "features array<struct<properties:struct<event:string,headline:string,description:string,instruction:string,severity:string,sent:string,geocode:struct<UGC:array<string>>>>>"
     rows = raw.select(F.explode(F.from_json("body", schema)["features"]["properties"]).alias("f"))
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
@@ -194,4 +194,4 @@ def alert_records(raw: DataFrame) -> DataFrame:
         F.upper(F.coalesce(text(F.col("f.severity")), F.lit("unknown"))).alias("severity"),
         stamp_time(F.col("f.sent")).alias("sent"),
         F.coalesce(F.col("f.geocode.UGC"), F.array().cast("array<string>")).alias("zones"),
-    ).orderBy(F.desc_nulls_last("sent"))
+    )

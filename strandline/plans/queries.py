@@ -431,10 +431,10 @@ def mad_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.outlier_audit(samples(spark, sf_dir), SERIES).withColumns({"bucket_median": r6("bucket_median"), "delta": r6("delta")})
 
 
-@query(f"WITH {S}, {B}, {LAST} SELECT series_id, make_timestamp(b_us) AS bucket, max(value) FILTER (source = 'click') AS click, max(value) FILTER (source = 'purchase') AS purchase, max(value) FILTER (source = 'view') AS view, string_agg(source, ',' ORDER BY source) FILTER (value > 20) AS flagged FROM last GROUP BY series_id, b_us")
+@query(f"WITH {S}, {B}, {LAST} SELECT series_id, make_timestamp(b_us) AS bucket, max(value) FILTER (source = 'click') AS click, max(value) FILTER (source = 'error') AS error, max(value) FILTER (source = 'purchase') AS purchase, max(value) FILTER (source = 'signup') AS signup, max(value) FILTER (source = 'view') AS view, string_agg(source, ',' ORDER BY source) FILTER (value > 20) AS flagged FROM last GROUP BY series_id, b_us")
 def sources_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = windows.keep_last(archive.bucketed(samples(spark, sf_dir)).select(*KEYS, "bucket", "ts", "event_id", "value"), [*KEYS, "bucket"], F.col("ts"), F.col("event_id"))
-    wide = last.groupBy("series_id", "bucket").pivot("source", ["click", "purchase", "view"]).agg(F.max("value"))
+    wide = last.groupBy("series_id", "bucket").pivot("source", ["click", "error", "purchase", "signup", "view"]).agg(F.max("value"))
     flags = last.groupBy("series_id", "bucket").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("value") > 20, F.col("source")))), ",").alias("flagged"))
     return wide.join(flags, ["series_id", "bucket"]).withColumn("flagged", F.nullif("flagged", F.lit("")))
 
@@ -628,9 +628,9 @@ def curve_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curves and trends of the recent peaks' models with their ribbons."""
+    """Curves and trends of all models of the recent peaks with their ribbons."""
     s = samples(spark, sf_dir)
-    return forecast.forecast_curves(s, half_day_peaks(s), SERIES, ["linear", "trendline_exp"], recent_peaks=6).withColumns({c: F.round(c, 3) for c in ("value", "low", "high")})
+    return forecast.forecast_curves(s, half_day_peaks(s), SERIES, recent_peaks=6).withColumns({c: F.round(c, 3) for c in ("value", "low", "high")})
 
 
 @query()

@@ -73,7 +73,7 @@ NEAR = ("es", "fr")
 
 
 @query(
-    """WITH f AS (SELECT doc_id, CASE WHEN trim(source) = '' THEN NULL ELSE source END AS event, lang, substr(text, 1, 200) AS head, substr(text, 201, 400) AS body, doc_id % 5 AS k FROM documents WHERE doc_id IS NOT NULL),
+    """WITH f AS (SELECT doc_id, CASE WHEN trim(source) = '' THEN NULL ELSE source END AS event, lang, substr(text, 1, 200) AS head, substr(text, 201) AS body, doc_id % 5 AS k FROM documents),
 r AS (SELECT coalesce(event, 'Alert') AS event, coalesce(CASE WHEN trim(head) = '' THEN NULL ELSE trim(head) END, event, 'Alert') AS headline, upper(CASE WHEN k = 0 THEN 'unknown' ELSE 'minor' END) AS severity,
   CASE WHEN k = 1 THEN NULL ELSE TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * doc_id END AS sent, [lang] AS zones, lower(concat_ws(' ', event, head, body)) AS t FROM f)
 SELECT event, md5(headline) AS headline_md5, severity, sent, array_to_string(zones, ',') AS zones,
@@ -81,10 +81,10 @@ SELECT event, md5(headline) AS headline_md5, severity, sent, array_to_string(zon
 )
 def alert_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as alert features in JSON, normalised, and their relevance by all their texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     k, sent = F.pmod("doc_id", F.lit(5)), F.date_format(F.timestamp_add("SECOND", F.col("doc_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     properties = F.struct(
-        F.col("source").alias("event"), F.substring("text", 1, 200).alias("headline"), F.substring("text", 201, 400).alias("description"), F.when(k != 0, "minor").alias("severity"),
+        F.col("source").alias("event"), F.substring("text", 1, 200).alias("headline"), F.expr("substring(text, 201)").alias("description"), F.when(k == 0, None).otherwise("minor").alias("severity"),
         F.when(k != 1, sent).alias("sent"), F.struct(F.array("lang").alias("UGC")).alias("geocode"),
     )
     bodies = docs.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(1000)).alias("feed"), F.floor(F.col("doc_id") / 100).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct(properties.alias("properties"))).alias("features"))).alias("body"))
