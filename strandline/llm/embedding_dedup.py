@@ -6,6 +6,9 @@ agree in a bit with a probability of 1 - angle / pi, so that they stand side by
 of passes follows from the number of vectors and the recall that is asked for. Candidates are verified by their cosine,
 and the verified pairs of all passes are united to components.
 
+Windows and sketches miss some links. An exact check follows: what the passes left in different components is compared,
+block by block, so that no link is lost. The cosine is bounded first, from a few coordinates and the length of the rest.
+
 A window sees few of the members of a large group, so the passes find what is connected, not each link. Links are then
 counted within components, whole and without pairing a group up: by the triangle inequality all vectors within half of
 the angle around a common middle are linked to each other; only those further out are compared, in blocks.
@@ -33,6 +36,8 @@ KEY_BITS, SKETCH_BITS = 32, 64
 FIRST_PASSES, PASSES_AT_ONCE = 2, 16
 #: Rows of a sorted partition that are compared at a time; rows that a partition should have; rows of a block.
 ROWS, PART_ROWS, BLOCK = 1 << 14, 50_000, 512
+#: Coordinates that bound the cosine in the exact check; numbers in a block of it, and blocks that a few thousand vectors get.
+HEAD, BLOCK_NUMBERS, LEAST_BLOCKS = 16, 1 << 22, 6
 #: Vectors whose mean is the middle of a component; any middle gives the same counts.
 MIDDLE = 32
 SLACK = 1e-7
@@ -133,7 +138,8 @@ def near_in_order(rows: dict[str, np.ndarray], new: int, window: int, most: int)
     """Pairs of places at most ``window`` apart, the later at ``new`` or after, that may be close and have different labels.
 
     Where there are many, those are left out that are the longest side of a triangle of three near places: what is
-    connected at any distance stays connected without them. Places of one label count as connected at no distance.
+    connected at any distance of the sketches stays connected without them. Places of one label count as connected at no
+    distance. Sketches only estimate the cosine: if one of the other sides is no link, rest_of_links() finds the long one.
     """
     n = len(rows["key"])
     far = np.int32(1 << 20)
@@ -238,8 +244,74 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return done
 
 
+def _linked(u: np.ndarray, v: np.ndarray, of_u: np.ndarray, of_v: np.ndarray, least: float) -> np.ndarray:
+    """The pairs of components (rows of two) that the unit rows ``u`` and ``v`` link."""
+    head = np.argsort(-v.var(axis=0), kind="stable")[:HEAD]
+    # By Cauchy and Schwarz the rest of a product is no larger than the product of the lengths.
+    low_u, low_v = (np.column_stack([x[:, head], np.sqrt(np.maximum(0.0, (x * x).sum(axis=1) - (x[:, head] ** 2).sum(axis=1)))]).astype(np.float32) for x in (u, v))
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for k in range(0, len(u), BLOCK):
+        for m in range(0, len(v), 4 * BLOCK):
+            rows, columns = slice(k, k + BLOCK), slice(m, m + 4 * BLOCK)
+            may = low_u[rows] @ low_v[columns].T >= least - 1e-5
+            if np.count_nonzero(may) > may.size // 16:
+                may = u[rows] @ v[columns].T >= least - 1e-9
+            i, j = np.divmod(np.flatnonzero(may), may.shape[1])
+            apart = of_u[k + i] != of_v[m + j]
+            i, j = k + i[apart], m + j[apart]
+            for c in range(0, len(i), ROWS):
+                a, b = i[c : c + ROWS], j[c : c + ROWS]
+                good = np.einsum("ij,ij->i", u[a], v[b]) >= least
+                found.append(np.unique(np.column_stack([of_u[a[good]], of_v[b[good]]]), axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def rest_of_links(nodes: DataFrame, groups: DataFrame | None, least: float) -> DataFrame:
+    """Pairs (a, b) of all components that a link connects and ``groups`` (node, component) keep apart; nodes beside them are their own.
+
+    Exact: every two nodes of different components meet in a task, but for those of which neither is outside the largest
+    component. Blocks hold some BLOCK_NUMBERS numbers; only names of components leave a task.
+    """
+    named = nodes.select("node", "embedding")
+    named = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")) if groups is not None else named.withColumn("component", F.col("node"))
+    named = written(named)
+    sizes = named.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("numbers"))
+    top = sizes.agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("numbers").alias("numbers"), F.max(F.struct("n", "component", "numbers"))["numbers"].alias("major")).first()
+    if top.top is None:
+        return named.select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+    def blocks(n: int, numbers: int) -> int:
+        return max(-(-numbers // BLOCK_NUMBERS), min(LEAST_BLOCKS, -(-n // (4 * BLOCK))))
+
+    minors = blocks(top.n - top.top.n, top.numbers - top.major)
+    both = minors + blocks(top.top.n, top.major)
+    minor = F.col("component") != top.top.component
+    dealt = named.withColumn("block", F.when(minor, _bucket(F.col("node"), F.lit(max(1, minors)))).otherwise(minors + _bucket(F.col("node"), F.lit(both - minors))))
+    left = dealt.filter(minor).withColumnRenamed("block", "x").withColumn("y", F.explode(F.sequence(F.col("x"), F.lit(both - 1))))
+    right = dealt.withColumnRenamed("block", "y").filter(F.lit(minors > 0)).withColumn("x", F.explode(F.sequence(F.lit(0), F.least(F.col("y"), F.lit(max(0, minors - 1))))))
+
+    def compare(xs, ys):
+        import pyarrow as pa
+
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        if xs.num_rows and ys.num_rows:
+            of_x, of_y = (t.column("component").to_numpy() for t in (xs, ys))
+            lists = {v.shape[1]: (to, v) for to, v in unit_rows(ys.column("embedding").combine_chunks())}
+            for at, u in unit_rows(xs.column("embedding").combine_chunks()):
+                if u.shape[1] in lists:
+                    to, v = lists[u.shape[1]]
+                    found.append(_linked(u, v, of_x[at], of_y[to], least))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own
+    done = written(left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(compare, "a long, b long"))
+    discard(named)
+    return done
+
+
 def groups_of(nodes: DataFrame, n: int, least: float, window: int, recall: float) -> DataFrame:
-    """(node, component) of all nodes with a verified pair.
+    """(node, component) of all nodes with a link: those of the passes, completed by the exact check.
 
     After the first passes rows carry the component that they have so far, and only pairs of different ones are looked at.
     """
@@ -254,7 +326,8 @@ def groups_of(nodes: DataFrame, n: int, least: float, window: int, recall: float
         edges = more if edges is None else edges.unionByName(more)
         groups = written(components(edges))
         done = now.stop
-    return groups
+    rest = rest_of_links(nodes, groups, least)
+    return groups if rest.isEmpty() else written(components(edges.unionByName(rest)))
 
 
 def _bucket(of: Column, n: Column) -> Column:
@@ -336,7 +409,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, window: int = WIND
     Rows are linked if the cosine of their embeddings, in double precision, is ``least`` or more. Null and zero vectors and
     those with null or non-finite components link with nothing, nor do vectors of different lengths. Rows with equal
     vectors are one node of the graph and link to each other; repeated ids stay rows of their own. A null id names a
-    component only if all its ids are null. An empty table gives no rows; further columns are ignored.
+    component only if all its ids are null. An empty table gives no rows; further columns are ignored. No link is lost:
+    ``recall`` is that of the passes, whose rest an exact check compares.
     """
     rows = digested(vectors)
     known = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("first"), F.count("*").alias("rows"), F.first("embedding").alias("embedding"))

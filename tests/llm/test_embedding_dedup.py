@@ -112,3 +112,27 @@ def test_long_vectors(spark):
     long = draw.standard_normal((3, 5000))
     got = report(spark, [1, 2, 3, 4], [long[0], long[1], long[0] + 0.01 * long[2], long[2]])
     assert got == {1: (1, 1, True), 2: (0, 2, True), 3: (1, 1, False), 4: (0, 4, True)}
+
+
+@pytest.mark.parametrize("window, recall", [(32, 0.995), (2, 0.3)])
+def test_no_link_is_lost_by_windows_and_sketches(spark, window, recall):
+    draw = np.random.default_rng(21)
+    chains = [around(draw, draw.standard_normal(64), c, n) for c, n in ((0.9747, 500), (0.968, 300), (0.97, 200))]  # cosines on both sides of 0.95
+    pairs = draw.standard_normal((300, 64))
+    vectors = np.concatenate([*chains, pairs, *(around(draw, p, c, 1) for p, c in zip(pairs, np.linspace(0.945, 0.96, 300), strict=True)), draw.standard_normal((200, 64))])
+    ids = [int(k) for k in draw.permutation(len(vectors))]
+    assert report(spark, ids, vectors, window=window, recall=recall) == plain(ids, vectors)
+
+
+def test_the_exact_check_alone_finds_all_links(spark):
+    draw = np.random.default_rng(22)
+    for dim in (3, 64):
+        vectors = np.concatenate([around(draw, draw.standard_normal(dim), c, 60) for c in (0.97, 0.99)] + [draw.standard_normal((100, dim))])
+        nodes = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "node long, embedding array<double>")
+        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        want = {(a, b) for a, b in np.argwhere(unit @ unit.T >= 0.95).tolist() if a < b}
+        assert {(min(r), max(r)) for r in embedding_dedup.rest_of_links(nodes, None, 0.95).collect()} == want
+        half = spark.createDataFrame([(k, k % 2) for k in range(150)], "node long, component long")
+        of = lambda k: k % 2 if k < 150 else k
+        got = {(min(r), max(r)) for r in embedding_dedup.rest_of_links(nodes, half, 0.95).collect()}
+        assert got == {(min(of(a), of(b)), max(of(a), of(b))) for a, b in want if of(a) != of(b)}
