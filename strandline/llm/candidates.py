@@ -100,6 +100,20 @@ def similar_edges(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], m
     (a, b) to look at. Members of a list of any length are connected if they are similar, by the edges of one pair or
     of several.
     """
+    groups, rest = _found(nodes, sets_of, measure, list_limit, more)
+    return groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest)
+
+
+def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], measure: Measure, list_limit: int = LIST_LIMIT, more: DataFrame | None = None) -> DataFrame:
+    """The components (node, component) of similar_edges(); without edges between the first groups these are the result."""
+    groups, rest = _found(nodes, sets_of, measure, list_limit, more)
+    if rest.isEmpty():
+        return groups
+    return components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest))
+
+
+def _found(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], measure: Measure, list_limit: int, more: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(node, component) by the similar candidate pairs, and the further similar pairs (a, b) of long lists' members."""
     met = _met(nodes)
     pairs = _pairs(nodes, met, list_limit)
     pairs = written(pairs.unionByName(more).distinct() if more is not None else pairs)
@@ -107,7 +121,7 @@ def similar_edges(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], m
     groups = written(components(similar(pairs, sets, measure)))
     rest = written(similar(written(_crowded_pairs(met.filter(F.col("n") > list_limit), groups, sets, measure)), sets, measure))
     discard(met, pairs, sets)
-    return groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest)
+    return groups, rest
 
 
 def _crowded_pairs(crowded: DataFrame, groups: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:

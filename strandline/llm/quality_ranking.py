@@ -20,6 +20,8 @@ from strandline.llm.textstats import FEATURES, statistics
 PAIRS = 200_000
 RIDGE = 1e-3
 THRESHOLD = 0.3
+#: Rows of the regression that are laid out at a time.
+ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -42,13 +44,33 @@ def design(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([z, np.abs(z)])
 
 
-def _logistic(d: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
-    w = np.zeros(d.shape[1])
+@dataclass(frozen=True)
+class _Differences:
+    """Rows of ``z`` less other rows of it, made where they are asked for: the driver never holds all of them."""
+
+    z: np.ndarray
+    plus: np.ndarray
+    minus: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.plus), self.z.shape[1]
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        return self.z[self.plus[rows]] - self.z[self.minus[rows]]
+
+
+def _logistic(d: np.ndarray | _Differences, y: np.ndarray, steps: int = 30) -> np.ndarray:
+    n, k = d.shape
+    w = np.zeros(k)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -500, 500)))
-        gradient = d.T @ (p - y) / len(d) + RIDGE * w
-        curvature = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(curvature, gradient)
+        gradient, curvature = np.zeros(k), np.zeros((k, k))
+        for at in range(0, n, ROWS):
+            some = d[at : at + ROWS]
+            p = 1 / (1 + np.exp(-np.clip(some @ w, -500, 500)))
+            gradient += some.T @ (p - y[at : at + ROWS])
+            curvature += (some * (p * (1 - p))[:, None]).T @ some
+        step = np.linalg.solve(curvature / n + RIDGE * np.eye(k), gradient / n + RIDGE * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -67,7 +89,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Rank
     scale = np.maximum(x[good].std(axis=0), 1e-3)
     z = design(x, centre, scale)
     draw = np.random.default_rng(seed)
-    difference = z[draw.choice(good, pairs)] - z[draw.choice(poor, pairs)]
+    difference = _Differences(z, draw.choice(good, pairs), draw.choice(poor, pairs))
     weights = _logistic(difference, np.ones(pairs))
     value = z @ weights
     cuts = np.unique(np.quantile(value, np.linspace(0.005, 0.995, 199)))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.candidates import Measure, similar_edges
+from strandline.llm.candidates import Measure, similar_groups
 from strandline.llm.common import ids_and_bytes, map_texts, written
 from strandline.llm.components import components
 from strandline.llm.paragraph_dedup import FLUSH_WORDS, _hash_words, _WordHashes, minhash_bands, shingle_hashes, tune_bands
@@ -193,8 +193,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int
         texts = rows.select(F.col("row").alias("node"), F.col(text).cast("binary").alias("text"))
         return _shingle_sets(texts.join(wanted, "node"), size)
 
-    edges = similar_edges(nodes.select("node", "keys"), sets_of, measure, more=_print_pairs(nodes.select("node", "fp")))
-    groups = components(edges).withColumnRenamed("node", "grouped")
+    groups = similar_groups(nodes.select("node", "keys"), sets_of, measure, more=_print_pairs(nodes.select("node", "fp"))).withColumnRenamed("node", "grouped")
     named = nodes.join(groups, F.col("node") == F.col("grouped"), "left").select("first", F.coalesce("component", "node").alias("component"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     return rows.join(stay, "row", "left_semi").select(*[F.col(c).alias(name) for c, name in names.items()])

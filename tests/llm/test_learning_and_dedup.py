@@ -374,3 +374,29 @@ def test_pipeline_stages_hold_against_brute_force(spark):
     before, after = seen[3]
     assert len(before) == len(after) and not after.text.str.contains(r'token = "[0-9a-f]', regex=True).any()
     assert {"doc_id", "taken", "position"} <= set(seen[4][1].columns) and (seen[4][1].taken > 0).all()
+
+
+def test_the_fit_lays_out_few_pairs_at_a_time():
+    import tracemalloc
+
+    draw = np.random.default_rng(5)
+    x, y = draw.standard_normal((20_000, 19)), draw.integers(0, 2, 20_000)
+    tracemalloc.start()
+    try:
+        ranking = quality_ranking.fit(x + y[:, None], y)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 64 << 20 and ((ranking.score(x + y[:, None]) >= 0.3) == (y == 1)).mean() > 0.9
+
+
+@pytest.mark.parametrize("limit", [8, 100])
+def test_groups_are_the_components_of_the_edges(spark, limit):
+    """Limit 8 finds the pair in the exact round alone, 100 among the first candidates."""
+    draw = np.random.default_rng(13)
+    sets = [set(map(int, draw.integers(0, 1 << 40, 50))) | set(range(20)) for _ in range(60)]
+    sets[41] = set(list(sets[40])[3:]) | {-1}
+    nodes = spark.createDataFrame([(k, [1, 2, 3]) for k in range(60)], "node long, keys array<long>")
+    held = spark.createDataFrame([(k, sorted(x)) for k, x in enumerate(sets)], "node long, hashes array<long>")
+    groups = candidates.similar_groups(nodes, lambda wanted: held.join(wanted, "node"), candidates.Measure(0.8), limit)
+    assert {tuple(r) for r in groups.select("node", "component").collect()} == {(40, 40), (41, 40)}
