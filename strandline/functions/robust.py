@@ -87,13 +87,144 @@ def _search(loss: Callable[[float], float], low: float, high: float, points: int
     return float((a + b) / 2)
 
 
-def _shape_fit(shape: np.ndarray, y: np.ndarray, scale: float | None, ceiling: float = np.inf) -> tuple[float, float, float]:
-    """(amplitude in [0, ceiling], offset, scale) of a robust y = amplitude * shape + offset."""
-    a, c, f = _solve(np.column_stack([shape, np.ones(len(y))]), y, scale)
-    if not 0 <= a <= ceiling:
-        a = min(max(a, 0.0), ceiling)
-        c = _solve(np.ones((len(y), 1)), y - a * shape, f)[0]
-    return float(a), float(c), float(f)
+def _bent(r: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
+    """Residuals cut at the scale, whose sums the Huber loss drives to zero, and the loss itself."""
+    cut = np.minimum(np.maximum(r, -scale), scale)
+    return cut, float(cut @ (2 * r - cut))
+
+
+def _best_share(r: np.ndarray, move: np.ndarray, scale: float) -> float:
+    """The share of a move of all residuals by which the Huber loss falls most: where its slope, made of lines, is zero."""
+    moved = move != 0
+    ends = np.concatenate([(r[moved] - scale) / move[moved], (r[moved] + scale) / move[moved]])
+    ends = np.sort(ends[ends > 0])
+    fall = lambda share: float(_bent(r - share * move, scale)[0] @ move)
+    low, high = 0, len(ends)
+    while low < high:
+        k = (low + high) // 2
+        low, high = (k + 1, high) if fall(ends[k]) > 0 else (low, k)
+    at, end = ends[low - 1] if low else 0.0, ends[low] if low < len(ends) else None
+    here = fall(at)
+    if end is None or here <= 0:
+        return float(at)
+    return float(at + (end - at) * here / (here - fall(end)))
+
+
+def _even(x: np.ndarray) -> float:
+    """The mean square up to which a spread of ``x`` is that of rounding."""
+    return (1e-13 * max(float(x.max()), -float(x.min()))) ** 2
+
+
+def _huber(x: np.ndarray | None, y: np.ndarray, a: float, c: float, scale: float, rounds: int = 200) -> tuple[float, float]:
+    """(a, c) of the least Huber loss of y - (a * x + c) at a fixed scale, from a start; without ``x`` only c moves.
+
+    The loss is a parabola as long as every row stays on its side of the scale: a step goes to the minimum of the parabola
+    at hand, and the search ends at that minimum once no row has changed sides. Of a step that does not lower the loss the
+    best share is taken. Where the rows within the scale tell no line, reweighting gives the direction.
+    """
+    r = y - c if x is None else y - (a * x + c)
+    even = 0.0 if x is None else _even(x)
+    cut, loss = _bent(r, scale)
+    for _ in range(rounds):
+        inner = (cut == r).astype(float)
+        n, middle, spread, off = inner.sum(), 0.0, 0.0, x
+        if x is not None and n >= 2:
+            middle = inner @ x / n
+            off = x - middle
+            spread = (inner * off) @ off
+        whole = bool(n) if x is None else n >= 2 and spread > n * even
+        if not whole:
+            weights = huber_weights(r, scale)
+            da, dc = (0.0, cut.sum() / weights.sum()) if x is None else _weighted_line(x, r, weights)
+        elif x is None:
+            da, dc = 0.0, cut.sum() / n
+        else:
+            da = cut @ off / spread
+            dc = cut.sum() / n - da * middle
+        move = dc if x is None else da * x + dc
+        to = r - move
+        to_cut, to_loss = _bent(to, scale)
+        if not whole or to_loss >= loss:
+            share, whole = _best_share(r, move + np.zeros(len(r)), scale), False
+            da, dc, to = share * da, share * dc, r - share * move
+            to_cut, to_loss = _bent(to, scale)
+            if not to_loss < loss:
+                break
+        a, c = a + da, c + dc
+        settled = whole and np.array_equal(to_cut == to, cut == r) and np.array_equal(to > scale, r > scale)
+        r, cut, loss = to, to_cut, to_loss
+        if settled:
+            break
+    return a, c
+
+
+def _weighted_line(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    root = np.sqrt(weights)
+    a, c = np.linalg.lstsq(np.column_stack([x, np.ones(len(x))]) * root[:, None], y * root, rcond=None)[0]
+    return float(a), float(c)
+
+
+def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, level) of least squares; of equal x the least solution."""
+    n = len(x)
+    middle, mean = x.sum() / n, y.sum() / n
+    off = x - middle
+    spread = off @ off
+    if spread <= n * _even(x):
+        return _weighted_line(x, y, np.ones(n))
+    slope = float(off @ (y - mean) / spread)
+    return slope, float(mean - slope * middle)
+
+
+def _least(x: np.ndarray, y: np.ndarray, scale: float | None, start: tuple[float, float] | None = None) -> tuple[float, float, float]:
+    """(slope, level, scale) of the Huber optimum at a fixed scale (from the residuals of least squares if not given).
+
+    An infinite scale is least squares. The optimum does not depend on the ``start``.
+    """
+    if scale is None or np.isinf(scale) or start is None:
+        start = _line(x, y)
+        if scale is None:
+            scale = auto_scale(y - (start[0] * x + start[1]))
+        if np.isinf(scale):
+            return *start, scale
+    return *_huber(x, y, *start, scale), scale
+
+
+class _Shapes:
+    """Robust fits of y = amplitude * shape + offset, amplitude in [0, ceiling], for one shape after another.
+
+    Neighbouring shapes have neighbouring optima, so each fit starts from the last one.
+    """
+
+    def __init__(self, y: np.ndarray, scale: float | None, ceiling: float = np.inf):
+        self.y, self.scale, self.ceiling = y, scale, ceiling
+        self.last: tuple[float, float] | None = None
+
+    def fit(self, shape: np.ndarray) -> tuple[float, float, float]:
+        a, c, f = _least(shape, self.y, self.scale, self.last)
+        self.last = a, c
+        if not 0 <= a <= self.ceiling:
+            a = min(max(a, 0.0), self.ceiling)
+            rest = self.y - a * shape
+            c = rest.sum() / len(rest)
+            c = c if np.isinf(f) else _huber(None, rest, 0.0, c, f)[1]
+        return float(a), float(c), float(f)
+
+    def loss(self, shape: np.ndarray) -> float:
+        a, c, f = self.fit(shape)
+        r = self.y - (a * shape + c)
+        return float(r @ r) if np.isinf(f) else _bent(r, f)[1]
+
+
+def _shape_search(shape: Callable[[float], np.ndarray], y: np.ndarray, low: float, high: float, points: int, ceiling: float = np.inf) -> tuple[float, float, float]:
+    """(amplitude, parameter, offset) of the best shape: by least squares, which give the scale, then robust at that scale."""
+    plain = _Shapes(y, np.inf, ceiling)
+    square = shape(_search(lambda q: plain.loss(shape(q)), low, high, points))
+    a, c, _ = plain.fit(square)
+    robust = _Shapes(y, auto_scale(y - (a * square + c)), ceiling)
+    best = _search(lambda q: robust.loss(shape(q)), low, high, points)
+    a, c, _ = robust.fit(shape(best))
+    return a, best, c
 
 
 def power_law(hours: np.ndarray, y: np.ndarray, exponent: float | None = None) -> tuple[float, float, float]:
@@ -101,32 +232,17 @@ def power_law(hours: np.ndarray, y: np.ndarray, exponent: float | None = None) -
     t = np.maximum(np.asarray(hours, dtype=float), 1e-3)
     y = np.asarray(y, dtype=float)
     if exponent is None:
-        square = _search(lambda p: float(((y - _eval(t**p, *_shape_fit(t**p, y, np.inf)[:2])) ** 2).sum()), 0.3, 1.5)
-        a, c, _ = _shape_fit(t**square, y, np.inf)
-        f = auto_scale(y - (a * t**square + c))
-        exponent = _search(lambda p: huber_loss(y - _eval(t**p, *_shape_fit(t**p, y, f)[:2]), f), 0.3, 1.5)
-        a, c, _ = _shape_fit(t**exponent, y, f)
-    else:
-        a, c, _ = _shape_fit(t**exponent, y, None)
+        return _shape_search(lambda p: t**p, y, 0.3, 1.5, 25)
+    a, c, _ = _Shapes(y, None).fit(t**exponent)
     return a, float(exponent), c
 
 
-def _eval(shape: np.ndarray, a: float, c: float) -> np.ndarray:
-    return a * shape + c
-
-
 def saturation(days: np.ndarray, y: np.ndarray, ceiling: float = 50.0, fastest: float = 5.0) -> tuple[float, float, float]:
     """(A, k, C) of y = A * (1 - exp(-k * (x - x0))) + C with 0 <= A <= 50 and k >= 0, x0 the first day."""
     x = np.asarray(days, dtype=float) - float(days[0])
     y = np.asarray(y, dtype=float)
-    shape = lambda q: 1 - np.exp(-np.exp(q) * x)
-    low, high = np.log(1e-5), np.log(fastest)
-    square = _search(lambda q: float(((y - _eval(shape(q), *_shape_fit(shape(q), y, np.inf, ceiling)[:2])) ** 2).sum()), low, high, 41)
-    a, c, _ = _shape_fit(shape(square), y, np.inf, ceiling)
-    f = auto_scale(y - (a * shape(square) + c))
-    best = _search(lambda q: huber_loss(y - _eval(shape(q), *_shape_fit(shape(q), y, f, ceiling)[:2]), f), low, high, 41)
-    a, c, _ = _shape_fit(shape(best), y, f, ceiling)
-    return a, float(np.exp(best)), c
+    a, q, c = _shape_search(lambda q: 1 - np.exp(-np.exp(q) * x), y, np.log(1e-5), np.log(fastest), 41, ceiling)
+    return a, float(np.exp(q)), c
 
 
 def line_crossing(m1: float, b1: float, m2: float, b2: float, earliest: float, latest: float, limit: float = 50.0) -> tuple[float, float] | None:

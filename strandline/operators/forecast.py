@@ -44,10 +44,18 @@ class Series:
     peak_day: np.ndarray
     peak_value: np.ndarray
     p: Params = DEFAULTS
+    #: The series with samples of later, where it has the same ones up to the last peak: what is known of the past is its.
+    later: Series | None = None
+
+    def until(self, day: float) -> Series:
+        """The series as it was known on a day, with the same peaks; fits of the past are made once for all such days."""
+        n = int(np.searchsorted(self.day, day, "right"))
+        whole = not len(self.peak_day) or n >= np.searchsorted(self.day, self.peak_day[-1], "right")
+        return Series(self.day[:n], self.value[:n], self.peak_day, self.peak_value, self.p, self if whole else None)
 
     @cached_property
     def trend(self):
-        return huber_line(self.peak_day, self.peak_value)
+        return self.later.trend if self.later else huber_line(self.peak_day, self.peak_value)
 
     @cached_property
     def trough(self) -> float | None:
@@ -68,6 +76,8 @@ class Series:
     @cached_property
     def episodes(self) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
         """(trough day, peak day, days, values) of the latest complete build-ups."""
+        if self.later:
+            return self.later.episodes
         found = []
         for prev, cur in zip(self.peak_day[:-1], self.peak_day[1:], strict=True):
             inside = np.flatnonzero((self.day > prev) & (self.day <= cur))
@@ -79,6 +89,24 @@ class Series:
                 found.append((float(self.day[rows[0]]), float(cur), self.day[rows], self.value[rows]))
         return found[-self.p.episodes :]
 
+    @cached_property
+    def slopes(self) -> list[float]:
+        """Slopes of the robust lines through the episodes."""
+        return self.later.slopes if self.later else [huber_line(d, v).slope for _, _, d, v in self.episodes]
+
+    @cached_property
+    def stitched(self) -> float:
+        """Slope of one robust line through all episodes, laid on each other at their troughs."""
+        if self.later:
+            return self.later.stitched
+        pool = [(d - d[0], v - v[0]) for _, _, d, v in self.episodes]
+        return huber_line(np.concatenate([d for d, _ in pool]), np.concatenate([v for _, v in pool])).slope
+
+    @cached_property
+    def exponents(self) -> list[float]:
+        """Exponents of the power laws of the episodes."""
+        return self.later.exponents if self.later else [power_law((d - d[0]) * 24, v)[1] for _, _, d, v in self.episodes]
+
     @cached_property
     def phase(self) -> float | None:
         """Time since the trough as a share of the median build-up."""
@@ -214,17 +242,14 @@ def _anchored(s: Series, slopes: np.ndarray, slope: float) -> Forecast:
 def linear_hist(s: Series) -> Forecast:
     if len(s.peak_day) < 2 or s.trough is None or len(s.episodes) < s.p.episodes_least:
         return Forecast(note="too few episodes")
-    slopes = np.array([huber_line(d, v).slope for _, _, d, v in s.episodes])
-    return _anchored(s, slopes, float(np.median(slopes)))
+    return _anchored(s, np.array(s.slopes), float(np.median(s.slopes)))
 
 
 @register("linear_stitched")
 def linear_stitched(s: Series) -> Forecast:
     if len(s.peak_day) < 2 or s.trough is None or len(s.episodes) < s.p.episodes_least:
         return Forecast(note="too few episodes")
-    pool = [(d - d[0], v - v[0]) for _, _, d, v in s.episodes]
-    fit = huber_line(np.concatenate([d for d, _ in pool]), np.concatenate([v for _, v in pool]))
-    return _anchored(s, np.array([huber_line(d, v).slope for d, v in pool]), fit.slope)
+    return _anchored(s, np.array(s.slopes), s.stitched)
 
 
 def _power(s: Series, exponent: float | None) -> Forecast:
@@ -255,7 +280,7 @@ def power(s: Series) -> Forecast:
 def power_hist(s: Series) -> Forecast:
     if len(s.episodes) < s.p.episodes_least:
         return Forecast(note="too few episodes")
-    return _power(s, float(np.median([power_law((d - d[0]) * 24, v)[1] for _, _, d, v in s.episodes])))
+    return _power(s, float(np.median(s.exponents)))
 
 
 @register("trendline_exp")
@@ -340,20 +365,32 @@ def _in_use(samples: DataFrame, peaks: DataFrame, keys: list[str], p: Params) ->
     return samples.join(begins, keys, "left").filter(F.col("begins").isNull() | (F.col("ts") >= F.col("begins"))).drop("begins")
 
 
+def _series(rows: pd.DataFrame, tops: pd.DataFrame, p: Params) -> Series:
+    rows, tops = rows.sort_values("ts"), tops.sort_values("ts")
+    return Series(_days(rows["ts"]), rows["value"].to_numpy(dtype=float), _days(tops["ts"]), tops["value"].to_numpy(dtype=float), p)
+
+
+def _made(model_id: str, s: Series) -> Forecast:
+    try:
+        return get_model(model_id)(s) if len(s.day) or model_id in PEAKS_ONLY else Forecast(note="no rows")
+    except (ValueError, np.linalg.LinAlgError, IndexError) as error:
+        return Forecast(note=f"failed: {error}")
+
+
+def _dealt(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups for all cores: what fits cost does not show in the bytes by which Spark unites small partitions."""
+    spark = frame.sparkSession
+    return frame.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def _runs(samples: DataFrame, peaks: DataFrame, keys: list[str], wanted: list[str], recent_peaks: int | None, p: Params, rows_of: Callable, schema: str, bounded: bool = False) -> DataFrame:
     """``rows_of`` (key, model, forecast) for every model on every series; one series' samples in use are held by one task."""
 
     def run(key: tuple, rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
-        rows, tops = rows.sort_values("ts"), tops.sort_values("ts")
-        tops = tops.tail(recent_peaks) if recent_peaks else tops
-        s = Series(_days(rows["ts"]), rows["value"].to_numpy(dtype=float), _days(tops["ts"]), tops["value"].to_numpy(dtype=float), p)
+        s = _series(rows, tops.sort_values("ts").tail(recent_peaks) if recent_peaks else tops, p)
         out = []
         for model_id in wanted:
-            try:
-                f = get_model(model_id)(s) if len(rows) or model_id in PEAKS_ONLY else Forecast(note="no rows")
-            except (ValueError, np.linalg.LinAlgError, IndexError) as error:
-                f = Forecast(note=f"failed: {error}")
-            out += rows_of(key, model_id, f)
+            out += rows_of(key, model_id, _made(model_id, s))
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     # Fresh column identities: both sides may stem from one table.
@@ -362,7 +399,7 @@ def _runs(samples: DataFrame, peaks: DataFrame, keys: list[str], wanted: list[st
         left = left if bounded else _in_use(left, right.toDF(*right.columns), keys, p).select(*keys, "ts", "value")
     else:
         left = left.groupBy(*keys).agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return _dealt(left, keys).groupBy(*keys).cogroup(_dealt(right, keys).groupBy(*keys)).applyInPandas(run, schema)
 
 
 def _kinds(samples: DataFrame, keys: list[str]) -> str:
@@ -408,29 +445,45 @@ def both_forecasts(forecasts: DataFrame, keys: list[str], model: str = "trendlin
 def backtest(samples: DataFrame, peaks: DataFrame, segments: DataFrame, keys: list[str], models: list[str] | None = None, p: Params = DEFAULTS) -> DataFrame:
     """Error in hours of every model at every stage of every past segment: keys, end_ts, fraction, model_id, error_h.
 
-    ``segments`` has keys, end_ts, trough_ts. Each (segment, fraction) is a task of its own that sees samples up to its
-    cutoff and the prominent peaks before its target. Samples from before the episodes in use are not copied.
+    ``segments`` has keys, end_ts, trough_ts. Each (segment, fraction) sees samples up to its cutoff and the prominent peaks
+    before its target. The fractions of a segment are a task, for they share all peaks and the episodes between them: these
+    are read and fitted once. Samples from before the episodes in use are not copied.
     """
-    tasks = segments.select(*keys, "end_ts", "trough_ts", F.explode(F.array(*[F.lit(f) for f in p.fractions])).alias("fraction"))
+    by, wanted = [*keys, "end_ts"], models or list_models()
     length = F.timestamp_diff("MICROSECOND", "trough_ts", "end_ts")
-    tasks = tasks.withColumn("cutoff", F.timestamp_add("MICROSECOND", F.round(length * F.col("fraction")).cast("long"), F.col("trough_ts"))).drop("trough_ts")
-    known = peaks.filter(F.col("prominence") > p.backtest_prominence).select(*keys, "ts", "value").join(tasks, keys).filter("ts < end_ts")
-    by, wanted = [*keys, "end_ts", "fraction"], models or list_models()
+    cutoff = lambda f: F.timestamp_add("MICROSECOND", F.round(length * F.lit(f)).cast("long"), F.col("trough_ts"))
+    tasks = segments.select(*by, F.array(*[F.struct(F.lit(f).alias("fraction"), cutoff(f).alias("cutoff")) for f in p.fractions]).alias("stages"))
+    prominent = peaks.filter(F.col("prominence") > p.backtest_prominence).select(*keys, "ts", "value")
+    known = prominent.join(tasks.select(*by), keys).filter("ts < end_ts")
     if wanted == ["interval_median"]:
         hit = interval_forecast(known, by).select(*by, F.col("next_us"))
         error = (F.col("next_us") - micros("end_ts")) / 3.6e9
-        return tasks.select(*by).join(hit, by, "left").select(*by, F.lit("interval_median").alias("model_id"), error.alias("error_h"))
+        return tasks.join(hit, by, "left").select(*by, F.explode("stages.fraction").alias("fraction"), F.lit("interval_median").alias("model_id"), error.alias("error_h"))
     # The lower bound of what a task reads comes first, so that a sample is copied only to tasks that read it: episodes
     # before its target are the same for all tasks of a series.
-    tops = peaks.filter(F.col("prominence") > p.backtest_prominence).select(*keys, "ts")
-    past = tasks.join(_complete(samples, tops, keys, p).drop("place"), keys).filter("done_ts < end_ts")
+    past = tasks.select(*by).join(_complete(samples, prominent.drop("value"), keys, p).drop("place"), keys).filter("done_ts < end_ts")
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("done_ts")))
     first = past.withColumn("place", place).filter(F.col("place") <= p.episodes).groupBy(*by).agg(F.min("prev_ts").alias("first"))
     begins = known.groupBy(*by).agg(F.max("ts").alias("last")).join(first, by, "left").select(*by, F.coalesce("first", "last").alias("begins"))
-    bounded = tasks.join(begins, by, "left")
-    seen = samples.select(*keys, "ts", "value").join(bounded, keys).filter((F.col("ts") <= F.col("cutoff")) & (F.col("begins").isNull() | (F.col("ts") >= F.col("begins"))))
-    predicted = forecast(seen, known, by, wanted, p=p, bounded=True)
-    return predicted.select(*by, "model_id", (F.timestamp_diff("MICROSECOND", "end_ts", "next_ts") / 3.6e9).alias("error_h"))
+    bounded = tasks.select(*by, F.array_max("stages.cutoff").alias("cutoff")).join(begins, by, "left")
+    seen = samples.select(*keys, "ts", "value").join(bounded, keys).filter((F.col("ts") <= F.col("cutoff")) & (F.col("begins").isNull() | (F.col("ts") >= F.col("begins")))).select(*by, "ts", "value")
+    none = F.lit(None)
+    stages = tasks.select(*by, F.explode("stages").alias("stage")).select(*by, F.col("stage.cutoff").alias("ts"), none.cast("double").alias("value"), F.col("stage.fraction").alias("fraction"))
+    marks = known.select(*by, "ts", "value", none.cast("double").alias("fraction")).unionByName(stages)
+
+    def run(key: tuple, rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        whole = _series(rows, marks[marks["fraction"].isna()], p)
+        stages, target, out = marks[marks["fraction"].notna()], np.datetime64(key[-1], "us").astype("int64"), []
+        for fraction, day in zip(stages["fraction"], _days(stages["ts"]), strict=True):
+            s = whole.until(day)
+            for model_id in wanted:
+                hit = _made(model_id, s).day
+                out.append((*key, fraction, model_id, None if hit is None or not np.isfinite(hit) else (round(hit * DAY) - target) / 3.6e9))
+        return pd.DataFrame(out, columns=[*by, "fraction", "model_id", "error_h"])
+
+    schema = f"{_kinds(samples, keys)}, end_ts timestamp_ntz, fraction double, model_id string, error_h double"
+    left, right = (_dealt(f.toDF(*f.columns), by).groupBy(*by) for f in (seen, marks))  # fresh column identities, as in _runs
+    return left.cogroup(right).applyInPandas(run, schema)
 
 
 def backtest_stats(errors: DataFrame) -> DataFrame:
