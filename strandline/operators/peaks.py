@@ -28,9 +28,11 @@ def hourly(samples: DataFrame, keys: list[str], width: int = HOUR, chunk: int =
     return full.select(*keys, from_micros(F.col("us")).alias("ts"), F.when(here, F.col("mean")).otherwise(line).alias("value"), (~here).alias("filled"))
 
 
-def local_maxima(grid: DataFrame, keys: list[str], chunk: int = DEFAULTS.chunk) -> DataFrame:
-    """Strict local maxima of a regular grid without nulls; a flat top counts once, at its middle (the earlier of two)."""
+def local_maxima(grid: DataFrame, keys: list[str], chunk: int = DEFAULTS.chunk, flat: bool = True) -> DataFrame:
+    """Strict local maxima of a regular grid without nulls; a flat top counts once, at its middle (the earlier of two), or not at all."""
     rows = neighbours(grid.select(*keys, micros("ts").alias("us"), "value"), keys, F.struct("us", "value"), [], chunk, strict=True, keep=["value"])
+    if not flat:
+        return rows.filter((F.col("b.value") < F.col("value")) & (F.col("a.value") < F.col("value"))).select(*keys, from_micros(F.col("us")).alias("ts"), "value")
     begins = F.col("b").isNull() | (F.col("b.value") != F.col("value"))
     ends = rows.filter(begins | F.col("a").isNull() | (F.col("a.value") != F.col("value")))
     # Of one value a stretch's first and last row, or its only one, follow each other.
@@ -46,18 +48,19 @@ def local_maxima(grid: DataFrame, keys: list[str], chunk: int = DEFAULTS.chunk)
 STRETCH = 4096
 
 
-def detect_peaks(samples: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None) -> DataFrame:
+def detect_peaks(samples: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None, flat: bool = True) -> DataFrame:
     """keys, ts, value, prominence of every peak of the hourly grid. A series is shared by as many tasks as it has chunks."""
-    return prominent(hourly(samples, keys, HOUR, p.chunk), keys, p, height)
+    return prominent(hourly(samples, keys, HOUR, p.chunk), keys, p, height, flat=flat)
 
 
-def prominent(grid: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None, width: int = HOUR, stretch: int = STRETCH) -> DataFrame:
+def prominent(grid: DataFrame, keys: list[str], p: Params = DEFAULTS, height: float | None = None, width: int = HOUR, stretch: int = STRETCH, flat: bool = True) -> DataFrame:
     """Peaks of a regular grid (keys, ts, value) of ``width``: at least p.distance_days apart, the highest first.
 
-    The distance is counted in steps of the grid, 24 to the day whatever its width.
+    The distance is counted in steps of the grid, 24 to the day whatever its width. Without ``flat`` tops of several equal
+    values are no peaks.
     """
     distance, chunk = max(1, round(p.distance_days * 24)) * width, max(p.chunk, stretch * width) if stretch else p.chunk
-    tops = local_maxima(grid, keys, p.chunk).select(*keys, micros("ts").alias("us"), "value")
+    tops = local_maxima(grid, keys, p.chunk, flat).select(*keys, micros("ts").alias("us"), "value")
     tops = tops if height is None else tops.filter(F.col("value") >= height)
     tops = apart(tops, keys, distance, chunk) if distance > width else tops
     tops = cut(tops)

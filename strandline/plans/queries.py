@@ -458,7 +458,8 @@ walls AS (SELECT p.series_id, p.us, any_value(p.value) AS value, coalesce(max(h.
 pr AS (SELECT w.series_id, w.us, any_value(w.value) AS value, any_value(w.value) - greatest(min(h.value) FILTER (h.us <= w.us), min(h.value) FILTER (h.us >= w.us)) AS prominence FROM walls w JOIN h ON h.series_id = w.series_id AND h.us BETWEEN w.lw AND w.rw GROUP BY w.series_id, w.us)
 SELECT series_id, make_timestamp(us) AS ts, round(value, 9) AS value, round(prominence, 9) AS prominence FROM pr WHERE prominence >= 4.0""")
 def peak_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = peaks.detect_peaks(samples(spark, sf_dir), SERIES, Params(distance_days=0.0))
+    """Hours above both of their neighbours, however near each other; two hours of one mean are none, as in the SQL."""
+    found = peaks.detect_peaks(samples(spark, sf_dir), SERIES, Params(distance_days=0.0), flat=False)
     return found.withColumns({"value": r9("value"), "prominence": r9("prominence")})
 
 

@@ -146,6 +146,26 @@ def test_prominence_equals_a_plain_search(spark):
             assert p == v[t] - max(v[a : t + 1].min(), v[t:b].min())
 
 
+def test_flat_tops_are_no_rows_of_peak_prominence(spark, tmp_path):
+    import duckdb
+
+    from strandline.plans import queries
+
+    values = [1.0, 9.0, 9.0, 1.0, 12.0, 1.0, 7.5, 7.5, 7.5, 0.0, 20.0, 20.0, 3.0, 9.0, 2.0, 9.0, 9.0]
+    hours = [(k, (pd.Timestamp("2025-01-01 00:10") + pd.Timedelta(hours=k)).to_pydatetime(), 0, "view", v, "{}") for k, v in enumerate(values)]
+    events = spark.createDataFrame(hours, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r.ts, r.value, r.prominence) for r in queries.peak_prominence(spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    wanted = duck.execute(queries.oracle_sql()["peak_prominence"]).fetchall()
+    assert found == {r[1:] for r in wanted} and sorted(r.ts.hour for r in queries.peak_prominence(spark, str(tmp_path)).collect()) == [4, 13]
+    # The operator counts flat tops unless told otherwise.
+    grid = events.select(F.lit(0).alias("series_id"), F.col("ts"), "value")
+    tops = {flat: sorted(r.ts.hour for r in peaks.local_maxima(grid, S, flat=flat).collect()) for flat in (True, False)}
+    assert tops == {True: [1, 4, 7, 10, 13], False: [4, 13]}
+
+
 def test_diagnostics_curves_and_both_forecasts(spark):
     hours = np.arange(8 * 12 * 24)
     day = hours / 24
